@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import langid, media, packing
+from quillon.llm import decontaminate, langid, licences, media, packing, urls, warc
 from quillon.llm.shared import kept, table
 
 
@@ -22,6 +22,37 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.wav_columns(table(spark, sf_dir, "documents")))
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A second replica of ``pages`` with known damage: every 97th page's content is reversed, and
+    the last records of some files are lost."""
+    html = F.when(F.col("page_id") % 97 == 0, F.reverse("html")).otherwise(F.col("html"))
+    lost = (F.col("page_id") % warc.RECORDS_PER_FILE >= 4090) & (F.floor(F.col("page_id") / warc.RECORDS_PER_FILE) % 5 == 3)
+    return pages.where(~F.coalesce(lost, F.lit(False))).withColumn("html", html)
+
+
+def op2_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    primary, replica = kept(warc.leaves(pages), "primary"), kept(warc.leaves(damaged(pages)), "replica")
+    roots, damage = warc.audit(primary, replica)
+    return primary.join(damage, ["file", "seq"], "left").join(roots, "file").select(
+        "page_id", "file", "seq", "offset", "length", "record_sha256", "file_root", F.coalesce("status", F.lit("ok")).alias("status")
+    )
+
+
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    templates = licences.BASE + licences.ADDED
+    n, seen = licences.frequencies(docs, templates)
+    return licences.summary(licences.scan(docs, templates, n, seen)).drop("text")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.fold("doc_id", 4) == 2)
     profiles = langid.train(docs.where(~F.col("held_out")))
@@ -33,10 +64,25 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(found).drop("text_sha")
 
 
+#: Fixed rules of the query: verdict, host, path.
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.select("page_id", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    rule, verdict = urls.rule_for(F.col("host"), F.col("path"), RULES)
+    return urls.judge(rows.select("*", rule.alias("rule"), verdict.alias("verdict")), urls.lexicon(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_fixity_audit": op2_fixity_audit,
+    "op3_licence_scan": op3_licence_scan,
+    "op5_decontamination": op5_decontamination,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLE: dict[str, str] = {}
