@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, langid, licences, media, packing, urls, warc
+from quillon.llm import decontaminate, langid, licences, media, neardup, packing, substrings, urls, warc
 from quillon.llm.shared import kept, table
 
 
@@ -46,6 +46,13 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.summary(licences.scan(docs, templates, n, seen)).drop("text")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    gone = substrings.cleaned(docs).select("row", "n_removed", F.sha2("kept_text", 256).alias("sha"))
+    rows = substrings.word_digests(docs).join(gone, "row", "left")
+    return rows.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "all_sha256").alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -75,14 +82,21 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(rows.select("*", rule.alias("rule"), verdict.alias("verdict")), urls.lexicon(pages))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups(table(spark, sf_dir, "documents"), percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_fixity_audit": op2_fixity_audit,
     "op3_licence_scan": op3_licence_scan,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE: dict[str, str] = {}
