@@ -10,8 +10,9 @@ on their full sets.
 
 No bucket is expanded into all its pairs.  Equal sets are one class.  In the first round a class
 is compared with one likely partner, the smallest of the buckets it shares; what is linked then
-counts as one component.  In the second round every candidate pair that still lies across two
-components is compared, so no link between components is missed.  Links and components stay in
+counts as one component.  In the second round the classes that buckets still hold from two or more
+components are laid out in blocks, by the groups that such buckets chain together, and every pair
+across two components is compared, so no link between components is missed.  Links and components stay in
 tables; components come from repeated minimum and pointer steps over them.
 """
 
@@ -21,6 +22,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ ROWS = 6
 MISS = 1e-6
 #: Standard errors below the threshold at which an estimate still leads to a comparison.
 SLACK = 5.0
+#: Shingles of the sets that are compared together.
+BLOCK = 200_000
 #: Documents without an id are nodes from here on.
 NO_ID = 1 << 62
 
@@ -87,10 +91,10 @@ def _likelihood_terms(j: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.n
     return np.log(more), np.log(less), np.log(np.maximum(1 - more - less, 1e-12))
 
 
-def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Most likely similarity of set pairs, jointly from their registers (rows) and sizes."""
-    more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
-    same = a.shape[1] - more - less
+def similarity(more: np.ndarray, less: np.ndarray, m: int, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Most likely similarity of set pairs, jointly from how many of their ``m`` registers are
+    larger and smaller, and their sizes."""
+    same = m - more - less
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
     lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
 
@@ -99,7 +103,7 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
         return more * x + less * y + same * z
 
     g = (math.sqrt(5) - 1) / 2
-    for _ in range(28):  # golden section; the likelihood has one maximum
+    for _ in range(24):  # golden section; the likelihood has one maximum
         c, d = hi - g * (hi - lo), lo + g * (hi - lo)
         left = value(c) > value(d)
         lo, hi = np.where(left, lo, c), np.where(left, d, hi)
@@ -162,7 +166,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             for lo in range(0, b.num_rows, 4096):
                 p = b.slice(lo, 4096)
                 x, y = (np.stack([np.frombuffer(v.as_py(), "<u2") for v in p.column(i)]) for i in (3, 5))
-                est = similarity(x, y, p.column(2).to_numpy().astype(float), p.column(4).to_numpy().astype(float))
+                est = similarity((x > y).sum(axis=1), (x < y).sum(axis=1), x.shape[1], p.column(2).to_numpy().astype(float), p.column(4).to_numpy().astype(float))
                 ok = est >= least
                 yield pa.RecordBatch.from_arrays([p.column(0).filter(pa.array(ok)), p.column(1).filter(pa.array(ok)), pa.array(est[ok])], ["a", "b", "est"])
 
@@ -172,11 +176,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
     """Those pairs (a, b) whose full sets reach the threshold; ``pairs`` is a kept table."""
-    rows = classes.select("node", "row")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    need = nodes.join(rows, "node")
-    texts = docs.select(row_key(key, text).alias("row"), F.col(text).alias("text")).join(need, "row").groupBy("node").agg(F.first("text").alias("text"))
-    texts = kept(texts, "candidate-texts")
+    texts = kept(_texts(nodes.join(classes, "node"), docs, key, text), "candidate-texts")
     both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +193,61 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     return both.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
+def _texts(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, text) of ``nodes`` (node, row)."""
+    rows = docs.select(row_key(key, text).alias("row"), F.col(text).alias("text"))
+    return rows.join(nodes.select("node", "row"), "row").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _across(members: DataFrame, docs: DataFrame, percent: int, least: float, key: str, text: str) -> DataFrame:
+    """Links (a, b) between members of one group that have different labels.
+
+    members: group, node, row, label, n_shingles, regs.  A group is laid out in blocks of at most
+    ``BLOCK`` shingles (or one larger set), by label; each two blocks meet in one task, unless all
+    their members have one label.  Only confirmed links leave it.
+    """
+    order = Window.partitionBy("group").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, 0)
+    slim = members.select("group", "node", "label", "n_shingles").withColumn("block", F.floor((F.sum("n_shingles").over(order) - 1) / F.lit(BLOCK)))
+    placed = kept(slim, "blocks")
+    blocks = placed.groupBy("group", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    i, j = (blocks.select("group", F.col("block").alias(x), F.col("lo").alias("lo_" + x), F.col("hi").alias("hi_" + x)) for x in "ij")
+    meet = i.join(j, "group").where("i <= j and least(lo_i, lo_j) < greatest(hi_i, hi_j)").select("group", "i", "j")
+    jobs = meet.select("group", "i", "j", F.col("i").alias("block")).union(meet.where("i < j").select("group", "i", "j", F.col("j").alias("block")))
+    full = placed.join(_texts(members, docs, key, text), "node").join(members.select("node", "regs"), "node")
+    rows = full.join(jobs, ["group", "block"])
+
+    def compare(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["block", "node"], ignore_index=True)
+        first_block = int((p.block == p.i).sum())
+        one = p.i[0] == p.j[0]
+        h, first = sets(pa.array(p.text, pa.string()))
+        code = np.unique(h, return_inverse=True)[1]
+        regs = np.stack([np.frombuffer(x, "<u2") for x in p.regs])
+        n, label, node = p.n_shingles.to_numpy(), p.label.to_numpy(), p.node.to_numpy()
+        parts = []
+        for x in range(first_block):
+            y = np.arange(x + 1 if one else first_block, len(p))
+            y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+            if len(y):
+                parts.append((np.full(len(y), x), y, (regs[x] > regs[y]).sum(axis=1), (regs[x] < regs[y]).sum(axis=1)))
+        if not parts:
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        x, y, more, less = map(np.concatenate, zip(*parts))
+        likely = similarity(more, less, regs.shape[1], n[x].astype(float), n[y].astype(float)) >= least
+        x, y = x[likely], y[likely]
+        mark, now, common = np.zeros(len(code) and code.max() + 1, dtype=bool), -1, np.zeros(len(x), np.int64)
+        for k, (s, t) in enumerate(zip(x.tolist(), y.tolist())):
+            if s != now:
+                mark[:] = False
+                mark[code[first[s] : first[s + 1]]] = True
+                now = s
+            common[k] = mark[code[first[t] : first[t + 1]]].sum()
+        linked = 100 * common >= percent * (n[x] + n[y] - common)
+        return pd.DataFrame({"a": node[x[linked]], "b": node[y[linked]]})
+
+    return rows.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of a table of links (a, b) reaches."""
     both = kept(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -239,12 +295,12 @@ def groups(docs: DataFrame, percent: int, key: str = "doc_id", text: str = "text
 
     labelled = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = kept(labelled.join(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi"), "key"), "open-buckets")
-    x = labelled.where("label > lo").select("key", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("label").alias("l_a"))
-    y = labelled.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("l_b"))
-    across = x.join(y, "key").where((F.col("l_a") > F.col("l_b")) & close(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
-    more = kept(_likely(across.join(best, ["a", "b"], "left_anti"), classes, least), "second-pairs")
-    if more.limit(1).count():
-        links = kept(links.union(_confirmed(more, classes, docs, percent, key, text)), "links-of-both")
+    if labelled.limit(1).count():
+        hub = labelled.join(labelled.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b").where("a != b").distinct()
+        near = components(hub).withColumnRenamed("label", "group")
+        members = near.join(classes, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        members = kept(members.select("group", "node", "row", "label", "n_shingles", "regs"), "open-groups")
+        links = kept(links.union(_across(members, docs, percent, least, key, text)), "links-of-both")
         labels = components(links)
 
     by_class = classes.join(labels, "node", "left").select(*content, F.coalesce("label", "node").alias("label"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,5 +42,23 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")), F.lit(17))
 
 
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package, wherever they run; once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillon_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    place = Path(tempfile.mkdtemp()) / "quillon.zip"  # the driver serves it from here
+    place.write_bytes(packed.getvalue())
+    sc.addPyFile(str(place))
+    sc._quillon_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder, with the package shipped to the executors that will read it."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
