@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PROFILE = 300
 #: Characters counted together.
@@ -145,8 +146,8 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id"
             )
 
     rows = docs.select(F.col(text).alias("_text"), F.col(key), *(F.col(c) for c in extra))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
-    return rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    own = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *own]))
 
 
 def fold(key: str, folds: int) -> Column:

@@ -263,7 +263,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, row, n_shingles, component of each row of ``docs``.
+    """id, row, n_shingles, component and label (of its group; null without shingles) of each row.
 
     Links join documents with 100 * intersection >= percent * union of their sets.  component is
     the smallest id reachable.  Null or empty text: no shingles, a component of its own.  Rows
@@ -306,4 +306,4 @@ def groups(docs: DataFrame, percent: int, key: str = "doc_id", text: str = "text
     by_class = classes.join(labels, "node", "left").select(*content, F.coalesce("label", "node").alias("label"))
     out = sketched.join(by_class, content, "left")
     whole = F.when(F.col("label") < NO_ID, F.col("label"))
-    return out.select("id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, whole).otherwise(F.col("id")).alias("component"))
+    return out.select("id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, whole).otherwise(F.col("id")).alias("component"), "label")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, langid, licences, media, neardup, packing, substrings, urls, warc
+from quillon.llm import decontaminate, langid, licences, media, neardup, packing, substrings, trie, urls, warc
 from quillon.llm.shared import kept, table
 
 
@@ -60,6 +60,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.fold("doc_id", 7) == 2)
+    return trie.score(docs, trie.train(docs.where(~F.col("held_out"))), extra=("held_out",))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.fold("doc_id", 4) == 2)
     profiles = langid.train(docs.where(~F.col("held_out")))
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licence_scan": op3_licence_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_lm_scores": op6_lm_scores,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
