@@ -188,8 +188,12 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in said) >= 0.9 * len(said)
 
 
-def test_trie(docs, rows, empty):
+@pytest.mark.parametrize("segments", ["one", "several"])
+def test_trie(spark, docs, rows, empty, segments):
+    spark.conf.set("spark.sql.adaptive.enabled", segments == "one")
     model = trie.train(docs)
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert segments == "one" or min(len(model.words.part), len(model.pairs.part)) > 1
     tok = lambda t: [*brute.SPACED.findall((t or "").translate(brute.A_Z)), "\n"]
     c, pairs = Counter(), Counter()
     for _, t in rows:
