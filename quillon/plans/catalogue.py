@@ -1,10 +1,293 @@
-"""Registered queries over the reference workloads and the SQL they are compared with."""
+"""Registered queries over the reference workloads and the SQL they are compared with.
+
+Where the driver's tables have no counterpart, stand-ins are used: documents are files, their
+source the package, a symbol or digit the parse error, quality the union verdict and toxic the
+current one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillon.functions import paths, scalars
+from quillon.operators import nodes as trees
+from quillon.operators import reports, rules
+from quillon.plans import pattern
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+BAD = "[^0-9#@%*|=<>{}]"
+FAIL_SQL = f"""f as (select doc_id, source, lang, text, regexp_extract(text, '^({BAD}*)[0-9#@%*|=<>{{}}]', 1) as prefix,
+  substr(text, length(regexp_extract(text, '^({BAD}*)[0-9#@%*|=<>{{}}]', 1)) + 1, 1) as bad
+  from documents where regexp_matches(text, '[0-9#@%*|=<>{{}}]'))"""
+
+
+def failures(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a first error: its prefix and character."""
+    docs = _t(spark, d, "documents").where(F.col("text").rlike("[0-9#@%*|=<>{}]"))
+    prefix = F.regexp_extract("text", f"^({BAD}*)[0-9#@%*|=<>{{}}]", 1)
+    return docs.select("doc_id", "source", "lang", "text", prefix.alias("prefix")).withColumn("bad", F.expr("substring(text, length(prefix) + 1, 1)"))
+
+
+@query("select doc_id, source || '-' || coalesce(lang, '') as pkgdir, sha256(text) as sha256, cast(strlen(text) as bigint) as bytes from documents")
+def manifest_flatten(spark, d):
+    return _t(spark, d, "documents").select("doc_id", paths.pkg_dir(F.col("source"), F.coalesce("lang", F.lit(""))).alias("pkgdir"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("select source, count(*) as files, cast(sum(strlen(text)) as bigint) as bytes from documents group by source")
+def package_totals(spark, d):
+    return _t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+
+
+@query("""with c as (select l_partkey as k, count(*) as n from lineitem group by 1), r as (select k, n, row_number() over (order by n desc, k) as rank from c order by n desc, k limit 200)
+  select cast(rank as bigint) as rank, k, n from r join part on k = p_partkey where k % 3 <> 0""")
+def rank_with_holes(spark, d):
+    top = _t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(200)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "k")).cast("long"))
+    return _t(spark, d, "part").select("p_partkey").join(F.broadcast(ranked), F.col("p_partkey") == F.col("k")).where("k % 3 <> 0").select("rank", "k", "n")
+
+
+@query("""with c as (select o_custkey as k, count(*) as n from orders group by 1), t as (select k, n from c where k % 3 <> 0 order by n desc, k limit 200)
+  select cast(row_number() over (order by n desc, k) as bigint) as rank, k, n from t""")
+def rank_dense(spark, d):
+    top = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n")).where("k % 3 <> 0").orderBy(F.desc("n"), "k").limit(200)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("n"), "k")).cast("long").alias("rank"), "k", "n")
+
+
+@query("""select source, case when coalesce(c,0) >= 2000 and coalesce(c,0) >= coalesce(p,0) then 'c' when coalesce(p,0) >= 2000 and coalesce(p,0) > coalesce(c,0) then 'cpp' when coalesce(s,0) >= 500 then 'bash' end as language
+  from (select source, sum(n_chars) filter (lang = 'en') / 100 as c, sum(n_chars) filter (lang = 'fr') / 100 as p, sum(n_chars) filter (lang = 'de') / 100 as s from documents group by source)""")
+def sloc_partition(spark, d):
+    per = lambda x: F.sum(F.when(F.col("lang") == x, F.col("n_chars"))) / 100
+    g = _t(spark, d, "documents").groupBy("source").agg(per("en").alias("c"), per("fr").alias("p"), per("de").alias("s"))
+    return g.select("source", paths.sloc_language(F.col("c"), F.col("p"), F.col("s")).alias("language"))
+
+
+@query("select sha256(text) as sha256, min(doc_id) as doc_id, count(*) as n from documents group by 1")
+def dedup_keep_first(spark, d):
+    return _t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@query("""select g, max(v) as newest from (select p_partkey % 50 as g, (p_partkey % 7) * 10000 + (p_partkey % 11) * 100 + p_partkey % 13 as v from part) group by g""")
+def version_newest(spark, d):
+    p = F.col("p_partkey")
+    text = F.concat_ws(".", (p % 7).cast("string"), (p % 11).cast("string"), (p % 13).cast("string"))
+    best = _t(spark, d, "part").select((p % 50).alias("g"), text.alias("v")).groupBy("g").agg(F.max_by("v", paths.version_key(F.col("v"))).alias("v"))
+    part = lambda i: F.split("v", r"\.")[i].cast("long")
+    return best.select("g", (part(0) * 10000 + part(1) * 100 + part(2)).alias("newest"))
+
+
+@query("select page_id, regexp_extract(url, '\\.([^./?#]+)([?#].*)?$', 1) as extension, not regexp_matches(url, '(^|/)(_vendor|_vendored|vendor)/') as kept from pages")
+def classify_paths(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.regexp_extract("url", r"\.([^./?#]+)([?#].*)?$", 1).alias("extension"), (~F.col("url").rlike(r"(^|/)(_vendor|_vendored|vendor)/")).alias("kept"))
+
+
+@query("select page_id, regexp_matches(html, '\\{%-?\\s*(if|for|block|set)([^A-Za-z0-9_]|$)') as template, contains(html, '<!--') as comment from pages")
+def admit_filter(spark, d):
+    return _t(spark, d, "pages").select("page_id", paths.is_template(F.col("html")).alias("template"), F.col("html").contains("<!--").alias("comment"))
+
+
+@query("""with a as (select cast(doc_id as varchar) as path, sha256(text) as a from documents), b as (select cast(doc_id + (case when doc_id % 13 = 0 then 1000000 else 0 end) as varchar) as path, case when doc_id % 7 = 0 then 'x' else sha256(text) end as b from documents)
+  select path, case when b is null then 'missing' when a is null then 'extra' else 'changed' end as state from a full outer join b using (path) where a is distinct from b""")
+def lock_diff(spark, d):
+    docs = _t(spark, d, "documents").withColumn("sha256", F.sha2("text", 256))
+    ours = docs.select(F.col("doc_id").cast("string").alias("path"), "sha256")
+    theirs = docs.select((F.col("doc_id") + F.when(F.col("doc_id") % 13 == 0, 1000000).otherwise(0)).cast("string").alias("path"), F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("sha256")).alias("sha256"))
+    return reports.lock_diff(ours, theirs)
+
+
+@query("select source, count(*) as files, count(*) - count(distinct sha256(text)) as duplicates, count(*) filter (strlen(text) = 0) as empty from documents group by source")
+def lock_validate(spark, d):
+    docs = _t(spark, d, "documents").withColumn("sha", F.sha2("text", 256))
+    return docs.where(paths.is_sha256(F.col("sha"))).groupBy("source").agg(F.count("*").alias("files"), (F.count("*") - F.countDistinct("sha")).alias("duplicates"), F.count_if(F.octet_length("text") == 0).alias("empty"))
+
+
+@query("""with p as (select distinct sha256(text) as s from documents where doc_id % 2 = 0) select sha256(text) in (select s from p) as skipped, count(*) as n from documents group by 1""")
+def cache_split(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    skipped, work = reports.cached_split(docs, docs.where("doc_id % 2 = 0").select("sha256").distinct())
+    return skipped.withColumn("skipped", F.lit(True)).union(work.withColumn("skipped", F.lit(False))).groupBy("skipped").agg(F.count("*").alias("n"))
+
+
+@query(f"with {FAIL_SQL} select doc_id, cast(strlen(prefix) as bigint) as start_byte, cast(1 + length(prefix) - length(replace(prefix, chr(10), '')) as bigint) as line, 'line > ERROR ''' || bad || '''' as signature from f")
+def first_error(spark, d):
+    f = failures(spark, d)
+    return f.select("doc_id", F.octet_length("prefix").cast("long").alias("start_byte"), scalars.line_of(F.col("prefix")).cast("long").alias("line"), scalars.signature(F.lit("line"), F.lit(None), F.array(), F.col("bad")).alias("signature"))
+
+
+@query(f"with {FAIL_SQL} select count(*) as failing, count(*) filter (quality is null) as unanswered, count(*) filter (quality = 1) as valid from f left join labels using (doc_id)")
+def verdict_missing(spark, d):
+    v = _t(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("valid"))
+    j = reports.with_verdicts(failures(spark, d), v, "doc_id")
+    return j.agg(F.count("*").alias("failing"), F.count_if("unanswered").alias("unanswered"), F.count_if("valid").alias("valid"))
+
+
+_LABEL_SQL = "case when quality = 1 and toxic = 0 then 'gap' when quality = 1 then 'version' else 'noise' end"
+
+
+@query(f"""with {FAIL_SQL}, j as (select 'line > ERROR ''' || bad || '''' as signature, doc_id, quality, {_LABEL_SQL} as label from f left join labels using (doc_id)),
+  r as (select *, row_number() over (partition by signature order by doc_id) as r from j)
+  select signature, count(*) as count, count(*) filter (quality = 1) as valid, case when count(*) filter (label = 'gap') > 0 then 'gap' when count(*) filter (label = 'version') > 0 then 'version' else 'noise' end as verdict,
+  string_agg(cast(doc_id as varchar), ',' order by doc_id) filter (r <= 5) as examples from r group by signature""")
+def sweep_clusters(spark, d):
+    j = failures(spark, d).join(_t(spark, d, "labels"), "doc_id", "left")
+    label = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "gap").when(F.col("quality") == 1, "version").otherwise("noise")
+    rows = j.select(scalars.signature(F.lit("line"), F.lit(None), F.array(), F.col("bad")).alias("signature"), label.alias("label"), (F.col("quality") == 1).alias("valid"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("path"))
+    return reports.clusters(rows)
+
+
+@query(f"""with {FAIL_SQL}, j as (select {_LABEL_SQL} as label from f left join labels using (doc_id)), t as (select count(*) as files from documents), x as (select count(*) as failed, count(*) filter (label = 'gap') as gap, count(*) filter (label = 'version') as version from j)
+  select files, files - failed as passed, failed, gap, version, failed - gap - version as noise, cast(floor((files - failed) * 10000 / greatest(files, 1) + 0.5) as bigint) as pass_rate from t, x""")
+def sweep_totals(spark, d):
+    c = failures(spark, d).select("doc_id").join(_t(spark, d, "labels"), "doc_id", "left")
+    label = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "gap").when(F.col("quality") == 1, "version").otherwise("noise")
+    failed = c.select("doc_id", label.alias("label"))
+    every = _t(spark, d, "documents").select("doc_id").join(failed, "doc_id", "left")
+    g = every.agg(F.count("*").alias("files"), F.count("label").alias("failed"), F.count_if(F.col("label") == "gap").alias("gap"), F.count_if(F.col("label") == "version").alias("version"))
+    passed = F.col("files") - F.col("failed")
+    return g.select("files", passed.alias("passed"), "failed", "gap", "version", (F.col("failed") - F.col("gap") - F.col("version")).alias("noise"), scalars.per_10000(passed, F.col("files")).alias("pass_rate"))
+
+
+@query(f"with {FAIL_SQL} select s as signature from (values ('line > ERROR ''#'''), ('line > ERROR ''~'''), ('line > MISSING x')) p(s) where s not in (select 'line > ERROR ''' || bad || '''' from f)")
+def stale_policy(spark, d):
+    declared = spark.createDataFrame([("line > ERROR '#'",), ("line > ERROR '~'",), ("line > MISSING x",)], "signature string")
+    return reports.stale(declared, failures(spark, d).select(scalars.signature(F.lit("line"), F.lit(None), F.array(), F.col("bad")).alias("signature")))
+
+
+@query(f"with {FAIL_SQL} select doc_id from f join labels using (doc_id) where quality = 0 and toxic = 0")
+def hidden_gaps(spark, d):
+    return failures(spark, d).select("doc_id").join(_t(spark, d, "labels").where("quality = 0 and toxic = 0"), "doc_id", "left_semi")
+
+
+@query("select item_id from benchmark where not regexp_matches(text, '[0-9#@%*|=<>{}]')")
+def negative_accepted(spark, d):
+    return _t(spark, d, "benchmark").where(~F.col("text").rlike("[0-9#@%*|=<>{}]")).select("item_id")
+
+
+VOID_SQL = ", ".join(f"'{v}'" for v in trees.VOID)
+NODES_SQL = f"""p as (select page_id as file_id, html, regexp_extract_all(html, '(<[^>]*>|[^<]+|<)', 1) as l from pages), k0 as (select file_id, unnest(l) as tok, generate_subscripts(l, 1) - 1 as i from p),
+k1 as (select *, lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) as name from k0), k2 as (select *, starts_with(tok, '</') and name <> '' as is_end from k1),
+k3 as (select *, name <> '' and not is_end as is_tag, not starts_with(tok, '<') and trim(regexp_replace(tok, '\\s+', ' ', 'g')) <> '' as is_text from k2),
+k4 as (select *, is_tag and name not in ({VOID_SQL}) and not ends_with(tok, '/>') as is_open, is_tag or is_text as is_node, case when is_tag then name when is_text then '#text' end as kind from k3),
+k5 as (select *, case when is_open then 1 when is_end then -1 else 0 end as step from k4),
+k6 as (select *, sum(step) over w - case when is_open then 1 else 0 end as depth, sum(case when is_node then 1 else 0 end) over w as n_nodes, sum(strlen(tok)) over w - strlen(tok) as start_byte from k5 window w as (partition by file_id order by i)),
+n as (select file_id, n_nodes as node_id, depth, kind, start_byte, is_open from k6 where is_node),
+u as (select file_id, depth as level, node_id, node_id as p, kind as pk, true as is_p from n where is_open union all select file_id, depth - 1, node_id, null, null, false from n),
+v as (select file_id, node_id, is_p, last_value(p ignore nulls) over w as parent_id, last_value(pk ignore nulls) over w as parent from u window w as (partition by file_id, level order by node_id, is_p)),
+e as (select v.parent_id, v.parent, n.* from n join v using (file_id, node_id) where not v.is_p)"""
+
+
+def page_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return trees.nodes(trees.markup_tokens(_t(spark, d, "pages")))
+
+
+@query(f"with {NODES_SQL} select kind, count(*) as n, count(distinct file_id) as files from n group by kind")
+def kind_histogram(spark, d):
+    return trees.kind_histogram(trees.markup_tokens(_t(spark, d, "pages")).where("is_node"))
+
+
+@query(f"with {NODES_SQL} select parent, kind as child, count(*) as n from e where parent is not null group by 1, 2")
+def edge_histogram(spark, d):
+    return trees.edge_histogram(page_nodes(spark, d))
+
+
+@query(f"with {NODES_SQL} select k as kind from (values ('table'), ('p'), ('marquee'), ('blink'), ('html')) x(k) where k not in (select kind from n)")
+def never_built(spark, d):
+    possible = spark.createDataFrame([(k,) for k in ("table", "p", "marquee", "blink", "html")], "kind string")
+    return trees.never_built(possible, trees.markup_tokens(_t(spark, d, "pages")).where("is_node"))
+
+
+@query(f"with {NODES_SQL} select kind, count(*) as n from n group by kind having count(*) < 400 order by n, kind limit 20")
+def thin_kinds(spark, d):
+    h = trees.kind_histogram(trees.markup_tokens(_t(spark, d, "pages")).where("is_node"))
+    return h.where("n < 400").orderBy("n", "kind").limit(20).select("kind", "n")
+
+
+@query(f"with {NODES_SQL} select file_id, sha256(string_agg(kind, ' ' order by node_id)) as shape from n group by file_id")
+def preorder_fingerprint(spark, d):
+    return trees.fingerprints(page_nodes(spark, d)).select("file_id", "shape")
+
+
+@query(f"with {NODES_SQL} select file_id, count(*) as n from e where kind = '#text' group by file_id")
+def leaf_tokens(spark, d):
+    return trees.leaves(page_nodes(spark, d)).where("kind = '#text'").groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+#: A small shared vocabulary over markup kinds.
+MARKUP = pattern.Catalogue(kinds={"ul", "ol", "li", "a", "p", "h1", "h2", "div", "nav", "#text", "title", "head", "body"}, facets={"_scope": ["ul", "nav", "div", "body"], "_name": ["title", "h1"]})
+
+
+@query(f"with {NODES_SQL} select count(*) as n from e where parent in ('ul', 'nav', 'div', 'body') and kind in ('li', 'p')")
+def facet_query_count(spark, d):
+    p = pattern.parse("(_scope [(li) (p)] @x)")
+    return pattern.plan(p, page_nodes(spark, d), MARKUP).agg(F.count("*").alias("n"))
+
+
+@query("""with recursive s(a, b) as (values ('_expression', '_literal'), ('_expression', 'call'), ('_literal', 'string'), ('_literal', 'number'), ('_control_flow', '_loop'), ('_loop', 'while')), r(start, reached, k) as (
+  select x, x, 0 from (select a as x from s union select b from s) union all select r.start, s.b, k + 1 from r join s on r.reached = s.a where k < 6) select distinct start, reached from r""")
+def supertype_closure(spark, d):
+    rows = [("_expression", "_literal"), ("_expression", "call"), ("_literal", "string"), ("_literal", "number"), ("_control_flow", "_loop"), ("_loop", "while")]
+    return rules.closure(spark.createDataFrame(rows, "supertype string, subtype string"))
+
+
+@query("select * from (values ('1', '_thing'), ('1b-i', '_scope'), ('1b-ii', '_scope'), ('1b-iv', '_scope'), ('5a', '_odd'), ('5b', '_string'), ('3', 'ghost'), ('2a', 'lost'), ('2b', 'call'), ('2c', 'nowhere'), ('0', '9')) t(rule, subject)")
+def roles_findings(spark, d):
+    m = rules.Manifest("9", {"_callable": ["call", "ghost"], "_odd": ["call"], "_string": []}, {"_scope": " "}, [("call", "why"), ("nowhere", "why")])
+    return rules.findings(spark, m, ["_expression", "_thing", "call", "number", "lost"], {"_expression": ["call", "number"], "_thing": []})
+
+
+@query(f"""with {FAIL_SQL}, x as (select cast(strlen(prefix) as bigint) as a, cast(strlen(regexp_extract(text, '^([^0-9|]*)[0-9|]', 1)) as bigint) as b, regexp_matches(text, '[0-9|]') as ok from f), y as (select a - b as delta from x where ok),
+  z as (select abs(delta) as v, row_number() over (order by abs(delta)) as r, count(*) over () as n from y)
+  select count(*) filter (v = 0) as exact, count(*) filter (v between 1 and 16) as near, count(*) filter (v between 17 and 128) as mid, count(*) filter (v > 128) as far, coalesce(max(v) filter (r = n // 2 + 1), 0) as median, coalesce(max(v) filter (r = cast(floor((n - 1) * 0.9 + 0.5) as bigint) + 1), 0) as p90 from z""")
+def error_position_hist(spark, d):
+    f = failures(spark, d).where(F.col("text").rlike("[0-9|]"))
+    v = f.select(F.abs(F.octet_length("prefix").cast("long") - F.octet_length(F.regexp_extract("text", "^([^0-9|]*)[0-9|]", 1)).cast("long")).alias("v"))
+    hist = v.agg(*reports.buckets(F.col("v")))
+    median, p90 = (reports.nearest_rank(v, "v", p).withColumnRenamed("value", n) for n, p in (("median", reports.median_place()), ("p90", reports.quantile_place(0.9))))
+    one = F.lit(1).alias("_k")
+    return hist.select("*", one).join(median.select("*", one), "_k").join(p90.select("*", one), "_k").drop("_k")
+
+
+@query("""select doc_id, regexp_replace(text, '[ \\t\\n\\f\\r]', '', 'g') = regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[ \\t\\n\\f\\r]', '', 'g') as same, text <> regexp_replace(text, '\\s+', ' ', 'g') as changed from documents""")
+def reformat_invariant(spark, d):
+    after = F.regexp_replace("text", r"\s+", " ")
+    return _t(spark, d, "documents").select("doc_id", (scalars.squash(F.col("text")) == scalars.squash(after)).alias("same"), (F.col("text") != after).alias("changed"))
+
+
+@query("select role, substr(text, 1, 1) as head, count(*) as n, count(distinct conv_id) as files from conversations group by 1, 2")
+def roundtrip_clusters(spark, d):
+    return _t(spark, d, "conversations").groupBy("role", F.substring("text", 1, 1).alias("head")).agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("files"))
+
+
+@query("""with n as (select count(*) as n from documents), r as (select doc_id, row_number() over (order by source, doc_id) - 1 as i from documents) select doc_id from r, n where i % greatest(1, n // 100) = 0 and i // greatest(1, n // 100) < 100""")
+def even_sample(spark, d):
+    """Every step-th file in manifest order; ranks come from package bases, so packages are dealt apart."""
+    docs = _t(spark, d, "documents").select("doc_id", "source")
+    base = docs.groupBy("source").agg(F.count("*").alias("c"))
+    base = base.select("source", (F.sum("c").over(Window.orderBy("source")) - F.col("c")).alias("base"), F.greatest(F.lit(1), F.floor(F.sum("c").over(Window.partitionBy(F.lit(0))) / 100)).alias("step"))
+    r = docs.join(base, "source").withColumn("i", F.col("base") + F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    return r.where("i % step = 0 and floor(i / step) < 100").select("doc_id")
+
+
+@query("""select * from (values ('a', 5, 4, 'fail'), ('b', 3, 4, 'remind'), ('c', 4, 4, 'ok'), ('d', 1, cast(null as int), 'advisory')) t(metric, value, baseline, state)""")
+def ratchet_eval(spark, d):
+    m = spark.createDataFrame([("a", 5), ("b", 3), ("c", 4), ("d", 1)], "metric string, value int")
+    return reports.ratchet(m, spark.createDataFrame([("a", 4), ("b", 4), ("c", 4)], "metric string, baseline int"))
