@@ -29,7 +29,7 @@ SEQUENCE = 2048
 END = 0
 SALTS = 256
 #: Distinct words whose ids a worker keeps.
-MEMORY = 300_000
+MEMORY = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, text_sha long"
 
@@ -38,31 +38,37 @@ class Encoder:
     """Token ids of texts by a vocabulary file whose pre-tokenizer breaks at white space.
 
     Words between ASCII white space are encoded once and their ids remembered, which gives the
-    same ids as encoding the whole text.
+    same ids as encoding the whole text.  A worker keeps one encoder for all its tasks.
     """
 
+    kept: dict[str, "Encoder"] = {}
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.ids: list[np.ndarray] = []
 
-    def words(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > MEMORY:
-            self.known, self.ids = {}, []
-        new = list({w for w in words if w not in self.known})
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, dtype="<u4"))
-        get, ids = self.known.__getitem__, self.ids
-        return np.concatenate([ids[get(w)] for w in words]) if words else np.zeros(0, "<u4")
+    @classmethod
+    def of(cls, path: str) -> "Encoder":
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Ids of the text and the end id; null counts as empty."""
-        words = [w for w in (text or "").translate(_BLANKS).split(" ") if w]
-        return np.append(self.words(words), np.uint32(END)).astype("<u4")
+        text = text or ""
+        if text.isascii() and "<|" not in text:
+            text = text.lower()  # as the vocabulary's normalizer does
+        words = [w for w in text.translate(_BLANKS).split(" ") if w]
+        if len(self.known) > MEMORY:
+            self.known = {}
+        known = self.known
+        new = list({w for w in words if w not in known})
+        if new:
+            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        return np.frombuffer(b"".join([known[w] for w in words] + [END.to_bytes(4, "little")]), dtype="<u4")
 
 
 _BLANKS = str.maketrans({c: " " for c in "\t\n\v\f\r"})
@@ -75,7 +81,7 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary)
+        encode = Encoder.of(vocabulary)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, x in zip(b.column(0), b.column(1)):
