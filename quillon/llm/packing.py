@@ -14,22 +14,27 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.shared import kept
+from quillon.llm.text import slices
 
 SEQUENCE = 2048
 END = 0
 SALTS = 256
 #: Distinct words whose ids a worker keeps.
 MEMORY = 1_000_000
+#: Words given to the merges in one call.
+TOGETHER = 1000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, text_sha long"
 
@@ -37,17 +42,25 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, text_
 class Encoder:
     """Token ids of texts by a vocabulary file whose pre-tokenizer breaks at white space.
 
-    Words between ASCII white space are encoded once and their ids remembered, which gives the
-    same ids as encoding the whole text.  A worker keeps one encoder for all its tasks.
+    Words between white space are encoded once and their ids remembered, which gives the same ids
+    as encoding the whole text.  New words of printable Latin-1 letters and signs are cut as the
+    vocabulary's pre-tokenizer cuts them, and their distinct parts go to the merges many at a
+    time: each part's last id is one that ends a word, so the ids fall apart again there.  Other
+    words are encoded by the whole tokenizer.  A worker keeps one encoder for all its tasks.
     """
 
     kept: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.whole, self.merges, self.known = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        words = self.whole.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -55,23 +68,57 @@ class Encoder:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Ids of the text and the end id; null counts as empty."""
-        text = text or ""
-        if text.isascii() and "<|" not in text:
-            text = text.lower()  # as the vocabulary's normalizer does
-        words = [w for w in text.translate(_BLANKS).split(" ") if w]
+    def learn(self, new: list[str]) -> None:
+        """Adds the ids of ``new`` words, as bytes, to those known."""
+        known, cut, parts, rest = self.known, {}, {}, []
+        for w in new:
+            if not _LATIN(w) or "<|" in w:
+                rest.append(w)
+            elif w.isalpha() and w.islower():
+                parts[w] = None
+            else:
+                cut[w] = _PARTS(w.lower())
+                parts.update((p, None) for p in cut[w] if p not in known)
+        fresh = list(parts)
+        for lo in range(0, len(fresh), TOGETHER):
+            some = fresh[lo : lo + TOGETHER]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) != len(some):
+                raise ValueError("the vocabulary doesn't end each word with an id of its own kind")
+            raw = ids.tobytes()
+            known.update((w, raw[a:b]) for w, a, b in zip(some, [0, *stops], stops))
+        known.update((w, b"".join([known[p] for p in ps])) for w, ps in cut.items())
+        for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
+            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian ids of each text and the end id; null counts as empty."""
+        found = []
+        for x in texts:
+            x = x or ""
+            if _all_latin(x) and "<|" not in x:
+                x = x.lower()  # as the vocabulary's normalizer does
+            # str.split also breaks at four controls that the pre-tokenizer takes for signs
+            found.append([w for w in x.translate(_BLANKS).split(" ") if w] if any(c in x for c in "\x1c\x1d\x1e\x1f") else x.split())
         if len(self.known) > MEMORY:
             self.known = {}
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words] + [END.to_bytes(4, "little")]), dtype="<u4")
+        self.learn([w for w in set().union(*found) if w not in self.known])
+        get, end = self.known.__getitem__, END.to_bytes(4, "little")
+        return [b"".join(map(get, words)) + end for words in found]
+
+
+_BLANKS = str.maketrans({c: " " for c in map(chr, range(0x3001)) if c.isspace() and c not in "\x1c\x1d\x1e\x1f"})
+_LATIN = re.compile(r"[\x21-\x7e\xa1-\xff]+").fullmatch
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
 
-_BLANKS = str.maketrans({c: " " for c in "\t\n\v\f\r"})
+def _all_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
@@ -84,13 +131,14 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
         encode = Encoder.of(vocabulary)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, x in zip(b.column(0), b.column(1)):
-                doc, x = doc.as_py(), x.as_py()
-                ids, sha = encode(x), zlib.crc32((x or "").encode())
-                for n, at in enumerate(range(0, len(ids), sequence)):
-                    part = ids[at : at + sequence]
-                    for c, v in zip(out, (doc, n, at, len(part), zlib.crc32(part.tobytes()), sha)):
-                        c.append(v)
+            for lo, hi in slices(b.column(1)):
+                texts = b.column(1).slice(lo, hi - lo).to_pylist()
+                for doc, x, ids in zip(b.column(0).slice(lo, hi - lo).to_pylist(), texts, encode(texts)):
+                    sha = zlib.crc32((x or "").encode())
+                    for n, at in enumerate(range(0, len(ids), 4 * sequence)):
+                        part = ids[at : at + 4 * sequence]
+                        for c, v in zip(out, (doc, n, at // 4, len(part) // 4, zlib.crc32(part), sha)):
+                            c.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [x.split()[0] for x in PIECES.split(", ")])
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from quillon.llm import decontaminate, langid, licences, media, neardup, packing, substrings, trie, urls, warc
 from quillon.llm.queries import RULES, vocabulary
@@ -133,8 +134,6 @@ def test_likelihood_estimate():
 
 
 def test_packing(docs, rows, empty):
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(vocabulary())
     want = []
     for doc, text in rows:
@@ -287,3 +286,14 @@ def test_pipeline(spark, docs, rows, tmp_path):
         d = out
     assert c.packed(spark, d, str(tmp_path)).count() >= d.count()
     assert c.packed(spark, c.benchmark_leaks(spark, d.limit(0), str(tmp_path)), str(tmp_path)).count() == 0
+
+
+def test_packing_encoder_equals_whole_tokenizer():
+    rng = random.Random(5)
+    signs = [chr(c) for c in range(0x180)] + list("   　ΣςİǅßſÉ́€’日👍﻿") + ["<|endoftext|>", "<|", "'re", "'LL", "The "]
+    texts = ["".join(rng.choice(signs) if rng.random() < 0.6 else rng.choice("abcdEF '.0\n") for _ in range(rng.randrange(40))) for _ in range(5000)]
+    encode, whole = packing.Encoder(vocabulary()), Tokenizer.from_file(vocabulary())
+    for lo in range(0, len(texts), 250):
+        some = texts[lo : lo + 250]
+        assert encode(some) == [np.array([*e.ids, packing.END], "<u4").tobytes() for e in whole.encode_batch(some, add_special_tokens=False)]
+    assert encode([None, ""]) == [b"\0\0\0\0"] * 2
