@@ -31,8 +31,8 @@ from quillon.llm.text import slices
 SEQUENCE = 2048
 END = 0
 SALTS = 256
-#: Distinct words whose ids a worker keeps.
-MEMORY = 1_000_000
+#: Distinct words whose ids a worker keeps: about 50 MB, as idle workers hold them through other stages.
+MEMORY = 200_000
 #: Words given to the merges in one call.
 TOGETHER = 1000
 

@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that Spark hands to a Python worker at once.
+BATCH = 2048
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -43,8 +46,12 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package, wherever they run; once for each context."""
+    """Let executors import this package, wherever they run; once for each context.
+
+    Batches for Python are set to at most ``BATCH`` rows: workers hold whole texts of a batch.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     if getattr(sc, "_quillon_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
