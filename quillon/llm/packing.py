@@ -17,6 +17,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from quillon.llm.text import slices
 SEQUENCE = 2048
 END = 0
 SALTS = 256
-#: Distinct words whose ids a worker keeps: about 50 MB, as idle workers hold them through other stages.
+#: Distinct words whose ids a task keeps, about 50 MB.
 MEMORY = 200_000
 #: Words given to the merges in one call.
 TOGETHER = 1000
@@ -46,27 +47,23 @@ class Encoder:
     as encoding the whole text.  New words of printable Latin-1 letters and signs are cut as the
     vocabulary's pre-tokenizer cuts them, and their distinct parts go to the merges many at a
     time: each part's last id is one that ends a word, so the ids fall apart again there.  Other
-    words are encoded by the whole tokenizer.  A worker keeps one encoder for all its tasks.
+    words are encoded by the whole tokenizer, read when the first comes.
     """
 
-    kept: dict[str, "Encoder"] = {}
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole, self.merges, self.known = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
+        self.path, self.load, self.merges, self.known = path, Tokenizer.from_file, Tokenizer.from_file(path), {}
         self.merges.normalizer = normalizers.Sequence([])
         self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        words = self.whole.get_vocab()
+        words = self.merges.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
-    @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls.kept:
-            cls.kept[path] = cls(path)
-        return cls.kept[path]
+    @cached_property
+    def whole(self):
+        return self.load(self.path)
 
     def learn(self, new: list[str]) -> None:
         """Adds the ids of ``new`` words, as bytes, to those known."""
@@ -89,8 +86,9 @@ class Encoder:
             raw = ids.tobytes()
             known.update((w, raw[a:b]) for w, a, b in zip(some, [0, *stops], stops))
         known.update((w, b"".join([known[p] for p in ps])) for w, ps in cut.items())
-        for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if rest:
+            for w, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text and the end id; null counts as empty."""
@@ -128,7 +126,7 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder.of(vocabulary)
+        encode = Encoder(vocabulary)  # gone with the task: an idle worker holds nothing through other stages
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for lo, hi in slices(b.column(1)):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that Spark hands to a Python worker at once.
-BATCH = 2048
+BATCH = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
