@@ -9,8 +9,8 @@ and equal registers give the likelihood of a similarity; unlikely pairs go, the
 on their full sets.
 
 No bucket is expanded into all its pairs.  Equal sets are one class.  In the first round a class
-is compared with one likely partner, the smallest of the buckets it shares; what is linked then
-counts as one component.  In the second round the classes that buckets still hold from two or more
+meets the smallest class of each bucket, and is compared with the likeliest of those it shares
+most bands with; what is linked then counts as one component.  In the second round the classes that buckets still hold from two or more
 components are laid out in blocks, by the groups that such buckets chain together, and every pair
 across two components is compared, so no link between components is missed.  Links and components stay in
 tables; components come from repeated minimum and pointer steps over them.
@@ -37,8 +37,12 @@ ROWS = 6
 MISS = 1e-6
 #: Standard errors below the threshold at which an estimate still leads to a comparison.
 SLACK = 5.0
-#: Shingles of the sets that are compared together.
-BLOCK = 200_000
+#: Shingles, and sets, that are compared together.
+BLOCK, MEMBERS = 200_000, 2000
+#: Likely partners of a class in the first round; the second covers all others.
+PARTNERS = 2
+#: Pairs whose registers are judged at once.
+PAIRS = 200_000
 #: Documents without an id are nodes from here on.
 NO_ID = 1 << 62
 
@@ -203,11 +207,11 @@ def _across(members: DataFrame, docs: DataFrame, percent: int, least: float, key
     """Links (a, b) between members of one group that have different labels.
 
     members: group, node, row, label, n_shingles, regs.  A group is laid out in blocks of at most
-    ``BLOCK`` shingles (or one larger set), by label; each two blocks meet in one task, unless all
+    ``BLOCK`` shingles and ``MEMBERS`` sets (or one larger set), by label; each two blocks meet in one task, unless all
     their members have one label.  Only confirmed links leave it.
     """
     order = Window.partitionBy("group").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, 0)
-    slim = members.select("group", "node", "label", "n_shingles").withColumn("block", F.floor((F.sum("n_shingles").over(order) - 1) / F.lit(BLOCK)))
+    slim = members.select("group", "node", "label", "n_shingles").withColumn("block", F.floor((F.sum(F.greatest("n_shingles", F.lit(BLOCK // MEMBERS))).over(order) - 1) / F.lit(BLOCK)))
     placed = kept(slim, "blocks")
     blocks = placed.groupBy("group", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     i, j = (blocks.select("group", F.col("block").alias(x), F.col("lo").alias("lo_" + x), F.col("hi").alias("hi_" + x)) for x in "ij")
@@ -224,17 +228,28 @@ def _across(members: DataFrame, docs: DataFrame, percent: int, least: float, key
         code = np.unique(h, return_inverse=True)[1]
         regs = np.stack([np.frombuffer(x, "<u2") for x in p.regs])
         n, label, node = p.n_shingles.to_numpy(), p.label.to_numpy(), p.node.to_numpy()
-        parts = []
+        likely, waiting, held = [], [], 0
+
+        def judge() -> None:
+            x, y, more, less = map(np.concatenate, zip(*waiting))
+            ok = similarity(more, less, regs.shape[1], n[x].astype(float), n[y].astype(float)) >= least
+            likely.append((x[ok], y[ok]))
+            waiting.clear()
+
         for x in range(first_block):
             y = np.arange(x + 1 if one else first_block, len(p))
             y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
             if len(y):
-                parts.append((np.full(len(y), x), y, (regs[x] > regs[y]).sum(axis=1), (regs[x] < regs[y]).sum(axis=1)))
-        if not parts:
+                waiting.append((np.full(len(y), x), y, (regs[x] > regs[y]).sum(axis=1), (regs[x] < regs[y]).sum(axis=1)))
+                held += len(y)
+            if held >= PAIRS:
+                judge()
+                held = 0
+        if waiting:
+            judge()
+        if not likely:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        x, y, more, less = map(np.concatenate, zip(*parts))
-        likely = similarity(more, less, regs.shape[1], n[x].astype(float), n[y].astype(float)) >= least
-        x, y = x[likely], y[likely]
+        x, y = map(np.concatenate, zip(*likely))
         mark, now, common = np.zeros(len(code) and code.max() + 1, dtype=bool), -1, np.zeros(len(x), np.int64)
         for k, (s, t) in enumerate(zip(x.tolist(), y.tolist())):
             if s != now:
@@ -288,7 +303,9 @@ def groups(docs: DataFrame, percent: int, key: str = "doc_id", text: str = "text
 
     centre = keys.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("c"), F.count("*").alias("n")).where(F.col("n") > 1).select("key", F.col("c.node").alias("b"), F.col("c.n_shingles").alias("n_b"))
     close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    first = keys.join(centre, "key").where((F.col("node") != F.col("b")) & close(F.col("n_shingles"), F.col("n_b"))).select(F.col("node").alias("a"), "b").distinct()
+    first = keys.join(centre, "key").where((F.col("node") != F.col("b")) & close(F.col("n_shingles"), F.col("n_b"))).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"))
+    most = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
+    first = first.withColumn("place", most).where(F.col("place") <= PARTNERS).select("a", "b")
     best = kept(_likely(first, classes, least).groupBy("a").agg(F.min("b").alias("b")), "first-pairs")
     links = kept(_confirmed(best, classes, docs, percent, key, text).union(same_id), "first-links")
     labels = components(links)
