@@ -282,8 +282,8 @@ def groups(docs: DataFrame, percent: int, key: str = "doc_id", text: str = "text
 
     Links join documents with 100 * intersection >= percent * union of their sets.  component is
     the smallest id reachable.  Null or empty text: no shingles, a component of its own.  Rows
-    with one id count as one document.  Documents without an id link like others; a component of
-    none but such has a null component.
+    with one id and several texts are documents of their own.  Documents without an id link like
+    others; a component of none but such has a null component.
     """
     threshold = percent / 100
     n_bands = bands_for(threshold)
@@ -294,11 +294,10 @@ def groups(docs: DataFrame, percent: int, key: str = "doc_id", text: str = "text
     full = sketched.where(F.col("n_shingles") > 0).withColumn("node", node)
     content = ["n_shingles", "c1", "c2"]
     found = full.groupBy(*content).agg(F.min(F.struct("node", "row")).alias("x"), F.first("regs").alias("regs")).select(*content, F.col("x.node").alias("home"), "x.row", "regs")
-    # an id with several texts is one document: its other classes are nodes of their own, linked to it
+    # the further texts of an id are nodes of their own
     again = F.row_number().over(Window.partitionBy("home").orderBy("c1", "c2")) > 1
     found = found.withColumn("node", F.when(again, F.lit(NO_ID) + F.pmod(F.col("c1"), F.lit(1 << 60))).otherwise(F.col("home")))
     classes = kept(found, "classes")
-    same_id = classes.where("node != home").select(F.col("node").alias("a"), F.col("home").alias("b"))
     keys = kept(_band_keys(classes, n_bands), "bands")
 
     centre = keys.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("c"), F.count("*").alias("n")).where(F.col("n") > 1).select("key", F.col("c.node").alias("b"), F.col("c.n_shingles").alias("n_b"))
@@ -307,7 +306,7 @@ def groups(docs: DataFrame, percent: int, key: str = "doc_id", text: str = "text
     most = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
     first = first.withColumn("place", most).where(F.col("place") <= PARTNERS).select("a", "b")
     best = kept(_likely(first, classes, least).groupBy("a").agg(F.min("b").alias("b")), "first-pairs")
-    links = kept(_confirmed(best, classes, docs, percent, key, text).union(same_id), "first-links")
+    links = kept(_confirmed(best, classes, docs, percent, key, text), "first-links")
     labels = components(links)
 
     labelled = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -320,7 +319,9 @@ def groups(docs: DataFrame, percent: int, key: str = "doc_id", text: str = "text
         links = kept(links.union(_across(members, docs, percent, least, key, text)), "links-of-both")
         labels = components(links)
 
-    by_class = classes.join(labels, "node", "left").select(*content, F.coalesce("label", "node").alias("label"))
+    by_class = kept(classes.join(labels, "node", "left").select(*content, "home", F.coalesce("label", "node").alias("label")), "class-labels")
+    least_id = by_class.groupBy("label").agg(F.min(F.when(F.col("home") < NO_ID, F.col("home"))).alias("least_id"))
+    other = least_id.where(F.col("least_id") != F.col("label"))  # only where an id has several texts
+    by_class = by_class.join(other, "label", "left").select(*content, "label", F.coalesce("least_id", F.when(F.col("label") < NO_ID, F.col("label"))).alias("whole"))
     out = sketched.join(by_class, content, "left")
-    whole = F.when(F.col("label") < NO_ID, F.col("label"))
-    return out.select("id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, whole).otherwise(F.col("id")).alias("component"), "label")
+    return out.select("id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("whole")).otherwise(F.col("id")).alias("component"), "label")
