@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import paths, scalars
 from quillon.operators import nodes as trees
-from quillon.operators import reports, rules
+from quillon.operators import preprocess, reports, rules
 from quillon.plans import pattern
+from quillon.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -291,3 +292,34 @@ def even_sample(spark, d):
 def ratchet_eval(spark, d):
     m = spark.createDataFrame([("a", 5), ("b", 3), ("c", 4), ("d", 1)], "metric string, value int")
     return reports.ratchet(m, spark.createDataFrame([("a", 4), ("b", 4), ("c", 4)], "metric string, baseline int"))
+
+
+@query("""with a as (select conv_id, turn, role from conversations), b as (select conv_id - 1 as conv_id, turn, role from conversations where conv_id > 0), j as (select coalesce(a.conv_id, b.conv_id) as conv_id, coalesce(a.turn, b.turn) as turn, a.role as ours, b.role as theirs
+  from a full outer join b on a.conv_id = b.conv_id and a.turn = b.turn) select conv_id, min(turn) as turn from j where ours is distinct from theirs group by conv_id""")
+def first_divergence(spark, d):
+    """Two sequences zipped by position: the first place at which they differ."""
+    c = _t(spark, d, "conversations")
+    ours = c.select("conv_id", "turn", F.col("role").alias("ours"))
+    theirs = c.where("conv_id > 0").select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("role").alias("theirs"))
+    return ours.join(theirs, ["conv_id", "turn"], "full").where(~F.col("ours").eqNullSafe(F.col("theirs"))).groupBy("conv_id").agg(F.min("turn").alias("turn"))
+
+
+@query("select doc_id, format('{:,}', n_chars) as grouped, trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) as line from documents")
+def one_line_grouped(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.format_number("n_chars", 0).alias("grouped"), F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " ")).alias("line"))
+
+
+@query("select case when quality = 1 then 'valid' else 'invalid' end as verdict, count(*) as count from labels group by 1")
+def verdict_counts(spark, d):
+    return sinks.verdict_counts(_t(spark, d, "labels").select(F.when(F.col("quality") == 1, "valid").otherwise("invalid").alias("verdict")))
+
+
+@query("select doc_id, 1 as decided, cast(doc_id % 3 = 0 as int) as undecided, doc_id % 2 = 0 as kept from documents")
+def branch_reduction(spark, d):
+    """Each document within a branch that its language's symbols decide."""
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[#\r\n]", " ")
+    test = F.when(F.col("doc_id") % 2 == 0, "#ifndef __cplusplus\n").otherwise("#if defined(__cplusplus) && OTHER\n")
+    other = F.when(F.col("doc_id") % 3 == 0, "\n#ifdef UNKNOWN\n#endif").otherwise("")
+    r = _t(spark, d, "documents").select("doc_id", F.concat(test, F.lit("body "), body, F.lit("\n#endif"), other).alias("source"))
+    r = r.select("doc_id", preprocess.reduced(F.col("source"), "c").alias("r"))
+    return r.select("doc_id", "r.decided", "r.undecided", F.contains("r.text", F.lit("body ")).alias("kept"))
