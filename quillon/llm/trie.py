@@ -5,7 +5,7 @@ of a monotone pointer sequence.  Level 2 holds word pairs: each context points t
 successors, whose ids are made monotone by the context's base and Elias-Fano coded; a pair is
 found by searching the successors of its context only.  Pairs keep an 8-bit smoothed
 log10 probability and contexts an 8-bit back-off weight (absolute discounting, interpolated with
-add-one unigrams).  Pairs seen less than ``LEAST`` times are left to the back-off.
+add-one unigrams).  All pairs are kept, those seen once too.
 
 Levels are built by key range, one segment a task, from counts over all training documents, and
 written under ``spark.checkpoint.dir``, which must be mounted (a ``file:`` path) on all machines.
@@ -31,7 +31,8 @@ from quillon.llm.text import Words, mix, slices
 
 U = np.uint64
 END = mix(np.array([0xE0D0F7E87], dtype=np.uint64))[0]
-LEAST, DISCOUNT = 2, 0.75
+#: Pairs from this count on are kept: all.
+LEAST, DISCOUNT = 1, 0.75
 #: Steps of a quantised log10 probability in one decade; 255 is the least.
 STEPS = 25.0
 SIGN = U(1 << 63)
@@ -304,7 +305,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         _store(f"{folder}/2", name, arrays | {"prob": quantised(np.log10(p)), "backoff": quantised(np.log10(rest))})
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(pair)], pa.int64())], ["name", "n"])
 
-    pairs = texts.mapInArrow(count_pairs, "pair long, n int").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    pairs = texts.mapInArrow(count_pairs, "pair long, n int").groupBy("pair").agg(F.sum("n").alias("n"))
     by_context = pairs.withColumn("a", F.shiftright("pair", 32)).repartitionByRange("a").sortWithinPartitions("pair").select("pair", "n")
     said = by_context.mapInArrow(write_pairs, "name string, n long").collect()  # a row a segment
     model.pairs = Level(f"{folder}/2", [(int(r.name, 16), r.n, r.name) for r in said])

@@ -217,6 +217,18 @@ def test_trie(spark, docs, rows, empty, segments):
     assert [(r.n_known, r.base_score) for r in trie.score(docs.limit(1), nothing).collect()] == [(0, 0.0)]
 
 
+def test_trie_keeps_pairs_seen_once(spark):
+    d = spark.createDataFrame([(1, "a b c"), (2, "a c"), (3, "b c")], "doc_id long, text string")
+    model = trie.train(d)
+    assert model.pairs.base[-1] == 6  # end-a, a-b, b-c, c-end, a-c, end-b
+    got = {r.doc_id: r.score for r in trie.score(spark.createDataFrame([(1, "a b"), (2, "a a")], d.schema), model).collect()}
+    p1 = lambda n: (n + 1) / (10 + 4 + 1)  # noqa: E731  10 tokens, 4 distinct: a 2, b 2, c 3, end 3
+    end_a, a_b, a_rest = (2 - 0.75) / 3 + 1.5 / 3 * p1(2), (1 - 0.75) / 2 + 1.5 / 2 * p1(2), 1.5 / 2
+    b_end, a_end = 0.75 / 2 * p1(3), a_rest * p1(3)
+    for doc, p in ((1, (end_a, a_b, b_end)), (2, (end_a, a_rest * p1(2), a_end))):
+        assert abs(got[doc] - sum(np.log10(p))) < 3 * 0.75 / trie.STEPS
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 5), (1000, 1 << 62), (5000, 6000), (3000, 1 << 40)):
