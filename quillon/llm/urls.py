@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most frequent words kept for the split, and the longest word tried.
-LEXICON, LONGEST = 50_000, 24
+#: The longest word tried in the split.
+LONGEST = 24
 BUCKETS = 1 << 16
 MOST_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,11 +47,20 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return rule, verdict
 
 
-def lexicon(pages: DataFrame, text: str = "html", most: int = LEXICON) -> dict[str, int]:
-    """The ``most`` frequent words (runs of a-z, two letters or more) of all rows, with counts."""
+def _parts(pages: DataFrame, url: str) -> DataFrame:
+    """w: all stretches of 2 to ``LONGEST`` letters within a run of a-z of some URL."""
+    runs = pages.select(F.explode(F.split(F.lower(F.concat_ws("/", host_of(F.col(url)), path_of(F.col(url)))), "[^a-z]+")).alias("run")).where(F.length("run") > 1).distinct()
+    starts = runs.select("run", F.explode(F.expr("sequence(1, length(run) - 1)")).alias("i"))
+    return starts.select(F.explode(F.expr(f"transform(sequence(2, least({LONGEST}, length(run) - i + 1)), n -> substring(run, i, n))")).alias("w")).distinct()
+
+
+def lexicon(pages: DataFrame, text: str = "html", url: str = "url") -> dict[str, int]:
+    """The words (runs of a-z, two letters or more) of all rows that some URL can hold, with
+    counts; the empty word has the count of all others, so that the sum is that of all words."""
     words = pages.select(F.explode(F.split(F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "<[^>]*>", " ")), "[^a-z]+")).alias("w"))
     counts = words.where(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.count("*").alias("n"))
-    return {r.w: r.n for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()}
+    held = counts.join(_parts(pages, url).withColumn("held", F.lit(True)), "w", "left")
+    return {r.w: r.n for r in held.groupBy(F.when(F.col("held"), F.col("w")).otherwise("").alias("w")).agg(F.sum("n").alias("n")).collect()}
 
 
 def segmenter(counts: dict[str, int]):
@@ -107,7 +116,7 @@ def judge(urls: DataFrame, words: dict[str, int]) -> DataFrame:
     A rule's verdict stands.  Otherwise ``block`` if the posterior exceeds one half; with no
     decided rows to learn from everything else is allowed with ``p_block`` 0.
     """
-    shared = urls.sparkSession.sparkContext.broadcast(words)  # at most LEXICON words
+    shared = urls.sparkSession.sparkContext.broadcast(words)  # the words that some URL holds
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = _tokeniser(shared)

@@ -258,6 +258,16 @@ def test_urls(spark):
     assert urls.segmenter({"spam": 5, "farm": 5, "s": 1})("spamfarm") == ["spam", "farm"]
 
 
+def test_url_lexicon_keeps_rare_words(spark):
+    """A word seen once is kept however many words are more frequent, if a URL holds it."""
+    common = " ".join("w" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(50_001))
+    pages = spark.createDataFrame([(1, "http://zebrafarm.org/a", f"<p>{common} {common} farm</p>"), (2, None, "zebra zoo"), (3, "http://b.org/", None)], "page_id long, url string, html string")
+    words = urls.lexicon(pages)
+    assert (words["zebra"], words["farm"], "zoo" in words) == (1, 1, False)
+    assert sum(words.values()) == 2 * 50_001 + 3
+    assert urls.segmenter(words)("zebrafarm") == ["zebra", "farm"]
+
+
 def test_audit(spark):
     rows = [(i, f"http://h/{i}", "x" * (i % 50)) for i in range(600)] + [(None, None, None), (5, "http://h/5", "xxxxx")]
     schema = "page_id long, url string, html string"
