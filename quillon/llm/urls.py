@@ -9,10 +9,11 @@ model is bounded by ``BUCKETS`` and not by the data.
 from __future__ import annotations
 
 import math
-import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -85,14 +86,21 @@ def segmenter(counts: dict[str, int]):
     return split
 
 
+def _kind(c: str) -> str:
+    """``a``: letter or a mark on one, ``0``: digit, empty: other."""
+    return "a" if c.isalpha() or unicodedata.category(c)[0] == "M" else "0" if c.isdecimal() else ""
+
+
 def tokens(host: str, path: str, split) -> list[str]:
-    """Segmented host tokens (``h:``) and path tokens (``p:``); runs of digits become their length."""
+    """Host tokens (``h:``) and path tokens (``p:``) in lower case: runs of a-z segmented, runs with
+    other letters whole; runs of digits become their length."""
     out = []
-    for mark, s in (("h:", host), ("p:", path.lower())):
-        for run in re.findall(r"[a-z]+|[0-9]+|[^a-z0-9]+", s):
-            if run[0].isascii() and run[0].isalpha():
-                out += [mark + w for w in split(run)]
-            elif run[0].isdigit():
+    for mark, s in (("h:", host.lower()), ("p:", path.lower())):
+        for kind, run in groupby(s, _kind):
+            run = "".join(run)
+            if kind == "a":
+                out += [mark + w for w in (split(run) if run.isascii() else [run])]
+            elif kind:
                 out.append(f"{mark}#{len(run)}")
     return out
 

@@ -268,6 +268,11 @@ def test_url_lexicon_keeps_rare_words(spark):
     assert urls.segmenter(words)("zebrafarm") == ["zebra", "farm"]
 
 
+def test_url_tokens_of_all_alphabets():
+    split = urls.segmenter({"free": 5, "books": 5})
+    assert urls.tokens("münchen.freebooks.de", "/Café/日本語/cafe\u0301/12_٣٤٥", split) == ["h:münchen", "h:free", "h:books", "h:de", "p:café", "p:日本語", "p:cafe\u0301", "p:#2", "p:#3"]
+
+
 def test_audit(spark):
     rows = [(i, f"http://h/{i}", "x" * (i % 50)) for i in range(600)] + [(None, None, None), (5, "http://h/5", "xxxxx")]
     schema = "page_id long, url string, html string"
