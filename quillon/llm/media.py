@@ -60,12 +60,12 @@ def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Frames and bins of spectral peaks, in order.
 
     A peak is the strongest bin of its band, above the frame's mean power, and at least as
-    strong as that band's strongest bin in both neighbouring frames.
+    strong as that band's strongest bin in both neighbouring frames.  Silence fills the last frame.
     """
     x = np.frombuffer(samples, dtype=np.uint8)
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.full(FRAME - len(x), 128, np.uint8)])
-    n = (len(x) - FRAME) // HOP + 1
+    n = max(0, -(-(len(x) - FRAME) // HOP)) + 1
+    if (short := (n - 1) * HOP + FRAME - len(x)) > 0:
+        x = np.concatenate([x, np.full(short, 128, np.uint8)])
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for lo in range(0, n, BLOCK):
         a, b = max(0, lo - 1), min(n, lo + BLOCK + 1)

@@ -67,6 +67,16 @@ def test_media_tone_and_shift():
     assert media.from_wav(media.to_wav(b"\x00\xff" * 9)) == b"\x00\xff" * 9
 
 
+def test_media_last_partial_frame():
+    """A sound in the samples after the last whole frame leaves peaks."""
+    for units in (2, 9, 15):
+        quiet = np.full(576 * units, 128, np.uint8)
+        rest = (len(quiet) - media.FRAME) % media.HOP
+        heard = quiet.copy()
+        heard[-rest:] = 128 + 60 * np.sin(2 * np.pi * np.arange(rest) / 16)
+        assert rest and media.fingerprints(quiet.tobytes())[2] == 0 and media.fingerprints(heard.tobytes())[2] > 0
+
+
 def test_licences(docs, rows, empty):
     templates = licences.BASE + licences.ADDED
     n, seen = licences.frequencies(docs, templates)
