@@ -1,9 +1,9 @@
 """LM scoring with an Elias-Fano n-gram trie in memory-mapped levels.
 
-Level 1 holds the words (64-bit hashes, sorted, Elias-Fano) and their exact counts as the steps
-of a monotone pointer sequence.  Level 2 holds word pairs: each context points to its range of
-successors, whose ids are made monotone by the context's base and Elias-Fano coded; a pair is
-found by searching the successors of its context only.  Pairs keep an 8-bit smoothed
+Level 1 holds the words (64-bit hashes, sorted, Elias-Fano) and their exact counts as a plain
+array.  Level 2 holds word pairs: each context points to its range of successors by a monotone,
+Elias-Fano coded pointer sequence; the successors' ids are made monotone by the context's base and
+Elias-Fano coded; a pair is found by searching the successors of its context only.  Pairs keep an 8-bit smoothed
 log10 probability and contexts an 8-bit back-off weight (absolute discounting, interpolated with
 add-one unigrams).  All pairs are kept, those seen once too.
 
@@ -19,6 +19,7 @@ import os
 import shutil
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 from urllib.parse import urlparse
 
 import numpy as np
@@ -70,12 +71,13 @@ class EliasFano:
         a, b = self.low[word] >> shift, np.where(shift > 0, self.low[word + 1] << ((U(64) - shift) & U(63)), U(0))
         return (a | b) & U((1 << self.bits) - 1)
 
-    def _before(self, h: np.ndarray) -> np.ndarray:
-        """How many elements have high bits below ``h``: the place of zero number h - 1."""
-        k = np.maximum(h - 1, 0)
-        block = np.searchsorted(self.zeros, k, "right") - 1
-        left = k - self.zeros[block]
-        words = ~self.unary.reshape(-1, 8)[block]
+    def _place(self, k: np.ndarray, counts: np.ndarray, flip: bool) -> np.ndarray:
+        """Place of one number k (of zero number k with ``flip``) in the unary part; ``counts``:
+        how many come before each block."""
+        block = np.searchsorted(counts, k, "right") - 1
+        left = k - counts[block]
+        words = self.unary.reshape(-1, 8)[block]
+        words = ~words if flip else words
         count = np.bitwise_count(words).cumsum(axis=1, dtype=np.int64)
         word = (count <= left[:, None]).sum(axis=1)
         left -= np.where(word > 0, np.take_along_axis(count, np.maximum(word - 1, 0)[:, None], 1)[:, 0], 0)
@@ -87,11 +89,16 @@ class EliasFano:
             left -= np.where(up, below, 0)
             place += np.where(up, width, 0)
             x = np.where(up, x >> U(width), x)
-        return np.where(h > 0, block * 512 + word * 64 + place - k, 0)
+        return block * 512 + word * 64 + place
+
+    def _before(self, h: np.ndarray) -> np.ndarray:
+        """How many elements have high bits below ``h``: the place of zero number h - 1."""
+        k = np.maximum(h - 1, 0)
+        return np.where(h > 0, self._place(k, self.zeros, True) - k, 0)
 
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """Place of each value, -1 if it isn't there.  Values are searched among those that share
-        their high bits."""
+    def find(self, v: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Place of each value, -1 if it isn't there (with ``first`` and ``end``: not in its range of
+        places).  Values are searched among those that share their high bits."""
         if not self.n or not len(v):
             return np.full(len(v), -1, dtype=np.int64)
         out = np.empty(len(v), dtype=np.int64)
@@ -101,23 +108,24 @@ class EliasFano:
             inside = (h >= 0) & (h < self.top - 1)
             h = np.where(inside, h, 0)
             a, b = self._before(h), self._before(h + 1)
-            want, end = x & U((1 << self.bits) - 1), b
+            if first is not None:
+                a, b = np.maximum(a, first[lo : lo + (1 << 15)]), np.minimum(b, end[lo : lo + (1 << 15)])
+            want, stop = x & U((1 << self.bits) - 1), b
             while (open_ := a < b).any():
                 m = (a + b) >> 1
                 less = open_ & (self._lows(np.minimum(m, self.n - 1)) < want)
                 a, b = np.where(less, m + 1, a), np.where(open_ & ~less, m, b)
-            there = inside & (a < end) & (self._lows(np.minimum(a, self.n - 1)) == want)
+            there = inside & (a < stop) & (self._lows(np.minimum(a, self.n - 1)) == want)
             out[lo : lo + (1 << 15)] = np.where(there, a, -1)
         return out
 
+    @cached_property
+    def ones(self) -> np.ndarray:
+        return np.arange(len(self.zeros), dtype=np.int64) * 512 - self.zeros
+
     def at(self, i: np.ndarray) -> np.ndarray:
-        """Values at places, from the unary part by binary search on the zeros before them."""
-        lo, hi = np.zeros(len(i), dtype=np.int64), np.full(len(i), self.top, dtype=np.int64)
-        while (lo < hi - 1).any():  # the largest h with _before(h) <= i
-            m = (lo + hi) >> 1
-            ok = self._before(m) <= i
-            lo, hi = np.where(ok, m, lo), np.where(ok, hi, m)
-        return (lo.astype(np.uint64) << U(self.bits)) | self._lows(i)
+        """Values at places: high bits from the place of one number i."""
+        return ((self._place(i, self.ones, False) - i).astype(np.uint64) << U(self.bits)) | self._lows(i)
 
 
 def _store(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
@@ -207,7 +215,9 @@ class Model:
             ok = (rel >= 0) & (rel < len(seg.backoff))
             at = np.full(len(rel), -1, dtype=np.int64)
             ask = ok & (b[part] >= 0)
-            at[ask] = seg.key.find((rel[ask] * self.size + b[part][ask]).astype(np.uint64))
+            contexts, which = np.unique(rel[ask], return_inverse=True)
+            first, end = (seg.pointer.at(contexts + k).astype(np.int64)[which] for k in (0, 1))
+            at[ask] = seg.key.find((rel[ask] * self.size + b[part][ask]).astype(np.uint64), first, end)
             weight = np.where(ok, seg.backoff[np.clip(rel, 0, len(seg.backoff) - 1)], 0) / -STEPS
             found[part] = np.where(at >= 0, seg.prob[np.maximum(at, 0)] / -STEPS, own[part] + weight) if len(seg.prob) else own[part] + weight
         out[known] = found

@@ -251,6 +251,28 @@ def test_elias_fano():
             assert (ef.at(np.arange(len(v))) == v).all()
 
 
+def test_trie_searches_the_range_of_the_context(spark):
+    model = trie.train(spark.createDataFrame([(1, "a b c"), (2, "a c"), (3, "b c")], "doc_id long, text string"))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(4), np.arange(4), indexing="ij"))
+    own = np.full(16, -3.0)
+    said = model.pair(a, b, own)
+    for seg in model.pairs._open:
+        assert "pointer" in seg.__dict__
+        seg.pointer = trie.EliasFano(trie.EliasFano.arrays(np.zeros(seg.pointer.n, dtype=np.uint64)))  # no context has successors
+    none = model.pair(a, b, own)
+    assert (said != none).sum() == 6 and (none <= own).all()
+
+
+def test_elias_fano_with_repeats_and_ranges():
+    rng = np.random.default_rng(2)
+    for n, top in ((1, 3), (700, 300), (4000, 1 << 40)):
+        v = np.sort(rng.integers(0, top, n).astype(np.uint64))
+        assert (trie.EliasFano(trie.EliasFano.arrays(v)).at(np.arange(n)) == v).all()
+        v = np.unique(v)
+        ef, i = trie.EliasFano(trie.EliasFano.arrays(v)), np.arange(len(v))
+        assert (ef.find(v, i, i + 1) == i).all() and (ef.find(v, i + 1, i + 9) == -1).all() and (ef.find(v, i * 0, i) == -1).all()
+
+
 URLS = ["http://Example.org/es/a", "https://www.example.org/en/12?x", "http://a.com/fr/1", "http://a.com/de/1#y", "http://x.net/en/b", "ftp://org", "no scheme", "", None, "http://b.com://c/", "http://example.org/en/1", "http://notexample.org/es/", "http://h.net"]
 
 
