@@ -25,3 +25,9 @@ def test_query_equals_sql(spark, duck, name):
     rows = sorted((tuple(map(str, r)) for r in got.select(*cols).collect()))
     assert rows == sorted(tuple(map(str, r)) for r in want.select(*(duckdb.ColumnExpression(c) for c in cols)).fetchall())
     assert rows or name in ("never_built", "thin_kinds")
+
+
+def test_thin_kinds_beyond_twenty(spark, tmp_path):
+    spark.createDataFrame([(i, f"http://h/{i}", f"<x{i}>t</x{i}>") for i in range(30)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.kind for r in catalogue.thin_kinds(spark, str(tmp_path)).collect()}
+    assert {f"x{i}" for i in range(30)} <= got
