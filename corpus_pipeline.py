@@ -26,7 +26,8 @@ def _wrapped(docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no language: null texts and texts without a letter."""
     ship(spark)
-    judged = langid.predict(_wrapped(docs), langid.train(docs), extra=("_doc",))
+    profiles = langid.train(docs) or {"any": [0]}  # without labels all texts with letters are in the one language
+    judged = langid.predict(_wrapped(docs), profiles, extra=("_doc",))
     return judged.where(F.col("lang_pred") != langid.UNKNOWN).select("_doc.*")
 
 

@@ -346,6 +346,13 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert c.packed(spark, c.benchmark_leaks(spark, d.limit(0), str(tmp_path)), str(tmp_path)).count() == 0
 
 
+def test_pipeline_language_without_labels(spark):
+    import corpus_pipeline as c
+
+    d = spark.createDataFrame([(1, "some words"), (2, None), (3, "12 !!"), (4, "Ä")], "doc_id long, text string").selectExpr("*", "cast(null as string) as lang")
+    assert sorted(r.doc_id for r in c.language(spark, d, "").collect()) == [1, 4]
+
+
 def test_packing_encoder_equals_whole_tokenizer():
     rng = random.Random(5)
     signs = [chr(c) for c in range(0x180)] + list("   　ΣςİǅßſÉ́€’日👍﻿") + ["<|endoftext|>", "<|", "'re", "'LL", "The "]
