@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillon.llm.shared import frugal
+
 #: Payload unit in bytes; payloads are padded with ``PAD`` to a positive multiple of it.
 UNIT, PAD = 576, b"\xff"
 RATE = 8000
@@ -132,7 +134,7 @@ def wav_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                     ["doc_id", "n_bytes", "media"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, WAV_SCHEMA)
+    return docs.select(key, text).mapInArrow(frugal(run), WAV_SCHEMA)
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -157,4 +159,4 @@ def media_features(media: DataFrame) -> DataFrame:
                 names = [x.split()[0] for x in MEDIA_SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return media.mapInArrow(run, MEDIA_SCHEMA)
+    return media.mapInArrow(frugal(run), MEDIA_SCHEMA)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import kept, row_key
+from quillon.llm.shared import frugal, kept, row_key
 from quillon.llm.text import Words, mix, rolling, slices, within
 
 SHINGLE = 5
@@ -114,7 +114,7 @@ def similarity(more: np.ndarray, less: np.ndarray, m: int, n_a: np.ndarray, n_b:
     return (lo + hi) / 2
 
 
-SKETCH = "id long, row long, n_shingles long, c1 long, c2 long, regs binary"
+SKETCH = "id long, row binary, n_shingles long, c1 long, c2 long, regs binary"
 
 
 def sketches(docs: DataFrame, m: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,7 +140,7 @@ def sketches(docs: DataFrame, m: int, key: str = "doc_id", text: str = "text") -
                     ["id", "row", "n_shingles", "c1", "c2", "regs"],
                 )
 
-    return docs.select(F.col(key).cast("long").alias("id"), row_key(key, text).alias("row"), F.col(text)).mapInArrow(run, SKETCH)
+    return docs.select(F.col(key).cast("long").alias("id"), row_key(key, text).alias("row"), F.col(text)).mapInArrow(frugal(run), SKETCH)
 
 
 def _band_keys(classes: DataFrame, n_bands: int) -> DataFrame:
@@ -158,7 +158,7 @@ def _band_keys(classes: DataFrame, n_bands: int) -> DataFrame:
                     [pa.array(np.repeat(part.column(0).to_numpy(), n_bands)), pa.array(np.repeat(part.column(1).to_numpy(), n_bands)), pa.array(h.ravel().view(np.int64))], ["node", "n_shingles", "key"]
                 )
 
-    return classes.select("node", "n_shingles", "regs").mapInArrow(run, "node long, n_shingles long, key long")
+    return classes.select("node", "n_shingles", "regs").mapInArrow(frugal(run), "node long, n_shingles long, key long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -175,7 +175,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([p.column(0).filter(pa.array(ok)), p.column(1).filter(pa.array(ok)), pa.array(est[ok])], ["a", "b", "est"])
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "r_a", "n_b", "r_b")
-    return both.mapInArrow(run, "a long, b long, est double")
+    return both.mapInArrow(frugal(run), "a long, b long, est double")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
@@ -194,7 +194,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    return both.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "t_a", "t_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def _texts(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:

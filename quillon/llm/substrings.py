@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import kept, row_key
+from quillon.llm.shared import frugal, kept, row_key
 from quillon.llm.text import Words, pool_min, rolling, slices
 
 WINDOW, CORE = 50, 12
@@ -54,7 +54,7 @@ def minimisers(docs: DataFrame, key: str, text: str) -> DataFrame:
                     at = np.repeat([d for d, _ in found], [len(x) for _, x in found])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for _, x in found])), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at))], ["mini", "id", "row"])
 
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), row_key(key, text).alias("row"), F.col(text)).mapInArrow(run, "mini long, id long, row long")
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), row_key(key, text).alias("row"), F.col(text)).mapInArrow(frugal(run), "mini long, id long, row binary")
 
 
 def super_kmers(texts: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def super_kmers(texts: DataFrame) -> DataFrame:
                     ["mini", "packed", "pid", "id", "row", "start", "windows"],
                 )
 
-    return texts.select("id", "row", "text", "minis").mapInArrow(run, "mini long, packed binary, pid binary, id long, row long, start int, windows int")
+    return texts.select("id", "row", "text", "minis").mapInArrow(frugal(run), "mini long, packed binary, pid binary, id long, row binary, start int, windows int")
 
 
 def _windows(strings: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def _windows(strings: DataFrame) -> DataFrame:
                     at += range(k)
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(least, pa.int64()), pa.array(pid, pa.binary()), pa.array(at, pa.int32())], ["w", "least", "pid", "at"])
 
-    return strings.select("pid", "packed", "least").mapInArrow(run, "w binary, least long, pid binary, at int")
+    return strings.select("pid", "packed", "least").mapInArrow(frugal(run), "w binary, least long, pid binary, at int")
 
 
 def _earlier(ordered: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def _earlier(ordered: DataFrame) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], ["pid", "at", "least"])
 
-    return ordered.mapInArrow(run, "pid binary, at int, least long")
+    return ordered.mapInArrow(frugal(run), "pid binary, at int, least long")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -136,7 +136,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     strings = kept(super_kmers(texts).groupBy("mini", "packed").agg(F.first("pid").alias("pid"), F.min("id").alias("least")), "super-kmers")
     in_buckets = _windows(strings.repartition("mini")).sortWithinPartitions("w", "least")
     earlier = _earlier(in_buckets).groupBy("pid").agg(F.collect_list(F.struct("at", "least")).alias("earlier"))
-    known = strings.select("pid", "least").join(earlier, "pid", "left")
+    known = kept(strings.select("pid", "least").join(earlier, "pid", "left"), "known-strings")  # a table, so that a string in very many documents can be split
     places = super_kmers(texts).select("pid", "id", "row", "start", "windows").join(known, "pid")
     span = lambda a, z: F.struct(a.cast("long").alias("start"), z.cast("long").alias("end"))
     whole = F.array(span(F.col("start"), F.col("start") + F.col("windows") - 1 + WINDOW))
@@ -168,7 +168,7 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], ["row", "n_removed", "kept_text"])
 
     once = texts.join(spans, "row").groupBy("row").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
-    return once.mapInArrow(run, "row long, n_removed long, kept_text string")
+    return once.mapInArrow(frugal(run), "row binary, n_removed long, kept_text string")
 
 
 _BLANKS = str.maketrans({c: " " for c in "\t\n\v\f\r"})
@@ -183,7 +183,11 @@ def word_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_split(x.as_py()) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(w) for w in found], pa.int64()), pa.array([hashlib.sha256(" ".join(w).encode()).hexdigest() for w in found], pa.string())], ["doc_id", "row", "n_words", "all_sha256"])
-
-    return docs.select(F.col(key).cast("long"), row_key(key, text).alias("row"), F.col(text)).mapInArrow(run, "doc_id long, row long, n_words long, all_sha256 string")
+            count, sha = [], []
+            for x in b.column(2):
+                words = _split(x.as_py())
+                count.append(len(words))
+                sha.append(hashlib.sha256(" ".join(words).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "row", "n_words", "all_sha256"])
+
+    return docs.select(F.col(key).cast("long"), row_key(key, text).alias("row"), F.col(text)).mapInArrow(frugal(run), "doc_id long, row binary, n_words long, all_sha256 string")

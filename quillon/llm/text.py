@@ -66,6 +66,25 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range start .. end of ``data``; ranges come in order and don't overlap."""
+    out, i = np.empty(len(start), dtype=np.uint64), 0
+    while i < len(start):  # a stretch at a time, so that a long text needs no long table of powers
+        lo = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, lo + SLICE_BYTES, "right")))
+        out[i:j] = _span_keys(data[lo : end[j - 1]], start[i:j] - lo, end[i:j] - lo)
+        i = j
+    return out
+
+
+def _span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    n = len(data)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_TABLE[data] * _power(_MULT, n), out=total[1:])
+    h = (total[end] - total[start]) * _power(_INV, n + 1)[start]
+    return mix(h + (end - start).astype(np.uint64))
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a slice of documents.
 
@@ -93,11 +112,7 @@ class Words:
 
     @property
     def key(self) -> np.ndarray:
-        n = len(self.data)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_TABLE[self.data] * _power(_MULT, n), out=total[1:])
-        h = (total[self.end] - total[self.start]) * _power(_INV, n + 1)[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        return span_keys(self.data, self.start, self.end)
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all words, each followed by one space, and the start of each word there."""

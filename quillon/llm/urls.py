@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.shared import frugal
+
 #: The longest word tried in the split.
 LONGEST = 24
 BUCKETS = 1 << 16
@@ -136,7 +138,7 @@ def judge(urls: DataFrame, words: dict[str, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["verdict", "token", "n"])
 
     decided = urls.where(F.col("verdict").isNotNull()).select("host", "path", "verdict")
-    sums = decided.mapInArrow(count, "verdict string, token long, n long").groupBy("verdict", "token").agg(F.sum("n").alias("n"))
+    sums = decided.mapInArrow(frugal(count), "verdict string, token long, n long").groupBy("verdict", "token").agg(F.sum("n").alias("n"))
     n = np.zeros((2, BUCKETS + 1))
     for r in sums.collect():  # at most two classes of BUCKETS counts
         n[int(r.verdict == "block"), r.token] = r.n
@@ -154,4 +156,4 @@ def judge(urls: DataFrame, words: dict[str, int]) -> DataFrame:
             said = [v or ("block" if p > 0.5 else "allow") for v, p in zip(b.column(4).to_pylist(), block)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(said, pa.string()), pa.array(block, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "p_block"])
 
-    return urls.select("page_id", "host", "path", "rule", "verdict").mapInArrow(score, "page_id long, host string, path string, rule string, verdict string, p_block double")
+    return urls.select("page_id", "host", "path", "rule", "verdict").mapInArrow(frugal(score), "page_id long, host string, path string, rule string, verdict string, p_block double")
