@@ -1,25 +1,35 @@
 """LM scoring with an Elias-Fano n-gram trie in memory-mapped levels.
 
-Level 1 holds the words (64-bit hashes, sorted, Elias-Fano) and their exact counts as a plain
-array.  Level 2 holds word pairs: each context points to its range of successors by a monotone,
-Elias-Fano coded pointer sequence; the successors' ids are made monotone by the context's base and
-Elias-Fano coded; a pair is found by searching the successors of its context only.  Pairs keep an 8-bit smoothed
-log10 probability and contexts an 8-bit back-off weight (absolute discounting, interpolated with
-add-one unigrams).  All pairs are kept, those seen once too.
-
-Levels are built by key range, one segment a task, from counts over all training documents, and
-written under ``spark.checkpoint.dir``, which must be mounted (a ``file:`` path) on all machines.
-A segment is written aside and renamed, so a repeated task leaves the same one.  Workers map the
-segments instead of reading them.
+Level 1 holds the words (64-bit hashes, sorted): a word's id is its place.  Level 2 holds the words
+that follow each word, level 3 those that follow each pair.  A level's entries are sorted by
+context; a context points to the range of its successors by a monotone pointer sequence, and a
+successor is stored relative to its context (context's place * words + word), so that the whole
+level is monotone too.  Keys, pointers and the words' counts (as steps of their running sum) are
+Elias-Fano coded.  Scoring searches a word among the successors of its context only.
+
+Probabilities are smoothed by absolute discounting and interpolation: an entry keeps the discounted
+probability and each context the weight of the next lower order, both as 8-bit steps of log10; the
+lowest order is add-one unigrams with exact counts.  The history of a text's first word is the end
+mark alone.  All n-grams are kept, those seen once too.
+
+Levels 2 and 3 come from one count of triples over all training documents.  Contexts are dealt to
+segments of about ``SEGMENT`` training tokens by their first word's id, which is a rank of hashes and
+so independent of frequency; a word with more than a quarter of that has segments of its own, dealt
+by the second word's id.  Tasks send counts as packed sorted arrays, one for each segment they met;
+a segment's builder merges them as they come, so copies of a passage meet as one entry.
+
+Segments are files under ``spark.checkpoint.dir``, which must be mounted (a ``file:`` path) on all
+machines; each is written aside and renamed, so a repeated task leaves the same one.  Workers map
+the segments instead of reading them.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import shutil
 import uuid
 from collections.abc import Iterator
-from functools import cached_property
+from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
 import numpy as np
@@ -27,312 +37,395 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import shared_dir
+from quillon.llm.eliasfano import EliasFano, arrays
+from quillon.llm.shared import frugal, gathered, shared_dir
 from quillon.llm.text import Words, mix, slices
 
 U = np.uint64
 END = mix(np.array([0xE0D0F7E87], dtype=np.uint64))[0]
-#: Pairs from this count on are kept: all.
-LEAST, DISCOUNT = 1, 0.75
-#: Steps of a quantised log10 probability in one decade; 255 is the least.
-STEPS = 25.0
-SIGN = U(1 << 63)
-
-
-class EliasFano:
-    """A non-decreasing sequence of 64-bit numbers: packed low bits and a unary bit vector."""
-
-    @staticmethod
-    def arrays(v: np.ndarray) -> dict[str, np.ndarray]:
-        n, low = len(v), 0
-        if n:
-            low = max(0, int(v[-1]).bit_length() - n.bit_length())
-        bits = np.zeros((n * low + 63) // 64 * 64 + 128, dtype=np.uint8)
-        for k in range(low):
-            bits[k : n * low : low] = (v >> U(k)).astype(np.uint8) & 1
-        high = (v >> U(low)).astype(np.int64)
-        zeros = int(high[-1]) + 2 if n else 2
-        unary = np.zeros((n + zeros + 511) // 512 * 512, dtype=np.uint8)
-        unary[high + np.arange(n)] = 1
-        words = np.packbits(unary, bitorder="little").view(np.uint64)
-        each = 512 - np.bitwise_count(words.reshape(-1, 8)).sum(axis=1, dtype=np.int64)
-        before = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
-        return {"low": np.packbits(bits, bitorder="little").view(np.uint64), "unary": words, "zeros": before, "meta": np.array([n, low, zeros], dtype=np.int64)}
-
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.low, self.unary, self.zeros = arrays["low"], arrays["unary"], arrays["zeros"]
-        self.n, self.bits, self.top = (int(x) for x in arrays["meta"])
-
-    def _lows(self, i: np.ndarray) -> np.ndarray:
-        if not self.bits:
-            return np.zeros(len(i), dtype=np.uint64)
-        at = i.astype(np.uint64) * U(self.bits)
-        word, shift = (at >> U(6)).astype(np.int64), at & U(63)
-        a, b = self.low[word] >> shift, np.where(shift > 0, self.low[word + 1] << ((U(64) - shift) & U(63)), U(0))
-        return (a | b) & U((1 << self.bits) - 1)
-
-    def _place(self, k: np.ndarray, counts: np.ndarray, flip: bool) -> np.ndarray:
-        """Place of one number k (of zero number k with ``flip``) in the unary part; ``counts``:
-        how many come before each block."""
-        block = np.searchsorted(counts, k, "right") - 1
-        left = k - counts[block]
-        words = self.unary.reshape(-1, 8)[block]
-        words = ~words if flip else words
-        count = np.bitwise_count(words).cumsum(axis=1, dtype=np.int64)
-        word = (count <= left[:, None]).sum(axis=1)
-        left -= np.where(word > 0, np.take_along_axis(count, np.maximum(word - 1, 0)[:, None], 1)[:, 0], 0)
-        x = np.take_along_axis(words, word[:, None], 1)[:, 0]
-        place = np.zeros(len(k), dtype=np.int64)
-        for width in (32, 16, 8, 4, 2, 1):  # select within a word by halving
-            below = np.bitwise_count(x & U((1 << width) - 1)).astype(np.int64)
-            up = left >= below
-            left -= np.where(up, below, 0)
-            place += np.where(up, width, 0)
-            x = np.where(up, x >> U(width), x)
-        return block * 512 + word * 64 + place
-
-    def _before(self, h: np.ndarray) -> np.ndarray:
-        """How many elements have high bits below ``h``: the place of zero number h - 1."""
-        k = np.maximum(h - 1, 0)
-        return np.where(h > 0, self._place(k, self.zeros, True) - k, 0)
-
-    def find(self, v: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """Place of each value, -1 if it isn't there (with ``first`` and ``end``: not in its range of
-        places).  Values are searched among those that share their high bits."""
-        if not self.n or not len(v):
-            return np.full(len(v), -1, dtype=np.int64)
-        out = np.empty(len(v), dtype=np.int64)
-        for lo in range(0, len(v), 1 << 15):
-            x = v[lo : lo + (1 << 15)]
-            h = (x >> U(self.bits)).astype(np.int64)
-            inside = (h >= 0) & (h < self.top - 1)
-            h = np.where(inside, h, 0)
-            a, b = self._before(h), self._before(h + 1)
-            if first is not None:
-                a, b = np.maximum(a, first[lo : lo + (1 << 15)]), np.minimum(b, end[lo : lo + (1 << 15)])
-            want, stop = x & U((1 << self.bits) - 1), b
-            while (open_ := a < b).any():
-                m = (a + b) >> 1
-                less = open_ & (self._lows(np.minimum(m, self.n - 1)) < want)
-                a, b = np.where(less, m + 1, a), np.where(open_ & ~less, m, b)
-            there = inside & (a < stop) & (self._lows(np.minimum(a, self.n - 1)) == want)
-            out[lo : lo + (1 << 15)] = np.where(there, a, -1)
-        return out
-
-    @cached_property
-    def ones(self) -> np.ndarray:
-        return np.arange(len(self.zeros), dtype=np.int64) * 512 - self.zeros
-
-    def at(self, i: np.ndarray) -> np.ndarray:
-        """Values at places: high bits from the place of one number i."""
-        return ((self._place(i, self.ones, False) - i).astype(np.uint64) << U(self.bits)) | self._lows(i)
-
-
-def _store(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    aside = f"{folder}/.{name}-{uuid.uuid4().hex}"
-    os.makedirs(aside)
-    for k, v in arrays.items():
-        np.save(f"{aside}/{k}.npy", v)
-    try:
-        os.rename(aside, f"{folder}/{name}")
-    except OSError:  # another attempt of the task was first
-        shutil.rmtree(aside)
+DISCOUNT = 0.75
+#: Steps of a quantised log10 probability in one decade; 255 of them are nearly 16 decades.
+STEPS = 16.0
+#: Training tokens of a segment's contexts.
+SEGMENT = 1 << 20
+#: Bytes of text, and tokens, that are worked on together.
+GROUP, CHUNK = 4 << 20, 1 << 19
+#: Distinct words whose counts a task holds before it sends them on.
+HOLD = 1 << 19
+#: Segments that a worker keeps mapped.
+OPEN = 4096
+NONE = (1 << 32) - 1
+_P = 10.0 ** (-np.arange(256) / STEPS)
+
+
+def quantised(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.round(-np.log10(np.maximum(p, 1e-300)) * STEPS), 0, 255).astype(np.uint8)
+
+
+def _store(path: str, parts: dict[str, np.ndarray]) -> None:
+    """One file: the length of a JSON index, the index (type, offset, count of each array), the arrays."""
+    index, at = {}, 0
+    for k, v in parts.items():
+        index[k] = (v.dtype.str, at, len(v))
+        at += -(-v.nbytes // 64) * 64
+    head = json.dumps(index).encode()
+    head += b" " * (-(len(head) + 8) % 64)
+    aside = f"{os.path.dirname(path)}/.{uuid.uuid4().hex}"
+    with open(aside, "wb") as f:
+        f.write(len(head).to_bytes(8, "little") + head)
+        for v in parts.values():
+            f.write(np.ascontiguousarray(v).data)
+            f.write(b"\0" * (-v.nbytes % 64))
+    os.replace(aside, path)
 
 
 class Segment:
-    """The arrays of one segment, mapped on first use."""
+    """The arrays of one file, mapped; ``coded``: an Elias-Fano sequence among them."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.raw = np.memmap(path, dtype=np.uint8, mode="r")
+        size = int(self.raw[:8].view("<i8")[0])
+        self.index, self.base, self.known = json.loads(self.raw[8 : 8 + size].tobytes()), 8 + size, {}
 
-    def __getattr__(self, name: str):
-        if name in ("key", "pointer"):
-            out = EliasFano({k: np.load(f"{self.path}/{name}_{k}.npy", mmap_mode="r") for k in ("low", "unary", "zeros", "meta")})
-        else:
-            out = np.load(f"{self.path}/{name}.npy", mmap_mode="r")
-        setattr(self, name, out)
-        return out
+    def __getitem__(self, name: str) -> np.ndarray:
+        kind, at, n = self.index[name]
+        kind = np.dtype(kind)
+        return self.raw[self.base + at : self.base + at + n * kind.itemsize].view(kind).view(np.ndarray)
 
+    def coded(self, name: str) -> EliasFano:
+        if name not in self.known:
+            self.known[name] = EliasFano({k.split(".")[1]: self[k] for k in self.index if k.startswith(name + ".")})
+        return self.known[name]
 
-def _named(name: str, v: np.ndarray) -> dict[str, np.ndarray]:
-    return {f"{name}_{k}": x for k, x in EliasFano.arrays(v).items()}
 
+def _coded(name: str, v: np.ndarray) -> dict[str, np.ndarray]:
+    return {f"{name}.{k}": x for k, x in arrays(v.astype(np.uint64)).items()}
 
-def quantised(log10_p: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(-log10_p * STEPS), 0, 255).astype(np.uint8)
 
+@dataclass
+class Model:
+    """folder: the segments; total: training tokens; size: distinct ones.
 
-class Level:
-    """Segments in key order: first key and first id of each."""
+    word_base: ids before each segment of level 1; cold: segments of words that are not hot; hot:
+    ids of split words, with the first and the number of their segments and their back-off weight.
+    """
 
-    def __init__(self, folder: str, table: list[tuple[int, int, int]]):
-        table = sorted(table)
-        self.folder, self.first = folder, np.array([t[0] for t in table], dtype=np.uint64)
-        self.base = np.concatenate([[0], np.cumsum([t[1] for t in table])]).astype(np.int64)
-        self.part = [t[2] for t in table]
-        self._open: list[Segment] = []
+    folder: str
+    word_base: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    total: int = 0
+    size: int = 0
+    cold: int = 1
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    hot_first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    hot_parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    hot_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    hot_rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    built: set[int] = field(default_factory=set)
+
+    def __post_init__(self):
+        self._mapped: dict[str, Segment] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_open": []}
-
-    def each(self, keys: np.ndarray) -> Iterator[tuple[int, Segment, slice]]:
-        """For sorted keys: number, segment and range of those that fall into each segment."""
-        if not self._open:
-            self._open = [Segment(f"{self.folder}/{p}") for p in self.part]
-        cut = [0, *np.searchsorted(keys, self.first[1:]).tolist(), len(keys)] if len(self.first) else [0]
-        for i, (a, b) in enumerate(zip(cut, cut[1:])):
-            if a < b:
-                yield i, self._open[i], slice(a, b)
-
+        return self.__dict__ | {"_mapped": {}}
 
-class Model:
-    """words, pairs: levels; total: training tokens; size: distinct ones."""
-
-    def __init__(self, words: Level, pairs: Level | None, total: int, size: int):
-        self.words, self.pairs, self.total, self.size = words, pairs, total, size
+    def segment(self, name: str) -> Segment:
+        if name not in self._mapped:
+            if len(self._mapped) >= OPEN:
+                self._mapped.clear()
+            self._mapped[name] = Segment(f"{self.folder}/{name}")
+        return self._mapped[name]
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of sorted word keys; -1 and 0 where unknown."""
         ids, counts = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        for i, seg, part in self.words.each(keys):
-            at = seg.key.find(keys[part])
-            there = at >= 0
-            ids[part] = np.where(there, at + self.words.base[i], -1)
-            counts[part] = np.where(there, seg.count[np.maximum(at, 0)], 0)
+        parts = len(self.word_base) - 1
+        if not self.total:
+            return ids, counts
+        cut = np.searchsorted(word_part(keys, parts), np.arange(parts + 1))
+        for i, (lo, hi) in enumerate(zip(cut, cut[1:])):
+            if lo < hi and self.word_base[i] < self.word_base[i + 1]:
+                seg = self.segment(f"1-{i}")
+                x = keys[lo:hi]
+                least = seg["least"][0]
+                at = np.where(x >= least, seg.coded("key").find(np.maximum(x, least) - least), -1)
+                there = np.flatnonzero(at >= 0)
+                a, b = seg.coded("count").two(at[there])
+                ids[lo + there] = at[there] + self.word_base[i]
+                counts[lo + there] = b - a
         return ids, counts
 
-    def unigram(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 1.0) / (self.total + self.size + 1.0))
-
-    def pair(self, a: np.ndarray, b: np.ndarray, log_b: np.ndarray) -> np.ndarray:
-        """log10 p(b | a) for pairs sorted by (a, b) of ids, -1 for unknown; log_b: log10 p(b)."""
-        out = log_b.copy()
-        known = a >= 0
-        a, b, own = a[known], b[known], log_b[known]
-        found = own.copy()
-        for i, seg, part in self.pairs.each(a.astype(np.uint64)):
-            rel = a[part] - int(self.pairs.first[i])
-            ok = (rel >= 0) & (rel < len(seg.backoff))
-            at = np.full(len(rel), -1, dtype=np.int64)
-            ask = ok & (b[part] >= 0)
-            contexts, which = np.unique(rel[ask], return_inverse=True)
-            first, end = (seg.pointer.at(contexts + k).astype(np.int64)[which] for k in (0, 1))
-            at[ask] = seg.key.find((rel[ask] * self.size + b[part][ask]).astype(np.uint64), first, end)
-            weight = np.where(ok, seg.backoff[np.clip(rel, 0, len(seg.backoff) - 1)], 0) / -STEPS
-            found[part] = np.where(at >= 0, seg.prob[np.maximum(at, 0)] / -STEPS, own[part] + weight) if len(seg.prob) else own[part] + weight
-        out[known] = found
-        return out
-
-
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def part_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Segment of successors ``b`` of words ``a``."""
+        part = a * self.cold // max(self.size, 1)
+        if len(self.hot):
+            j = np.minimum(np.searchsorted(self.hot, a), len(self.hot) - 1)
+            at = np.flatnonzero(self.hot[j] == a)
+            j = j[at]
+            part[at] = self.hot_first[j] + b[at] * self.hot_parts[j] // self.size
+        return part
+
+    def contexts(self, part: int) -> tuple[int, int]:
+        """The words (first, number) whose successors segment ``part`` holds."""
+        if part < self.cold:
+            lo, hi = (-(-i * self.size // self.cold) for i in (part, part + 1))
+            return lo, hi - lo
+        return int(self.hot[np.searchsorted(self.hot_first, part, "right") - 1]), 1
+
+    def by_part(self, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each segment that was built, with the places of its rows in ``part``."""
+        order = np.argsort(part, kind="stable")
+        edge = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+        for lo, hi in zip(edge, edge[1:]):
+            if (p := int(part[order[lo]])) in self.built:
+                yield p, order[lo:hi]
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(part, place, probability, rest) of sorted pairs of ids: where the pair stands (-1: nowhere), its
+        discounted probability (0: none) and the weight of the lower order after ``a``."""
+        part, place = self.part_of(a, b), np.full(len(a), -1, dtype=np.int64)
+        p, rest = np.zeros(len(a)), np.ones(len(a))
+        for i, rows in self.by_part(part):
+            seg, (lo, _) = self.segment(f"2-{i}"), self.contexts(i)
+            rel = a[rows] - lo
+            asked, which = np.unique(rel, return_inverse=True)
+            first, end = seg.coded("ptr2").two(asked)
+            at = seg.coded("key2").find((rel * self.size + b[rows]).astype(np.uint64), first[which], end[which])
+            place[rows] = at
+            found = at >= 0
+            p[rows[found]] = _P[seg["prob2"][at[found]]]
+            rest[rows] = _P[seg["rest1"][rel]]
+        if len(self.hot):
+            j = np.minimum(np.searchsorted(self.hot, a), len(self.hot) - 1)
+            rest = np.where(self.hot[j] == a, self.hot_rest[j], rest)
+        return part, place, p, rest
+
+    def triples(self, part: np.ndarray, place: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability, rest) of words ``c`` after pairs at the given places: discounted (0: none), and
+        the weight of the lower order."""
+        p, rest = np.zeros(len(c)), np.ones(len(c))
+        for i, rows in self.by_part(part):
+            seg, at = self.segment(f"2-{i}"), place[rows]
+            first, end = seg.coded("ptr3").two(at)
+            known = c[rows] >= 0
+            found = seg.coded("key3").find((at * self.size + c[rows])[known].astype(np.uint64), first[known], end[known])
+            there = found >= 0
+            p[rows[known][there]] = _P[seg["prob3"][found[there]]]
+            rest[rows] = _P[seg["rest2"][at]]
+        return p, rest
+
+
+def word_part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+
+
+def _tokens(batch: pa.RecordBatch, column: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(keys, first): words and one end of each text, and each text's bounds."""
-    w = Words(column, lower=True)
-    return np.insert(w.key, w.first[1:], END), w.first + np.arange(len(w.first))
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64)
-
-
-def _pairs_of(model: Model, keys: np.ndarray, first: np.ndarray):
-    """Ids, counts of all tokens and the id before each (the end's at a start)."""
-    distinct, at = np.unique(keys, return_inverse=True)
-    ids, counts = model.look_up(distinct)
-    own = ids[at]
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
-    end = ids[np.searchsorted(distinct, END)] if len(distinct) else -1
-    before[first[:-1]] = end
-    return own, counts[at], before
-
-
-def train(docs: DataFrame, text: str = "text") -> Model:
+    keys, count = [], []
+    for lo, hi in slices(batch.column(column)):
+        w = Words(batch.column(column).slice(lo, hi - lo), lower=True)
+        keys.append(np.insert(w.key, w.first[1:], END))
+        count.append(w.count + 1)
+    return np.concatenate(keys), np.concatenate([[0], *count]).cumsum()
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers starts."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Sorted first column as differences, all columns by bytes, compressed."""
+    first = np.diff(columns[0].astype(np.uint64), prepend=U(0))
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in (first, *(c.astype(np.uint32) for c in columns[1:])))
+    return len(first).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.decompress(blob[8:], n * (4 + 4 * columns), codec="zstd", asbytes=True), dtype=np.uint8)
+    out = [np.cumsum(raw[: 8 * n].reshape(8, n).T.copy().view(np.uint64).ravel(), dtype=np.uint64)]
+    return out + [raw[4 * n * k : 4 * n * (k + 1)].reshape(4, n).T.copy().view(np.uint32).ravel() for k in range(2, columns + 1)]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], columns: int, merge, most: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each part of rows (part, blob), sorted by part, with its columns merged."""
+    now, waiting, size = None, [], 0
+    for b in batches:
+        for part, blob in zip(b.column(0).to_pylist(), b.column(1)):
+            if part != now:
+                if waiting:
+                    yield now, merge(waiting)
+                now, waiting, size = part, [], 0
+            waiting.append(_unpacked(blob.as_py(), columns))
+            size += len(waiting[-1][0])
+            if size > most:
+                waiting = [merge(waiting)]
+                size = len(waiting[0][0])
+                most = max(most, 2 * size)
+    if waiting:
+        yield now, merge(waiting)
+
+
+def _merged_words(found: list[list[np.ndarray]]) -> list[np.ndarray]:
+    key, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return [key, np.bincount(at, np.concatenate([n for _, n in found]), len(key)).astype(np.int64)]
+
+
+def _merged_triples(found: list[list[np.ndarray]]) -> list[np.ndarray]:
+    pair, c, n = (np.concatenate(x) for x in zip(*found))
+    known, which = np.unique(pair, return_inverse=True)
+    both = (which.astype(np.uint64) << U(32)) | c
+    order = np.argsort(both)
+    both = both[order]
+    at = _runs(both)
+    both = both[at]
+    return [known[(both >> U(32)).astype(np.int64)], (both & U(NONE)).astype(np.uint32), np.add.reduceat(n[order].astype(np.int64), at)]
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows (part, blob) with those of a part together, in order, in one task of few parts."""
+    tasks = max(1, min(parts, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
+
+
+def train(docs: DataFrame, text: str = "text", segment: int | None = None) -> Model:
     """Counts all texts of ``docs`` (null: empty) and builds the levels; an empty table gives a
-    model that knows nothing."""
-    spark = docs.sparkSession
+    model that knows nothing.  Repeated rows count as often as they stand there."""
+    spark, segment = docs.sparkSession, segment or SEGMENT
     place = urlparse(shared_dir(spark))
     if place.scheme not in ("", "file"):
         raise ValueError("memory-mapped levels need spark.checkpoint.dir on a path mounted on all machines")
     folder = f"{place.path}/trie-{uuid.uuid4().hex}"
-    for level in ("1", "2"):
-        os.makedirs(f"{folder}/{level}")
+    os.makedirs(folder)
     texts = docs.select(F.col(text))
+    word_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def blobs(part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        edge = np.append(_runs(part), len(part))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[edge[:-1]], pa.int32()), pa.array([_packed(*(c[lo:hi] for c in columns)) for lo, hi in zip(edge, edge[1:])], pa.binary())], ["part", "blob"]
+        )
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, counts = [], []
-            for lo, hi in slices(b.column(0)):
-                k, n = np.unique(_tokens(b.column(0).slice(lo, hi - lo))[0], return_counts=True)
-                keys.append(k)
-                counts.append(n)
-            if keys:
-                k, n = _summed(keys, counts)
-                yield pa.RecordBatch.from_arrays([pa.array((k ^ SIGN).view(np.int64)), pa.array(n)], ["key", "n"])  # signed order is now the keys' order
+        held: list[list[np.ndarray]] = []
+        for b in gathered(batches, 0, GROUP):
+            held = [_merged_words([*held, list(np.unique(_tokens(b)[0], return_counts=True))])]
+            if len(held[0][0]) > HOLD or held[0][1].max() > 1 << 30:
+                yield blobs(word_part(held[0][0], word_parts), *held.pop())
+        for key, n in held:
+            yield blobs(word_part(key, word_parts), key, n)
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if rows:
-            key = np.concatenate([b.column(0).to_numpy() for b in rows]).view(np.uint64) ^ SIGN
-            n = np.concatenate([b.column(1).to_numpy() for b in rows])
-            name = f"{int(key[0]):016x}"
-            _store(f"{folder}/1", name, _named("key", key) | {"count": n if n.max() >= 1 << 32 else n.astype(np.uint32)})
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(key)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["name", "n", "total"])
-
-    words = texts.mapInArrow(count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    said = words.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(write_words, "name string, n long, total long").collect()  # a row a segment
-    level = Level(f"{folder}/1", [(int(r.name, 16), r.n, r.name) for r in said])
-    model = Model(level, None, sum(r.total for r in said), sum(r.n for r in said))
+        for part, (key, n) in _parts(batches, 2, _merged_words, 2 * HOLD):
+            _store(f"{folder}/1-{part}", {"least": key[:1]} | _coded("key", key - key[0]) | _coded("count", np.concatenate([[0], np.cumsum(n)])))
+            at = np.flatnonzero(n > segment // 4)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, len(key), int(n.sum()), at, n[at]), kinds)], ["part", "n", "total", "hot", "hot_n"])
+
+    counts = _dealt(texts.mapInArrow(frugal(count_words), "part int, blob binary"), word_parts)
+    said = counts.mapInArrow(frugal(write_words), "part int, n long, total long, hot array<long>, hot_n array<long>").collect()  # a row a segment
+    if not said:
+        return Model(folder)
+    size = np.zeros(word_parts, dtype=np.int64)
+    size[[r.part for r in said]] = [r.n for r in said]
+    base = np.concatenate([[0], np.cumsum(size)])
+    hot = sorted((int(base[r.part]) + i, n) for r in said for i, n in zip(r.hot, r.hot_n))  # below four for each segment of tokens
+    total = sum(r.total for r in said)
+    cold, split = -(-total // segment), np.array([-(-4 * n // segment) for _, n in hot], dtype=np.int64)
+    model = Model(folder, base, total, int(base[-1]), cold, np.array([i for i, _ in hot], np.int64), cold + np.cumsum(split) - split, split, np.array([n for _, n in hot], np.int64))
     if model.size >= 1 << 31:
         raise ValueError("more than 2 ** 31 distinct words")
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, counts = [], []
-            for lo, hi in slices(b.column(0)):
-                own, _, before = _pairs_of(model, *_tokens(b.column(0).slice(lo, hi - lo)))
-                k, n = np.unique((before << 32) | own, return_counts=True)
-                keys.append(k)
-                counts.append(n)
-            if keys:
-                k, n = _summed(keys, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int32))], ["pair", "n"])
-
-    def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        pair, n = (np.concatenate([b.column(i).to_numpy() for b in rows]) for i in (0, 1))
-        a, b = pair >> 32, pair & 0xFFFFFFFF
-        first = int(a[0])
-        heads = np.arange(first, int(a[-1]) + 1)
-        contexts, of_all = _counts_by_id(model, heads), np.bincount(a - first, np.maximum(n - DISCOUNT, 0), len(heads))
-        rest = np.maximum(1 - of_all / np.maximum(contexts, 1), 1e-9)
-        p = np.maximum(n - DISCOUNT, 0) / contexts[a - first] + rest[a - first] * 10 ** model.unigram(_counts_by_id(model, b))
-        bounds = np.searchsorted(a, np.append(heads, heads[-1] + 1)).astype(np.uint64)
-        name = f"{first:016x}"
-        arrays = _named("key", ((a - first) * model.size + b).astype(np.uint64)) | _named("pointer", bounds)
-        _store(f"{folder}/2", name, arrays | {"prob": quantised(np.log10(p)), "backoff": quantised(np.log10(rest))})
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(pair)], pa.int64())], ["name", "n"])
-
-    pairs = texts.mapInArrow(count_pairs, "pair long, n int").groupBy("pair").agg(F.sum("n").alias("n"))
-    by_context = pairs.withColumn("a", F.shiftright("pair", 32)).repartitionByRange("a").sortWithinPartitions("pair").select("pair", "n")
-    said = by_context.mapInArrow(write_pairs, "name string, n long").collect()  # a row a segment
-    model.pairs = Level(f"{folder}/2", [(int(r.name, 16), r.n, r.name) for r in said])
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches, 0, GROUP):
+            keys, first = _tokens(b)
+            start, last = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+            start[first[:-1]], last[first[1:] - 1] = True, True
+            for lo in range(0, len(keys), CHUNK):
+                hi = min(lo + CHUNK, len(keys))
+                distinct, at = np.unique(np.concatenate([[END], keys[max(lo - 1, 0) : hi + 1], [END]]), return_inverse=True)
+                at = at.astype(np.uint64)
+                now = np.arange(hi - lo) + (2 if lo else 1)
+                before = np.where(start[lo:hi], at[0], at[now - 1])
+                after = np.where(last[lo:hi], U((1 << 21) - 1), at[now + 1])
+                triples = np.sort((before << U(42)) | (at[now] << U(21)) | after)
+                edge = _runs(triples)
+                n = np.diff(np.append(edge, len(triples)))
+                triples = triples[edge]
+                ids, _ = model.look_up(distinct)
+                a, m, c = (((triples >> U(k)) & U((1 << 21) - 1)).astype(np.int64) for k in (42, 21, 0))
+                a, m, c = ids[a], ids[m], np.where(c == (1 << 21) - 1, NONE, np.append(ids, 0)[np.minimum(c, len(ids))])
+                part = model.part_of(a, m)
+                yield blobs(part, (a << 32) | m, c, n)
+
+    def write_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (pair, c, n) in _parts(batches, 3, _merged_triples, segment):
+            lo, heads = model.contexts(part)
+            edge = _runs(pair)
+            pair, n2 = pair[edge], np.add.reduceat(n, edge)
+            rel, b = (pair >> U(32)).astype(np.int64) - lo, (pair & U(NONE)).astype(np.int64)
+            bounds2 = np.searchsorted(rel, np.arange(heads + 1))
+            of = model.hot_count[np.searchsorted(model.hot, [lo])] if part >= model.cold else np.bincount(rel, n2, heads)
+            whole = np.flatnonzero(c != NONE)
+            of_pair = np.repeat(np.arange(len(pair)), np.diff(np.append(edge, len(c))))[whole]
+            c3, n3 = c[whole].astype(np.int64), n[whole]
+            bounds3 = np.searchsorted(of_pair, np.arange(len(pair) + 1))
+            columns = _coded("ptr2", bounds2) | _coded("key2", rel * model.size + b) | _coded("ptr3", bounds3) | _coded("key3", of_pair * model.size + c3)
+            columns |= {"prob2": quantised((n2 - DISCOUNT) / of[rel]), "rest1": quantised(DISCOUNT * np.diff(bounds2) / np.maximum(of, 1))}
+            columns |= {"prob3": quantised((n3 - DISCOUNT) / n2[of_pair]), "rest2": quantised(DISCOUNT * np.diff(bounds3) / n2)}
+            _store(f"{folder}/2-{part}", columns)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(pair)], pa.int64()), pa.array([len(c3)], pa.int64())], ["part", "pairs", "triples"])
+
+    triples = _dealt(texts.mapInArrow(frugal(count_triples), "part int, blob binary"), int(cold + split.sum()))
+    said = triples.mapInArrow(frugal(write_triples), "part int, pairs long, triples long").collect()  # a row a segment
+    model.built = {r.part for r in said}
+    followers = np.zeros(len(hot))
+    for r in said:
+        if r.part >= cold:
+            followers[np.searchsorted(model.hot_first, r.part, "right") - 1] += r.pairs
+    model.hot_rest = _P[quantised(DISCOUNT * followers / np.maximum(model.hot_count, 1))]
     return model
 
 
-def _counts_by_id(model: Model, ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(ids), dtype=np.int64)
-    which = np.searchsorted(model.words.base, ids, "right") - 1
-    model.words._open = model.words._open or [Segment(f"{model.words.folder}/{p}") for p in model.words.part]
-    for i in np.unique(which):
-        at = which == i
-        out[at] = model.words._open[i].count[ids[at] - model.words.base[i]]
-    return out
+SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def _scored(model: Model, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known tokens, base score, score) of each text."""
+    known, base, score = (np.zeros(len(first) - 1) for _ in range(3))
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    start = np.zeros(len(keys), dtype=bool)
+    start[first[:-1]] = True
+    for lo in range(0, len(keys), CHUNK):
+        hi = min(lo + CHUNK, len(keys))
+        far = max(lo - 2, 0)
+        distinct, at = np.unique(np.append(keys[far:hi], END), return_inverse=True)
+        ids, counts = model.look_up(distinct)
+        p1 = (counts + 1) / (model.total + model.size + 1)
+        end, at = at[-1], at[:-1]
+        near = max(lo - 1, 0)  # pairs start one token earlier: the first token's context
+        cur = at[near - far :]
+        before = np.where(start[near:hi], end, at[np.maximum(np.arange(near, hi) - 1 - far, 0)])
+        pair, which = np.unique((before.astype(np.uint64) << U(32)) | cur.astype(np.uint64), return_inverse=True)
+        a, b = (pair >> U(32)).astype(np.int64), (pair & U(NONE)).astype(np.int64)
+        part, place, p2, rest = np.zeros(len(pair), np.int64), np.full(len(pair), -1), np.zeros(len(pair)), np.ones(len(pair))
+        ask = np.flatnonzero((ids[a] >= 0) & (ids[b] >= 0))
+        part[ask], place[ask], p2[ask], rest[ask] = model.pairs(ids[a[ask]], ids[b[ask]])
+        ask = np.flatnonzero((ids[a] >= 0) & (ids[b] < 0))  # the weight after a doesn't depend on b
+        rest[ask] = model.pairs(ids[a[ask]], np.zeros(len(ask), np.int64))[3]
+        p2 += rest * p1[b]
+        p = p2[which]
+        then = np.flatnonzero(~start[near:hi] & (np.arange(near, hi) >= max(lo, 1)))
+        then = then[place[which[then - 1]] >= 0]
+        triple, of = np.unique((which[then - 1].astype(np.uint64) << U(32)) | cur[then].astype(np.uint64), return_inverse=True)
+        context, c = (triple >> U(32)).astype(np.int64), (triple & U(NONE)).astype(np.int64)
+        p3, rest2 = model.triples(part[context], place[context], ids[c])
+        p[then] = p3[of] + rest2[of] * p[then]
+        own = slice(lo - near, None)
+        d = doc[lo:hi]
+        for total, x in ((known, counts[cur] > 0), (base, np.log10(p1)[cur]), (score, np.log10(p))):
+            total += np.bincount(d, x[own], len(total))
+    return known, base, score
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -342,22 +435,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in slices(b.column(0)):
-                part = b.slice(lo, hi - lo)
-                keys, first = _tokens(part.column(0))
-                own, count, before = _pairs_of(model, keys, first)
-                base = model.unigram(count)
-                order = np.lexsort((own, before))
-                log_p = np.empty(len(base))
-                log_p[order] = model.pair(before[order], own[order], base[order])
-                n = np.diff(first)
-                add = lambda v: np.add.reduceat(v, first[:-1])  # noqa: E731  each text has its end
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(n), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(len(n), model.total)), pa.array(add(base)), pa.array(add(log_p))],
-                    [*part.schema.names[1:], *(x.split()[0] for x in SCORES.split(", "))],
-                )
+        for b in gathered(batches, 0, GROUP):
+            keys, first = _tokens(b)
+            known, base, total = _scored(model, keys, first)
+            n = np.diff(first)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[1:], pa.array(n), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), model.total)), pa.array(base), pa.array(total)],
+                [*b.schema.names[1:], *(x.split()[0] for x in SCORES.split(", "))],
+            )
 
     rows = docs.select(F.col(text).alias("_text"), F.col(key), *(F.col(c) for c in extra))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
-    return rows.mapInArrow(run, ", ".join([*kinds, SCORES]))
+    return rows.mapInArrow(frugal(run), ", ".join([*kinds, SCORES]))
