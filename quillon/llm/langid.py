@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import sys
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.shared import frugal
+
 PROFILE = 300
-#: Characters counted together.
-PIECE = 1 << 20
+#: Characters counted together; the result doesn't depend on it.
+PIECE = 1 << 16
+#: Distinct n-grams of a language that a task holds before it sends their counts on.
+HOLD = 1 << 18
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -35,34 +39,45 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams (as numbers) of the lower-cased text and their counts, over all of it.
-
-    Anything but letters separates words; a word's edges count as one blank; no n-gram spans
-    two words.
-    """
-    parts = [_grams(text[i : i + PIECE]) for i in range(0, len(text), PIECE)] or [_grams("")]
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if len(parts) == 1:
         return parts[0]
     keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
-    is_letter = letters()[code]
-    if not is_letter.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    before = np.empty_like(is_letter)
-    before[1:], before[0] = is_letter[:-1], True
-    kept = is_letter | before
-    code = np.concatenate([[32], np.where(is_letter, code, 32)[kept], [32]])
-    mid = code[1:-1] != 32
-    three = ((code[:-2] << 42) | (code[1:-1] << 21) | code[2:])[mid]
-    two = ((code[:-1] << 21) | code[1:])[(code[:-1] != 32) | (code[1:] != 32)]
-    every = np.concatenate([code[code != 32], two, three])
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams (as numbers) of the lower-cased text and their counts, over all of it.
+
+    Anything but letters separates words; a word's edges count as one blank; no n-gram spans
+    two words.  The text is read a piece at a time; the last two characters before a piece are
+    carried into it, so an n-gram or word across pieces counts as in the whole text.
+    """
+    parts, tail, inside = [], np.array([32], dtype=np.int64), False
+    for i in range(0, len(text), PIECE):
+        # sigma first: it is the one letter whose lower case depends on its neighbours
+        code = np.frombuffer(text[i : i + PIECE].replace("\u03a3", "\u03c3").lower().encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
+        is_letter = letters()[code]
+        before = np.concatenate([[inside], is_letter[:-1]])
+        new = np.where(is_letter, code, 32)[is_letter | before]
+        inside = bool(is_letter[-1])
+        if len(new):
+            parts.append(_counted(tail, new))
+            tail = np.concatenate([tail, new])[-2:]
+    if inside:
+        parts.append(_counted(tail, np.array([32], dtype=np.int64)))
+    return _summed(parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _counted(tail: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams that end within ``new``, which follows ``tail``."""
+    code = np.concatenate([tail, new])
+    three = ((code[:-2] << 42) | (code[1:-1] << 21) | code[2:])[code[1:-1] != 32]
+    last = code[len(tail) - 1 :]
+    two = ((last[:-1] << 21) | last[1:])[(last[:-1] != 32) | (last[1:] != 32)]
+    every = np.concatenate([new[new != 32], two, three])
     every.sort()
-    edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[: len(every)])
     return every[edge], np.diff(np.append(edge, len(every)))
 
 
@@ -78,30 +93,34 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", k: int = PROF
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts: dict[str, list[str]] = defaultdict(list)
-            waiting: dict[str, int] = defaultdict(int)
-            found: dict[str, list] = defaultdict(list)
+        texts: dict[str, list[str]] = defaultdict(list)
+        waiting: dict[str, int] = defaultdict(int)
+        found: dict[str, list] = defaultdict(list)
+
+        def flush(name: str) -> None:
+            found[name] = [_summed([*found[name], grams(" ".join(texts.pop(name)))])]
+            waiting.pop(name)
 
-            def flush(name: str) -> None:
-                found[name].append(grams(" ".join(texts.pop(name))))
-                waiting.pop(name)
+        def sent(name: str) -> pa.RecordBatch:
+            keys, n = found.pop(name)[0]
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
 
+        for b in batches:
             for name, x in zip(b.column(0), b.column(1)):
                 name, x = name.as_py(), x.as_py()
                 texts[name].append(x)
-                waiting[name] += len(x)
+                waiting[name] += len(x) + 1
                 if waiting[name] > PIECE:
                     flush(name)
-            for name in list(texts):
-                flush(name)
-            for name, parts in found.items():
-                keys, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
+                    if len(found[name][0][0]) > HOLD:
+                        yield sent(name)
+        for name in list(texts):
+            flush(name)
+        for name in list(found):
+            yield sent(name)
 
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(frugal(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     out: dict[str, list[int]] = defaultdict(list)
@@ -117,6 +136,17 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id"
     score 0 if text is null or has no letter, or if there are no profiles.  score is 1 less the
     distance as a share of the largest possible.  Each row is judged alone: repeated rows repeat.
     """
+    rows = docs.select(F.col(text).alias("_text"), F.col(key), *(F.col(c) for c in extra))
+    return _judged(rows, profiles, lambda b: b.column(0), 1)
+
+
+def predict_whole(rows: DataFrame, profiles: dict[str, list[int]], text: str = "text") -> DataFrame:
+    """``rows``, one struct column that holds ``text``, with lang_pred and score as in ``predict``; the
+    text travels once."""
+    return _judged(rows, profiles, lambda b: b.column(0).field(text), 0)
+
+
+def _judged(rows: DataFrame, profiles: dict[str, list[int]], texts: Callable[[pa.RecordBatch], pa.Array], first: int) -> DataFrame:
     names = sorted(profiles)
     ranks = {name: np.array(profiles[name], dtype=np.int64) for name in names}
     sorted_keys = {name: np.argsort(ranks[name]) for name in names}
@@ -139,15 +169,14 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            said = [judge(x.as_py()) for x in b.column(0)]
+            said = [judge(x.as_py()) for x in texts(b)]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(1, b.num_columns)), pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())],
-                [*(b.schema.names[1:]), "lang_pred", "score"],
+                [*(b.column(i) for i in range(first, b.num_columns)), pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())],
+                [*(b.schema.names[first:]), "lang_pred", "score"],
             )
 
-    rows = docs.select(F.col(text).alias("_text"), F.col(key), *(F.col(c) for c in extra))
     own = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *own]))
+    return rows.mapInArrow(frugal(run), T.StructType([*rows.schema.fields[first:], *own]))
 
 
 def fold(key: str, folds: int) -> Column:
