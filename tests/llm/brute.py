@@ -1,9 +1,10 @@
 """Plain versions of the operators, one document or pair at a time."""
 
 import hashlib
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 SPACED = re.compile("[^\x20\x09-\x0d]+")
@@ -111,3 +112,45 @@ def url(u):
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
     fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def grams(text):
+    """n-grams of one to three letters of blank-edged words, as numbers of 21 bits a character."""
+    out = Counter()
+    for w in "".join(c if c.isalpha() else " " for c in text.replace("\u03a3", "\u03c3").lower()).split():
+        codes = [32, *map(ord, w), 32]
+        out.update(ord(c) for c in w)
+        out.update((a << 21) | b for a, b in zip(codes, codes[1:]))
+        out.update((a << 42) | (b << 21) | c for a, b, c in zip(codes, codes[1:], codes[2:]))
+    return out
+
+
+def lm(texts, learnt, discount, steps):
+    """(tokens, known, base score, score) of each text by counts of all triples of ``learnt``."""
+    tok = lambda t: [*SPACED.findall((t or "").translate(A_Z)), "\n"]
+    one, two, three = Counter(), Counter(), Counter()
+    for t in learnt:
+        w = tok(t)
+        one.update(w)
+        two.update(zip(["\n", *w], w))
+        three.update(zip(["\n", *w], w, w[1:]))
+    after, after2 = Counter(a for a, _ in two), Counter((a, b) for a, b, _ in three)
+    q = lambda p: 10 ** (-min(255, round(-math.log10(p) * steps)) / steps)
+    n, size = sum(one.values()), len(one)
+    p1 = lambda x: (one[x] + 1) / (n + size + 1)
+
+    def p2(a, b):
+        low = p1(b) if a not in one else q(discount * after[a] / one[a]) * p1(b)
+        return low + (q((two[a, b] - discount) / one[a]) if (a, b) in two else 0)
+
+    def p3(a, b, c):
+        if (a, b) not in two:
+            return p2(b, c)
+        return q(discount * after2[a, b] / two[a, b]) * p2(b, c) + (q((three[a, b, c] - discount) / two[a, b]) if (a, b, c) in three else 0)
+
+    out = []
+    for t in texts:
+        w = tok(t)
+        logs = [math.log10(p2("\n", w[0])), *(math.log10(p3(*x)) for x in zip(["\n", *w], w, w[1:]))]
+        out.append((len(w), sum(x in one for x in w), sum(math.log10(p1(x)) for x in w), sum(logs)))
+    return out
