@@ -27,17 +27,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no language: null texts and texts without a letter."""
     ship(spark)
     profiles = langid.train(docs) or {"any": [0]}  # without labels all texts with letters are in the one language
-    judged = langid.predict(_wrapped(docs), profiles, extra=("_doc",))
-    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select("_doc.*")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    return langid.predict_whole(whole, profiles).where(F.col("lang_pred") != langid.UNKNOWN).select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays; of rows that share
+    id and text, the one whose columns come first as JSON."""
     ship(spark)
     found = neardup.groups(docs, NEAR)
     first = found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(F.struct(F.coalesce("id", F.lit(neardup.NO_ID)).alias("id"), F.col("row"))).alias("x")).select(F.col("x.row").alias("_row"))
     alone = found.where(F.col("label").isNull()).select(F.col("row").alias("_row")).distinct()
-    return _wrapped(docs).join(first.union(alone), "_row").dropDuplicates(["_row"]).select("_doc.*")
+    staying = _wrapped(docs).join(first.union(alone), "_row")
+    return staying.groupBy("_row").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc")).select("_doc.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
