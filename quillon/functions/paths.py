@@ -5,23 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What each language's corpus takes by extension and by whole name, the folders it
+#: leaves out, and the names of generated scripts.
 EXTENSIONS = {
-    "rust": ("rs",), "python": ("py",), "typescript": ("ts", "tsx", "mts", "cts"), "javascript": ("js", "mjs", "cjs", "jsx"), "java": ("java",),
-    "c": ("c", "h"), "cpp": ("cc", "cpp", "cxx", "hpp", "hh", "hxx", "h"), "bash": ("sh", "bash"), "ruby": ("rb", "rake", "gemspec"), "zig": ("zig", "zon"),
+    "python": ("py",),
+    "rust": ("rs",),
+    "typescript": ("ts", "tsx", "mts", "cts"),
+    "javascript": ("js", "mjs", "cjs", "jsx"),
+    "java": ("java",),
+    "bash": ("sh", "bash", "ebuild", "eclass"),
+    "c": ("c", "h"),
+    "cpp": ("cc", "cpp", "cxx", "c++", "hpp", "hh", "hxx", "h++", "ipp", "tcc", "inl", "h"),
+    "ruby": ("rb", "rake", "gemspec", "ru", "gemfile", "rbi", "eye", "podspec", "god", "jbuilder"),
+    "zig": ("zig", "zon"),
+}
+FILE_NAMES = {
+    "bash": (".bashrc", ".bash_profile"),
+    "ruby": (
+        "Rakefile", "rakefile", "Gemfile", "Guardfile", "Appraisals", "Steepfile", "Dangerfile", "Capfile",
+        "Brewfile", "Vagrantfile", "Thorfile", "Fastfile", "Berksfile", "Puppetfile", "Podfile", ".simplecov",
+    ),
 }
-TEMPLATE_WORDS = "if|elif|else|endif|for|endfor|set|block|endblock|macro|endmacro|include|import|from|extends|raw|endraw|with|endwith|call|endcall|filter|endfilter|unless|case"
+LEFT_OUT = {"python": ("_vendor", "_vendored"), "ruby": ("vendor",)}
+MINIFIED = (".min.js", ".min.mjs", ".min.cjs")
+#: Statement words that make a text a template, and interpreters that are a shell.
+TEMPLATE_WORDS = (
+    "if", "elif", "else", "endif", "for", "endfor", "set", "endset", "from", "import", "include", "extends", "macro",
+    "endmacro", "call", "endcall", "block", "endblock", "filter", "endfilter", "raw", "endraw", "with", "endwith", "autoescape",
+)
+SHELLS = ("sh", "bash", "dash")
+
+
+def file_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
 
 
 def extension(path: Column) -> Column:
-    return F.regexp_extract(path, r"\.([^./]+)$", 1)
+    """After the last dot of the file name; empty without one, or if it only leads the name."""
+    return F.regexp_extract(file_name(path), r"^.+\.([^.]*)$", 1)
+
+
+def takes(path: Column, language: str) -> Column:
+    """Whether a language's corpus takes a file by its path.  Headers are candidates for C and C++
+    and names without an extension for the shell: their content decides."""
+    out = extension(path).isin(*EXTENSIONS[language])
+    if language in FILE_NAMES:
+        out = out | file_name(path).isin(*FILE_NAMES[language])
+    if language == "bash":
+        out = out | ~file_name(path).rlike(r"^.+\.")
+    if language in LEFT_OUT:
+        out = out & ~path.rlike(r"(^|/)(" + "|".join(LEFT_OUT[language]) + r")(/|$)")
+    if language == "javascript":
+        for end in MINIFIED:
+            out = out & ~path.endswith(end)
+    return out
+
 
+def dialect(path: Column, language: str) -> Column:
+    """``tsx`` where TypeScript files need that reading, else null."""
+    return F.when(extension(path) == "tsx", "tsx") if language == "typescript" else F.lit(None).cast("string")
 
-def language_of(path: Column) -> Column:
-    """Language by extension, null for others, minified scripts and vendored folders."""
-    e, out = extension(path), F.lit(None).cast("string")
-    for name in reversed(EXTENSIONS):
-        out = F.when(e.isin(*EXTENSIONS[name]), name).otherwise(out)
-    return F.when(~path.rlike(r"(^|/)(_vendor|_vendored|vendor)/") & ~path.endswith(".min.js"), out)
+
+def languages_of(path: Column) -> Column:
+    """All languages whose corpus takes the path, in registry order."""
+    return F.array_compact(F.array(*(F.when(takes(path, x), x) for x in EXTENSIONS)))
 
 
 def pkg_dir(name: Column, version: Column) -> Column:
@@ -45,18 +92,22 @@ def has_nul(content: Column) -> Column:
 
 
 def interpreter(first_line: Column) -> Column:
-    """Base name of a shebang's program; ``env`` and its flags are passed over."""
-    return F.regexp_extract(first_line, r"^#![ \t]*(?:\S*/)?(?:env(?:[ \t]+-\S+)*[ \t]+)?(?:\S*/)?([^ \t/]+)", 1)
+    """Base name of a shebang's program, or of what ``env`` runs, flags passed over; else empty."""
+    program = F.regexp_replace(F.regexp_extract(first_line, r"^#!\s*(\S+)", 1), "^.*/", "")
+    run = F.regexp_replace(F.regexp_extract(first_line, r"^#!\s*\S+(?:\s+-\S*)*\s+([^-\s]\S*)", 1), "^.*/", "")
+    return F.when(program == "env", run).otherwise(program)
 
 
 def is_shell(path: Column, text: Column) -> Column:
-    """By the shebang if there is one, else by extension."""
-    program = interpreter(F.split(text, "\n")[0])
-    return F.when(program != "", program.isin("sh", "bash", "dash", "ksh")).otherwise(extension(path).isin("sh", "bash"))
+    """No template and no NUL; by the shebang if there is one, else by name or extension."""
+    program = interpreter(F.substring_index(text, "\n", 1))
+    named = file_name(path).isin(*FILE_NAMES["bash"]) | extension(path).isin(*EXTENSIONS["bash"])
+    return ~is_template(text) & (F.instr(text, "\0") == 0) & F.when(program != "", program.isin(*SHELLS)).otherwise(named)
 
 
 def is_template(text: Column) -> Column:
-    return text.rlike(r"\{%-?\s*(" + TEMPLATE_WORDS + r")([^A-Za-z0-9_]|$)")
+    """A ``{%`` or ``{%-`` tag that begins with a statement word, anywhere."""
+    return text.rlike(r"\{%-?[ \t\r\n]*(" + "|".join(TEMPLATE_WORDS) + r")(?![A-Za-z0-9_])")
 
 
 def relative_to(path: Column, root: str) -> Column:
@@ -70,5 +121,13 @@ def sloc_language(c: Column, cpp: Column, sh: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """Sortable key of a dotted version: text and number of each part, junk counts 0."""
-    return F.transform(F.regexp_extract_all(version, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1)), lambda p: F.struct(F.coalesce(p.try_cast("long"), F.lit(-1)).alias("n"), F.when(p.rlike("^[0-9]"), "").otherwise(p).alias("t")))
+    """Sortable key of a version: its runs of digits and of other characters, as number and text.
+
+    Text counts as number 0, and so does a number that 64 bits can't hold; fewer runs come first.
+    """
+
+    def part(p: Column) -> Column:
+        n = p.try_cast("decimal(38,0)")
+        return F.struct(F.when(p.rlike("^[0-9]") & (n < F.lit("18446744073709551616").cast("decimal(38,0)")), n).otherwise(F.lit(0)).cast("decimal(38,0)").alias("n"), F.when(p.rlike("^[0-9]"), "").otherwise(p).alias("t"))
+
+    return F.transform(F.regexp_extract_all(version, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1)), part)

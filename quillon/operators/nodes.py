@@ -7,9 +7,11 @@ All windows are within one file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.rules import closure
+
 VOID = ("meta", "br", "img", "hr", "input", "link", "area", "base", "col", "embed", "source", "track", "wbr")
 
 
@@ -52,8 +54,32 @@ def kind_histogram(n: DataFrame) -> DataFrame:
 
 
 def edge_histogram(n: DataFrame) -> DataFrame:
+    """parent, field (null without one), child and n."""
     p = n.select("file_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("parent"))
-    return n.join(p, ["file_id", "parent_id"]).groupBy("parent", F.col("kind").alias("child")).agg(F.count("*").alias("n"))
+    return n.join(p, ["file_id", "parent_id"]).groupBy("parent", "field", F.col("kind").alias("child")).agg(F.count("*").alias("n"))
+
+
+def possible_edges(spark: SparkSession, node_types: str) -> DataFrame:
+    """(parent, field, child) that a node-type catalogue allows, supertypes replaced by what they stand
+    for: they never occur in a tree."""
+    types = "types:array<struct<type:string>>"
+    schema = f"array<struct<type:string,named:boolean,subtypes:array<struct<type:string>>,fields:map<string,struct<{types}>>,children:struct<{types}>>>"
+    t = spark.createDataFrame([(node_types,)], "j string").select(F.inline(F.from_json("j", schema)))
+    subtypes = t.select(F.col("type").alias("supertype"), F.explode("subtypes.type").alias("subtype"))
+    named = t.where("named")
+    slots = named.select(F.col("type").alias("parent"), F.explode("fields").alias("field", "v")).select("parent", "field", F.explode("v.types.type").alias("slot"))
+    slots = slots.union(named.select(F.col("type").alias("parent"), F.lit(None).cast("string").alias("field"), F.explode("children.types.type").alias("slot")))
+    leaves = closure(subtypes).join(subtypes.select(F.col("supertype").alias("reached")).distinct(), "reached", "left_anti")
+    return slots.join(leaves, slots["slot"] == leaves["start"], "left").select("parent", "field", F.coalesce("reached", "slot").alias("child")).distinct()
+
+
+def edge_coverage(possible: DataFrame, seen: DataFrame) -> DataFrame:
+    """parent, possible, seen and never: how many of its possible edges some tree has; most missing first."""
+    here = seen.select("parent", "field", "child").distinct().withColumn("hit", F.lit(1))
+    same = (possible["parent"] == here["parent"]) & possible["field"].eqNullSafe(here["field"]) & (possible["child"] == here["child"])
+    j = possible.join(here, same, "left").select(possible["parent"], "hit")
+    g = j.groupBy("parent").agg(F.count("*").alias("possible"), F.count("hit").alias("seen"))
+    return g.withColumn("never", F.col("possible") - F.col("seen")).orderBy(F.desc("never"), "parent")
 
 
 def leaves(n: DataFrame) -> DataFrame:

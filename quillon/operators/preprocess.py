@@ -6,12 +6,15 @@ Truth is three-valued: True, False and None for what can't be decided.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.runtime import ship
+
 #: What each language declares. None: known to be undefined.
 DECLARED: dict[str, dict[str, int | None]] = {"c": {"__cplusplus": None}, "cpp": {"__cplusplus": 201703}}
 NO_NUMBER = object()
@@ -70,44 +73,191 @@ def defined(name: str, names: Mapping[str, object]) -> bool | None:
     return names[name] is not None if name in names else None
 
 
+@dataclass
+class Conditional:
+    """branches: (line, directive, its text, items within); end: line of the ``#endif``, None without one.
+    Items are lines (numbers) and conditionals."""
+
+    branches: list[tuple[int, str, str, list]] = field(default_factory=list)
+    end: int | None = None
+
+
+def directive(line: str) -> tuple[str, str]:
+    """(word, rest) of a directive line, else empty words."""
+    found = DIRECTIVE.match(line)
+    return (found[1], found[2].strip()) if found else ("", "")
+
+
+def blocks(lines: list[str]) -> list:
+    """The lines as a tree of conditionals; directives without their ``#if`` are plain lines."""
+    top: list = []
+    inside, open_ = top, []
+    for n, line in enumerate(lines):
+        word, rest = directive(line)
+        if word in ("if", "ifdef", "ifndef"):
+            made = Conditional([(n, word, rest, [])])
+            inside.append(made)
+            open_.append((made, inside))
+            inside = made.branches[-1][3]
+        elif word in ("elif", "else") and open_:
+            open_[-1][0].branches.append((n, word, rest, []))
+            inside = open_[-1][0].branches[-1][3]
+        elif word == "endif" and open_:
+            made, inside = open_.pop()
+            made.end = n
+        else:
+            inside.append(n)
+    return top
+
+
+def regions(text: str) -> list[tuple[int, int | None, int]]:
+    """(start, mid, end) lines, from 1, of each complete conditional with at most two branches, in the order
+    of their ends.  Chains with ``#elif`` or several ``#else`` have no safe two-way split."""
+    out, todo = [], list(blocks(text.split("\n")))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, Conditional):
+            todo += [x for b in c.branches for x in b[3]]
+            later = [b for b in c.branches[1:]]
+            if c.end is not None and len(later) < 2 and all(b[1] == "else" for b in later):
+                out.append((c.branches[0][0] + 1, later[0][0] + 1 if later else None, c.end + 1))
+    return sorted(out, key=lambda r: r[2])
+
+
 def reduce(text: str, declared: Mapping[str, int | None]) -> tuple[str, int, int]:
     """(text with dead lines and decided directives blank, decided, undecided conditionals).
 
-    Lines keep their numbers.  An undecided conditional stays as written, with all its branches.
+    Lines keep their numbers.  An undecided conditional stays as written, with all its branches; of
+    a decided one the first true branch stays, and a branch after untaken ones isn't evaluated.
     What a live line defines is known below it.
     """
-    names, own = dict(declared), {}
-    levels: list[list[bool]] = []  # decided, shown, one branch was taken
-    counts, out = [0, 0], []
-    for line in text.split("\n"):
-        found = DIRECTIVE.match(line)
-        word, rest = (found[1], found[2].strip()) if found else ("", "")
-        show = all(x[1] for x in levels)
-        around = all(x[1] for x in levels[:-1])
-        if word in ("if", "ifdef", "ifndef"):
-            known = {**names, **own}
-            first = rest.split(maxsplit=1)[0] if rest else ""
-            truth = None if not show else _Condition(rest, known).value() if word == "if" else defined(first, known)
-            if word == "ifndef" and truth is not None:
-                truth = not truth
-            if show:
-                counts[truth is None] += 1
-            levels.append([truth is not None, truth is not False, truth is not False])
-            show = show and truth is None
-        elif word in ("elif", "else") and levels:
-            top = levels[-1]
-            if top[0]:
-                top[1], top[2] = not top[2], True
-            show = around and not top[0]
-        elif word == "endif" and levels:
-            show = not levels.pop()[0] and around
-        elif word == "define" and show and (m := re.match(r"([^\s(]+)(.*)", rest, re.S)):
+    lines, names, counts = text.split("\n"), dict(declared), [0, 0]
+    own: dict[str, object] = {}
+    shown: set[int] = set()
+
+    def truth(word: str, rest: str) -> bool | None:
+        known = {**names, **own}
+        if word == "if":
+            return _Condition(rest, known).value()
+        found = defined(rest.split(maxsplit=1)[0] if rest else "", known)
+        return found if word == "ifdef" or found is None else not found
+
+    def plain(n: int) -> None:
+        shown.add(n)
+        word, rest = directive(lines[n])
+        if word == "define" and (m := re.match(r"([^\s(]+)(.*)", rest, re.S)):
             number = m[2].strip()
             own[m[1]] = int(number) if re.fullmatch(r"[+-]?\d+", number) else NO_NUMBER
-        elif word == "undef" and show:
+        elif word == "undef":
             own.pop(rest, None)
-        out.append(line if show else "")
-    return "\n".join(out), *counts
+
+    def live(items: list) -> None:
+        for item in items:
+            if not isinstance(item, Conditional):
+                plain(item)
+                continue
+            value = truth(*item.branches[0][1:3])
+            counts[value is None] += 1
+            if value is None:
+                for n, _, _, inner in item.branches:
+                    shown.add(n)
+                    live(inner)
+                shown.update([] if item.end is None else [item.end])
+            else:  # branches are alternatives: one that follows an untaken one runs
+                kept = item.branches[:1] if value else item.branches[1:2]
+                for _, _, _, inner in kept:
+                    live(inner)
+
+    live(blocks(lines))
+    return "\n".join(x if n in shown else "" for n, x in enumerate(lines)), *counts
+
+
+def forced(lines: Column, start: Column, mid: Column, end: Column, keep_if: Column) -> Column:
+    """Lines (an array) with one branch of a region kept, the other and the directives blank; every line keeps its number."""
+    boundary = F.coalesce(mid, end)
+
+    def one(line: Column, i: Column) -> Column:
+        n = i + 1
+        first, second = (n > start) & (n < boundary), mid.isNotNull() & (n > boundary) & (n < end)
+        gone = (n == start) | (n == end) | n.eqNullSafe(mid) | (first & ~keep_if) | (second & keep_if)
+        return F.when(gone, "").otherwise(line)
+
+    return F.transform(lines, one)
+
+
+def line_survives(lines: Column, line: Column) -> Column:
+    """Whether a line (from 1) is there and not blank."""
+    return F.coalesce(F.trim(F.get(lines, line - 1)) != "", F.lit(False))
+
+
+def region_rows(files: DataFrame, file_id: str, text: str) -> DataFrame:
+    """file_id, start, mid, end of each region of each file."""
+    ship(files.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(i, *r) for i, x in zip(p["file_id"], p["text"]) if x is not None for r in regions(x)]
+            yield pd.DataFrame(rows, columns=["file_id", "start", "mid", "end"]).astype({"mid": "Int64"})
+
+    rows = files.select(F.col(file_id).alias("file_id"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, f"file_id {rows.schema['file_id'].dataType.simpleString()}, start long, mid long, end long")
+
+
+def innermost(regions: DataFrame, points: DataFrame) -> DataFrame:
+    """points (file_id, line, ...) with the smallest region (start, mid, end) around each, nulls without one."""
+    inner = points.select("file_id", "line").distinct().join(regions, "file_id").where("start <= line and line <= end")
+    best = inner.groupBy("file_id", "line").agg(F.min_by(F.struct("start", "mid", "end"), F.struct(F.col("end") - F.col("start"), F.col("end"))).alias("r"))
+    return points.join(best, ["file_id", "line"], "left").select(*points.columns, "r.*")
+
+
+def resolve_splits(text: str, line: int, first_error: Callable[[str], int | None], rounds: int = 8) -> tuple[int | None, int]:
+    """(line of the first error that no forced branch explains, None if there is none left; splits resolved).
+
+    The innermost region around the error is forced either way; a choice counts if the error's own line
+    is still there and the text is clean or its first error lies further on.
+    """
+    solved = 0
+    for _ in range(rounds):
+        around = [r for r in regions(text) if r[0] <= line <= r[2]]
+        if not around:
+            break
+        start, mid, end = min(around, key=lambda r: r[2] - r[0])
+        lines = text.split("\n")
+        for keep_if in (True, False):
+            gone = range(start, end + 1) if mid is None and not keep_if else range(start, mid + 1) if not keep_if else range(mid or end, end + 1)
+            tried = ["" if n in gone or n in (start, mid, end) else x for n, x in enumerate(lines, 1)]
+            if not tried[line - 1].strip():
+                continue
+            after = first_error("\n".join(tried))
+            if after is None:
+                return None, solved + 1
+            if after > line:
+                text, line, solved = "\n".join(tried), after, solved + 1
+                break
+        else:
+            break
+    return line, solved
+
+
+def macro_census(files: DataFrame) -> DataFrame:
+    """package, name, params (null for a plain macro) and body of files (package, ord, text): the last
+    definition of a package's files wins, unless an ``#undef`` comes after it.
+
+    Lines are joined across backslashes first.  Definitions without anything after the name don't count.
+    """
+    joined = F.regexp_replace(F.regexp_replace("text", r"\\\r?\n", " "), r"\r(?=\n|$)", "")
+    lines = files.select("package", "ord", F.posexplode(F.split(joined, "\n")).alias("line", "x")).where(F.col("x").rlike(r"^\s*#\s*(define\s|undef)"))
+    define = r"^\s*#\s*define\s+(\w+)(\W.*)$"
+    undone = F.regexp_extract("x", r"^\s*#\s*undef\s*(\S+)", 1)
+    found = lines.select("package", "ord", "line", F.regexp_extract("x", define, 1).alias("name"), F.regexp_extract("x", define, 2).alias("rest"), undone.alias("undone"))
+    closed = F.regexp_extract("rest", r"^\(([^)]*)\)(.*)$", 1)
+    is_call = F.col("rest").startswith("(")
+    params = F.when(is_call, F.filter(F.transform(F.split(closed, ","), lambda p: F.trim(p)), lambda p: p != ""))
+    body = F.trim(F.when(is_call, F.regexp_extract("rest", r"^\(([^)]*)\)(.*)$", 2)).otherwise(F.col("rest")))
+    usable = (F.col("undone") != "") | ((F.col("name") != "") & (~is_call | F.col("rest").contains(")")))
+    each = found.where(usable).select("package", F.when(F.col("undone") != "", F.col("undone")).otherwise(F.col("name")).alias("name"), F.struct("ord", "line").alias("at"), F.when(F.col("undone") == "", F.struct(params.alias("params"), body.alias("body"))).alias("m"))
+    last = each.groupBy("package", "name").agg(F.max_by("m", "at").alias("m"))
+    return last.where("m is not null").select("package", "name", "m.params", "m.body")
 
 
 def reduced(text: Column, language: str) -> Column:

@@ -17,7 +17,8 @@ def with_verdicts(failures: DataFrame, verdicts: DataFrame, key: str) -> DataFra
 
 
 def clusters(failures: DataFrame, examples: int = 5) -> DataFrame:
-    """signature, count, valid, verdict and the first examples of failures (signature, label, valid, ord, path).
+    """signature, count, valid, verdict and the first examples of failures (signature, label, valid, ord, path),
+    most valid first, then most failures, then by signature.
 
     Examples are picked by rank before they are gathered, so no long list is built.  The verdict
     is the first of gap, version, config that the cluster has, else noise.
@@ -28,7 +29,7 @@ def clusters(failures: DataFrame, examples: int = 5) -> DataFrame:
     g = failures.withColumn("_r", rank).groupBy("signature").agg(
         F.count("*").alias("count"), F.count_if("valid").alias("valid"), F.when(has("gap"), "gap").when(has("version"), "version").when(has("config"), "config").otherwise("noise").alias("verdict"), F.array_join(F.transform(few, lambda x: x["path"]), ",").alias("examples")
     )
-    return g
+    return g.orderBy(F.desc("valid"), F.desc("count"), "signature")
 
 
 def nearest_rank(rows: DataFrame, value: str, place: Column) -> DataFrame:
@@ -43,6 +44,24 @@ def nearest_rank(rows: DataFrame, value: str, place: Column) -> DataFrame:
 
 
 
+def with_quantiles(one: DataFrame, rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """A one-row table with a column for each share: the value at its nearest rank."""
+    out = one.withColumn("_k", F.lit(1))
+    for name, q in shares.items():
+        out = out.join(nearest_rank(rows, value, quantile_place(q)).select(F.col("value").alias(name), F.lit(1).alias("_k")), "_k")
+    return out.drop("_k")
+
+
+def count_matrix(programs: DataFrame, queries: list[str], found: DataFrame) -> DataFrame:
+    """program, language, query, n, agrees: captures (page_id, query) counted for each program (page_id,
+    program, language) and query, none included; agrees with the program's first language."""
+    every = programs.select("*", F.explode(F.array(*map(F.lit, queries))).alias("query"))
+    n = found.groupBy("page_id", "query").agg(F.count("*").alias("n"))
+    rows = every.join(n, ["page_id", "query"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    first = F.first("n").over(Window.partitionBy("program", "query").orderBy("language"))
+    return rows.select("program", "language", "query", "n", (F.col("n") == first).alias("agrees"))
+
+
 def median_place() -> Column:
     return F.expr("floor(n / 2)")
 
@@ -64,11 +83,11 @@ def lock_diff(locked: DataFrame, found: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", state.alias("state")).where("state is not null")
 
 
-def ratchet(metrics: DataFrame, baselines: DataFrame) -> DataFrame:
-    """metric, value, baseline, state: fail above, remind below, ok at, advisory without a baseline."""
-    j = metrics.join(baselines, "metric", "left")
+def ratchet(metrics: DataFrame, baselines: DataFrame, keys: tuple[str, ...] | list[str] = ("metric",)) -> DataFrame:
+    """``keys``, value, baseline, state: fail above, remind below, ok at, advisory without a baseline."""
+    j = metrics.join(baselines, list(keys), "left")
     state = F.when(F.col("baseline").isNull(), "advisory").when(F.col("value") > F.col("baseline"), "fail").when(F.col("value") < F.col("baseline"), "remind").otherwise("ok")
-    return j.select("metric", "value", "baseline", state.alias("state"))
+    return j.select(*keys, "value", "baseline", state.alias("state"))
 
 
 def stale(declared: DataFrame, seen: DataFrame) -> DataFrame:
@@ -80,3 +99,27 @@ def zip_compare(a: DataFrame, b: DataFrame) -> DataFrame:
     j = a.select("file_id", "seq", F.col("item").alias("ours")).join(b.select("file_id", "seq", F.col("item").alias("theirs")), ["file_id", "seq"], "full_outer")
     d = j.where(~F.col("ours").eqNullSafe(F.col("theirs"))).groupBy("file_id").agg(F.min(F.struct("seq", "ours", "theirs")).alias("d"))
     return d.select("file_id", "d.*")
+
+
+def first_rows(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows in an order, with their place from 1."""
+    return rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def furthest(rows: DataFrame, delta: str, ties: list[str], keep: int = 10) -> DataFrame:
+    """The rows whose ``delta`` is furthest from zero."""
+    return rows.orderBy(F.abs(delta).desc(), *ties).limit(keep)
+
+
+def labelled(failures: DataFrame, declared: DataFrame) -> DataFrame:
+    """signature, count, gap, version, config and verdict of failures (signature, valid, current, config).
+
+    A valid file that parses without its dead branches is config; one whose signature is declared
+    and that the current version rejects is version; other valid ones are gaps, invalid ones noise.
+    """
+    known = declared.select("signature").distinct().withColumn("_declared", F.lit(True))
+    label = F.when(~F.col("valid"), "noise").when(F.col("config"), "config").when(F.col("_declared") & ~F.col("current"), "version").otherwise("gap")
+    rows = failures.join(known, "signature", "left").withColumn("_declared", F.coalesce("_declared", F.lit(False))).withColumn("label", label)
+    n = {x: F.count_if(F.col("label") == x) for x in ("gap", "version", "config")}
+    verdict = F.when(n["gap"] > 0, "gap").when(n["version"] > 0, "version").when(n["config"] > 0, "config").otherwise("noise")
+    return rows.groupBy("signature").agg(F.count("*").alias("count"), *(c.alias(x) for x, c in n.items()), verdict.alias("verdict"))

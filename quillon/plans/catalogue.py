@@ -7,35 +7,15 @@ current one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import paths, scalars
-from quillon.operators import nodes as trees
 from quillon.operators import preprocess, reports, rules
-from quillon.plans import pattern
+from quillon.plans.registry import ORACLE, QUERIES, query
+from quillon.plans.registry import table as _t
 from quillon.sources import sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 BAD = "[^0-9#@%*|=<>{}]"
 FAIL_SQL = f"""f as (select doc_id, source, lang, text, regexp_extract(text, '^({BAD}*)[0-9#@%*|=<>{{}}]', 1) as prefix,
   substr(text, length(regexp_extract(text, '^({BAD}*)[0-9#@%*|=<>{{}}]', 1)) + 1, 1) as bad
@@ -87,23 +67,68 @@ def dedup_keep_first(spark, d):
     return _t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-@query("""select g, max(v) as newest from (select p_partkey % 50 as g, (p_partkey % 7) * 10000 + (p_partkey % 11) * 100 + p_partkey % 13 as v from part) group by g""")
+_VERSION_SQL = "p_partkey % 7 || '.' || p_partkey % 11 || case p_partkey % 5 when 0 then 'rc' || p_partkey % 3 when 1 then '' when 2 then '-' || p_partkey % 13 when 3 then '.' || repeat('9', cast(p_partkey % 23 as int)) else 'v' end"
+
+
+@query(f"""with v as (select p_partkey % 50 as g, {_VERSION_SQL} as v from part), k as (select g, v, list_transform(regexp_extract_all(v, '[0-9]+|[^0-9]+'), lambda p: {{'n': case when regexp_matches(p, '^[0-9]') then case when try_cast(p as hugeint) < 18446744073709551616 then try_cast(p as hugeint) else 0 end else 0 end, 't': case when regexp_matches(p, '^[0-9]') then '' else p end}}) as k from v)
+  select g, max(v) as newest from (select g, v, rank() over (partition by g order by k desc) as r from k) where r = 1 group by g""")
 def version_newest(spark, d):
-    p = F.col("p_partkey")
-    text = F.concat_ws(".", (p % 7).cast("string"), (p % 11).cast("string"), (p % 13).cast("string"))
-    best = _t(spark, d, "part").select((p % 50).alias("g"), text.alias("v")).groupBy("g").agg(F.max_by("v", paths.version_key(F.col("v"))).alias("v"))
-    part = lambda i: F.split("v", r"\.")[i].cast("long")
-    return best.select("g", (part(0) * 10000 + part(1) * 100 + part(2)).alias("newest"))
+    """Newest version of each group: runs of digits as numbers, letters as 0."""
+    p = lambda n: (F.col("p_partkey") % n).cast("string")
+    end = (
+        F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("rc"), p(3))).when(F.col("p_partkey") % 5 == 1, "").when(F.col("p_partkey") % 5 == 2, F.concat(F.lit("-"), p(13)))
+        .when(F.col("p_partkey") % 5 == 3, F.concat(F.lit("."), F.repeat(F.lit("9"), (F.col("p_partkey") % 23).cast("int")))).otherwise("v")
+    )
+    v = _t(spark, d, "part").select((F.col("p_partkey") % 50).alias("g"), F.concat(p(7), F.lit("."), p(11), end).alias("v"))
+    return v.groupBy("g").agg(F.max_by("v", F.struct(paths.version_key(F.col("v")), "v")).alias("newest"))
+
 
+#: Paths for the classification queries, dealt to documents by their id.
+PATHS = (
+    "src/lib.rs a/_vendor/x.py a/b.py tool/gem.gemspec vendor/x.rb lib/vendor/y.rb Gemfile Gemfile.lock config.ru app.min.js app.mjs x.min.cjs "
+    "view.tsx mod.cts A.java bin/run .bashrc x.ebuild inc/a.h inc/a.hpp a.c++ a.tcc build.zig build.zig.zon .simplecov notes.txt a.b/c dir.py/readme x. .py"
+).split()
+_PATH_SQL = f"list_extract([{', '.join(repr(p) for p in PATHS)}], cast(1 + doc_id % {len(PATHS)} as int))"
 
-@query("select page_id, regexp_extract(url, '\\.([^./?#]+)([?#].*)?$', 1) as extension, not regexp_matches(url, '(^|/)(_vendor|_vendored|vendor)/') as kept from pages")
+
+def _any(words):
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _takes_sql(x: str) -> str:
+    out = f"e in ({_any(paths.EXTENSIONS[x])})"
+    if x in paths.FILE_NAMES:
+        out = f"({out} or f in ({_any(paths.FILE_NAMES[x])}))"
+    if x == "bash":
+        out = f"({out} or not regexp_matches(f, '^.+\\.'))"
+    if x in paths.LEFT_OUT:
+        out += f" and len(list_intersect(string_split(p, '/'), [{_any(paths.LEFT_OUT[x])}])) = 0"
+    return out + (" and not regexp_matches(p, '\\.min\\.(js|mjs|cjs)$')" if x == "javascript" else "")
+
+
+@query(f"""with a as (select doc_id, {_PATH_SQL} as p from documents), b as (select doc_id, p, list_extract(string_split(p, '/'), -1) as f from a), c as (select *, regexp_extract(f, '^.+\\.([^.]*)$', 1) as e from b)
+  select doc_id, concat_ws(',', {", ".join(f"case when {_takes_sql(x)} then '{x}' end" for x in paths.EXTENSIONS)}) as languages, case when e = 'tsx' then 'tsx' end as dialect from c""")
 def classify_paths(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.regexp_extract("url", r"\.([^./?#]+)([?#].*)?$", 1).alias("extension"), (~F.col("url").rlike(r"(^|/)(_vendor|_vendored|vendor)/")).alias("kept"))
+    path = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("doc_id") % len(PATHS) + 1).cast("int"))
+    rows = _t(spark, d, "documents").select("doc_id", path.alias("p"))
+    return rows.select("doc_id", F.array_join(paths.languages_of(F.col("p")), ",").alias("languages"), paths.dialect(F.col("p"), "typescript").alias("dialect"))
 
 
-@query("select page_id, regexp_matches(html, '\\{%-?\\s*(if|for|block|set)([^A-Za-z0-9_]|$)') as template, contains(html, '<!--') as comment from pages")
+_HEADS = ["#!/bin/bash", "#! /bin/sh -e", "#!/usr/bin/env -S bash -x", "#!/usr/bin/env zsh", "#!/bin/ksh", "#!/usr/bin/perl", "echo hi", ""]
+_TAGS = ["", "{% set x %}", "{%- from 'a' import b %}", "{%setopt%}", "{% comment %}", "{{% if x %}}", "{%endset%}", "{% autoescape off %}", "{% unless x %}"]
+_SHELL_SQL = f"""a as (select doc_id, list_extract(['x.sh', 'bin/run', '.bashrc', 'README', 'gen.py', 'a.ebuild'], cast(1 + doc_id % 6 as int)) as p, list_extract([{_any(_HEADS)}], cast(1 + doc_id % 8 as int)) || chr(10) || list_extract([{", ".join("'" + t.replace("'", "''") + "'" for t in _TAGS)}], cast(1 + doc_id % 9 as int)) || chr(10) || coalesce(text, '') as t from documents),
+  b as (select *, list_extract(string_split(p, '/'), -1) as f, string_split(regexp_replace(list_extract(string_split(t, chr(10)), 1), '^#![ ]*', '#!'), ' ') as w from a),
+  c as (select *, regexp_extract(list_extract(w, 1), '([^/]*)$', 1) as prog, starts_with(list_extract(w, 1), '#!') as bang, list_extract(list_filter(list_slice(w, 2, 99), lambda x: not starts_with(x, '-')), 1) as run from b)"""
+
+
+@query(f"""with {_SHELL_SQL} select doc_id, regexp_matches(t, '\\{{%-?[ \t\r\n]*({"|".join(paths.TEMPLATE_WORDS)})([^A-Za-z0-9_]|$)') as template,
+  not regexp_matches(t, '\\{{%-?[ \t\r\n]*({"|".join(paths.TEMPLATE_WORDS)})([^A-Za-z0-9_]|$)') and case when bang then case when prog = 'env' then run else prog end in ('sh', 'bash', 'dash') else f in ('.bashrc', '.bash_profile') or regexp_extract(f, '^.+\\.([^.]*)$', 1) in ('sh', 'bash', 'ebuild', 'eclass') end as shell from c""")
 def admit_filter(spark, d):
-    return _t(spark, d, "pages").select("page_id", paths.is_template(F.col("html")).alias("template"), F.col("html").contains("<!--").alias("comment"))
+    """Shell files by first line, name and extension, templates left out."""
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("doc_id") % n + 1).cast("int"))
+    text = F.concat_ws("\n", pick(_HEADS, 8), pick(_TAGS, 9), F.coalesce("text", F.lit("")))
+    rows = _t(spark, d, "documents").select("doc_id", pick(["x.sh", "bin/run", ".bashrc", "README", "gen.py", "a.ebuild"], 6).alias("p"), text.alias("t"))
+    return rows.select("doc_id", paths.is_template(F.col("t")).alias("template"), paths.is_shell(F.col("p"), F.col("t")).alias("shell"))
 
 
 @query("""with a as (select cast(doc_id as varchar) as path, sha256(text) as a from documents), b as (select cast(doc_id + (case when doc_id % 13 = 0 then 1000000 else 0 end) as varchar) as path, case when doc_id % 7 = 0 then 'x' else sha256(text) end as b from documents)
@@ -183,65 +208,6 @@ def negative_accepted(spark, d):
     return _t(spark, d, "benchmark").where(~F.col("text").rlike("[0-9#@%*|=<>{}]")).select("item_id")
 
 
-VOID_SQL = ", ".join(f"'{v}'" for v in trees.VOID)
-NODES_SQL = f"""p as (select page_id as file_id, html, regexp_extract_all(html, '(<[^>]*>|[^<]+|<)', 1) as l from pages), k0 as (select file_id, unnest(l) as tok, generate_subscripts(l, 1) - 1 as i from p),
-k1 as (select *, lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) as name from k0), k2 as (select *, starts_with(tok, '</') and name <> '' as is_end from k1),
-k3 as (select *, name <> '' and not is_end as is_tag, not starts_with(tok, '<') and trim(regexp_replace(tok, '\\s+', ' ', 'g')) <> '' as is_text from k2),
-k4 as (select *, is_tag and name not in ({VOID_SQL}) and not ends_with(tok, '/>') as is_open, is_tag or is_text as is_node, case when is_tag then name when is_text then '#text' end as kind from k3),
-k5 as (select *, case when is_open then 1 when is_end then -1 else 0 end as step from k4),
-k6 as (select *, sum(step) over w - case when is_open then 1 else 0 end as depth, sum(case when is_node then 1 else 0 end) over w as n_nodes, sum(strlen(tok)) over w - strlen(tok) as start_byte from k5 window w as (partition by file_id order by i)),
-n as (select file_id, n_nodes as node_id, depth, kind, start_byte, is_open from k6 where is_node),
-u as (select file_id, depth as level, node_id, node_id as p, kind as pk, true as is_p from n where is_open union all select file_id, depth - 1, node_id, null, null, false from n),
-v as (select file_id, node_id, is_p, last_value(p ignore nulls) over w as parent_id, last_value(pk ignore nulls) over w as parent from u window w as (partition by file_id, level order by node_id, is_p)),
-e as (select v.parent_id, v.parent, n.* from n join v using (file_id, node_id) where not v.is_p)"""
-
-
-def page_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return trees.nodes(trees.markup_tokens(_t(spark, d, "pages")))
-
-
-@query(f"with {NODES_SQL} select kind, count(*) as n, count(distinct file_id) as files from n group by kind")
-def kind_histogram(spark, d):
-    return trees.kind_histogram(trees.markup_tokens(_t(spark, d, "pages")).where("is_node"))
-
-
-@query(f"with {NODES_SQL} select parent, kind as child, count(*) as n from e where parent is not null group by 1, 2")
-def edge_histogram(spark, d):
-    return trees.edge_histogram(page_nodes(spark, d))
-
-
-@query(f"with {NODES_SQL} select k as kind from (values ('table'), ('p'), ('marquee'), ('blink'), ('html')) x(k) where k not in (select kind from n)")
-def never_built(spark, d):
-    possible = spark.createDataFrame([(k,) for k in ("table", "p", "marquee", "blink", "html")], "kind string")
-    return trees.never_built(possible, trees.markup_tokens(_t(spark, d, "pages")).where("is_node"))
-
-
-@query(f"with {NODES_SQL} select kind, count(*) as n from n group by kind having count(*) < 400 order by n, kind limit 20")
-def thin_kinds(spark, d):
-    h = trees.kind_histogram(trees.markup_tokens(_t(spark, d, "pages")).where("is_node"))
-    return h.where("n < 400").orderBy("n", "kind").select("kind", "n")
-
-
-@query(f"with {NODES_SQL} select file_id, sha256(string_agg(kind, ' ' order by node_id)) as shape from n group by file_id")
-def preorder_fingerprint(spark, d):
-    return trees.fingerprints(page_nodes(spark, d)).select("file_id", "shape")
-
-
-@query(f"with {NODES_SQL} select file_id, count(*) as n from e where kind = '#text' group by file_id")
-def leaf_tokens(spark, d):
-    return trees.leaves(page_nodes(spark, d)).where("kind = '#text'").groupBy("file_id").agg(F.count("*").alias("n"))
-
-
-#: A small shared vocabulary over markup kinds.
-MARKUP = pattern.Catalogue(kinds={"ul", "ol", "li", "a", "p", "h1", "h2", "div", "nav", "#text", "title", "head", "body"}, facets={"_scope": ["ul", "nav", "div", "body"], "_name": ["title", "h1"]})
-
-
-@query(f"with {NODES_SQL} select count(*) as n from e where parent in ('ul', 'nav', 'div', 'body') and kind in ('li', 'p')")
-def facet_query_count(spark, d):
-    p = pattern.parse("(_scope [(li) (p)] @x)")
-    return pattern.plan(p, page_nodes(spark, d), MARKUP).agg(F.count("*").alias("n"))
-
-
 @query("""with recursive s(a, b) as (values ('_expression', '_literal'), ('_expression', 'call'), ('_literal', 'string'), ('_literal', 'number'), ('_control_flow', '_loop'), ('_loop', 'while')), r(start, reached, k) as (
   select x, x, 0 from (select a as x from s union select b from s) union all select r.start, s.b, k + 1 from r join s on r.reached = s.a where k < 6) select distinct start, reached from r""")
 def supertype_closure(spark, d):
@@ -301,12 +267,12 @@ def first_divergence(spark, d):
     c = _t(spark, d, "conversations")
     ours = c.select("conv_id", "turn", F.col("role").alias("ours"))
     theirs = c.where("conv_id > 0").select((F.col("conv_id") - 1).alias("conv_id"), "turn", F.col("role").alias("theirs"))
-    return ours.join(theirs, ["conv_id", "turn"], "full").where(~F.col("ours").eqNullSafe(F.col("theirs"))).groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    return reports.zip_compare(ours.toDF("file_id", "seq", "item"), theirs.toDF("file_id", "seq", "item")).select(F.col("file_id").alias("conv_id"), F.col("seq").alias("turn"))
 
 
 @query("select doc_id, format('{:,}', n_chars) as grouped, trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) as line from documents")
 def one_line_grouped(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.format_number("n_chars", 0).alias("grouped"), F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " ")).alias("line"))
+    return _t(spark, d, "documents").select("doc_id", F.format_number("n_chars", 0).alias("grouped"), scalars.one_line(F.col("text")).alias("line"))
 
 
 @query("select case when quality = 1 then 'valid' else 'invalid' end as verdict, count(*) as count from labels group by 1")
@@ -323,3 +289,8 @@ def branch_reduction(spark, d):
     r = _t(spark, d, "documents").select("doc_id", F.concat(test, F.lit("body "), body, F.lit("\n#endif"), other).alias("source"))
     r = r.select("doc_id", preprocess.reduced(F.col("source"), "c").alias("r"))
     return r.select("doc_id", "r.decided", "r.undecided", F.contains("r.text", F.lit("body ")).alias("kept"))
+
+
+from quillon.plans import corpus_queries, grammar_queries, report_queries, tree_queries  # noqa: E402, F401  they register their queries
+
+__all__ = ["ORACLE", "QUERIES"]

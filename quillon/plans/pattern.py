@@ -1,21 +1,26 @@
 """The tree-pattern language: patterns are parsed, facets rewritten, and planned as self-joins.
 
-    pattern := "(" name { [field ":"] pattern } ")" ["@" capture] | "[" pattern+ "]" | "_"
+    pattern := "(" name { [field ":"] pattern | predicate } ")" | "[" pattern+ "]" | "_" | string
+             | "(" pattern { predicate } ")"                      each may be followed by "@" capture
+    predicate := "(#eq?" "@" capture ( string | "@" capture ) ")"
 
-Rewriting keeps a facet's member only if it declares each field asked of it; if no member
-survives the pattern is impossible, and a name that the grammar doesn't declare is an error: both
-are refused before anything runs.
+``_`` is any node.  Rewriting keeps a facet's member only if it declares each field asked of it; a
+pattern that no member fits, or that asks for a field of a supertype, is impossible, and a name
+that the grammar doesn't declare is an error: all are refused before anything runs.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r'\s+|;[^\n]*|"(?:\\.|[^"\\])*"|[()\[\]]|@[\w.-]+|[\w.#-]+:|[\w.#-]+')
+TOKEN = re.compile(r'\s+|;[^\n]*|"(?:\\.|[^"\\])*"|[()\[\]]|#[\w-]+\?|@[\w.-]+|[\w.#-]+:|[\w.#-]+')
+ANY = "_"
 
 
 class BadPattern(ValueError):
@@ -28,61 +33,99 @@ class ImpossiblePattern(BadPattern):
 
 @dataclass
 class Node:
+    """kinds: any of them; alternatives: instead of kinds, patterns of which one must hold; equal:
+    (capture, text or ``@`` and another capture) pairs."""
+
     kinds: list[str]
     children: list[tuple[str | None, "Node"]] = field(default_factory=list)
     capture: str | None = None
-
-
-def parse(text: str) -> Node:
-    tokens, at = [], 0
-    while at < len(text):
-        m = TOKEN.match(text, at)
-        if not m:
-            raise BadPattern(f"unreadable at {at}: {text[at:at + 20]!r}")
-        if not m[0].isspace() and m[0][0] != ";":
-            tokens.append(m[0])
-        at = m.end()
-    i = 0
-
-    def one() -> Node:
-        nonlocal i
-        if i >= len(tokens):
+    alternatives: list["Node"] = field(default_factory=list)
+    equal: list[tuple[str, str]] = field(default_factory=list)
+
+
+class _Reader:
+    def __init__(self, text: str):
+        self.tokens, at = [], 0
+        while at < len(text):
+            m = TOKEN.match(text, at)
+            if not m:
+                raise BadPattern(f"unreadable at {at}: {text[at:at + 20]!r}")
+            if not m[0].isspace() and m[0][0] != ";":
+                self.tokens.append(m[0])
+            at = m.end()
+        self.at = 0
+
+    def peek(self, ahead: int = 0) -> str:
+        return self.tokens[self.at + ahead] if self.at + ahead < len(self.tokens) else ""
+
+    def take(self) -> str:
+        if not self.peek():
             raise BadPattern("the pattern ends too early")
-        t = tokens[i]
-        i += 1
-        if t == "(":
-            if i >= len(tokens) or not re.match(r"[\w.#-]+$", tokens[i]):
+        self.at += 1
+        return self.tokens[self.at - 1]
+
+    def closed(self, sign: str) -> bool:
+        if not self.peek():
+            raise BadPattern(f"unbalanced: {sign} is missing")
+        return self.peek() == sign
+
+    def predicate(self) -> tuple[str, str]:
+        self.take()
+        name, left, right = self.take(), self.take(), self.take()
+        if name != "#eq?" or left[0] != "@" or right[0] not in "@\"" or self.take() != ")":
+            raise BadPattern(f"only #eq? of a capture is known, not {name} {left} {right}")
+        return left[1:], right if right[0] == "@" else _unquoted(right)
+
+    def inside(self, out: Node) -> Node:
+        while not self.closed(")"):
+            if self.peek() == "(" and self.peek(1).startswith("#") and self.peek(1).endswith("?"):
+                out.equal.append(self.predicate())
+            else:
+                name = self.take()[:-1] if self.peek().endswith(":") and self.peek()[0] != '"' else None
+                out.children.append((name, self.pattern()))
+        self.take()
+        return out
+
+    def pattern(self) -> Node:
+        t = self.take()
+        if t == "(" and self.peek() in ("(", "["):
+            inner = self.pattern()
+            rest = self.inside(Node([]))
+            if rest.children:
+                raise BadPattern("a group holds one pattern and predicates")
+            inner.equal += rest.equal
+            out = inner
+        elif t == "(":
+            name = self.take()
+            if not re.match(r"[\w.#-]+$", name):
                 raise BadPattern("a name is missing")
-            out = Node([tokens[i]])
-            i += 1
-            while i < len(tokens) and tokens[i] != ")":
-                name = None
-                if tokens[i].endswith(":"):
-                    name, i = tokens[i][:-1], i + 1
-                out.children.append((name, one()))
-            if i >= len(tokens):
-                raise BadPattern("unbalanced parenthesis")
-            i += 1
+            out = self.inside(Node([name]))
         elif t == "[":
-            out = Node([])
-            while i < len(tokens) and tokens[i] != "]":
-                alt = one()
-                if alt.children:
-                    raise BadPattern("alternatives with children are planned one by one")
-                out.kinds += alt.kinds
-            if i >= len(tokens):
-                raise BadPattern("unbalanced bracket")
-            i += 1
+            found = []
+            while not self.closed("]"):
+                found.append(self.pattern())
+            self.take()
+            plain = all(not (x.children or x.alternatives or x.capture or x.equal) for x in found)
+            out = Node([k for x in found for k in x.kinds]) if plain else Node([], alternatives=found)
         elif t[0] == '"':
-            out = Node([t[1:-1]])
+            out = Node([_unquoted(t)])
+        elif t == ANY:
+            out = Node([ANY])
         else:
             raise BadPattern(f"unexpected {t!r}")
-        if i < len(tokens) and tokens[i][0] == "@":
-            out.capture, i = tokens[i][1:], i + 1
+        if self.peek().startswith("@"):
+            out.capture = self.take()[1:]
         return out
 
-    root = one()
-    if i != len(tokens):
+
+def _unquoted(t: str) -> str:
+    return re.sub(r"\\(.)", r"\1", t[1:-1])
+
+
+def parse(text: str) -> Node:
+    reader = _Reader(text)
+    root = reader.pattern()
+    if reader.peek():
         raise BadPattern("more than one pattern")
     return root
 
@@ -112,14 +155,17 @@ def expand(p: Node, c: Catalogue) -> Node:
     kinds: list[str] = []
     for k in p.kinds:
         if k in c.facets:
-            kinds += [m for m in c.facets[k] if all(_fits(m, f, x, c) for f, x in children if f)]
-            if not kinds:
+            fits = [m for m in c.facets[k] if all(_fits(m, f, x, c) for f, x in children if f)]
+            if not fits:
                 raise ImpossiblePattern(f"no member of {k} has the fields asked for")
-        elif k in c.kinds or k in c.subtypes:
+            kinds += fits
+        elif k == ANY or k in c.kinds or k in c.subtypes:
+            if k in c.subtypes and any(f and not all(x in c.subtypes for x in child.kinds) for f, child in children):
+                raise ImpossiblePattern(f"{k} is a supertype: its fields hold supertypes only")
             kinds.append(k)
         else:
             raise BadPattern(f"{k} isn't declared")
-    return Node(list(dict.fromkeys(kinds)), children, p.capture)
+    return Node(list(dict.fromkeys(kinds)), children, p.capture, [expand(x, c) for x in p.alternatives], p.equal)
 
 
 def _fits(member: str, name: str, want: Node, c: Catalogue) -> bool:
@@ -130,27 +176,61 @@ def _fits(member: str, name: str, want: Node, c: Catalogue) -> bool:
     return declared is not None and any(set(want.kinds) & c.closure(d) for d in declared)
 
 
+def _variants(p: Node) -> Iterator[Node]:
+    """Patterns without alternatives that together match what ``p`` does."""
+    for x in p.alternatives:
+        for v in _variants(x):
+            yield Node(v.kinds, v.children, p.capture or v.capture, equal=[*v.equal, *p.equal])
+    if not p.alternatives:
+        for kids in product(*([(f, v) for v in _variants(x)] for f, x in p.children)):
+            yield Node(p.kinds, list(kids), p.capture, equal=p.equal)
+
+
+def _equal(p: Node) -> list[tuple[str, str]]:
+    return [*p.equal, *(e for _, x in p.children for e in _equal(x))]
+
+
 def plan(p: Node, nodes: DataFrame, c: Catalogue) -> DataFrame:
-    """(file_id, node_id, capture) of every capture of every match."""
-    found, names = _match(expand(p, c), nodes, c, [0])
-    caps = [F.struct(F.lit(n).alias("capture"), F.col(col).alias("node_id")) for n, col in names]
-    if not caps:
-        return found.select("file_id", F.col(found.columns[1]).alias("node_id"), F.lit("").alias("capture"))
-    return found.select("file_id", F.explode(F.array(*caps)).alias("x")).select("file_id", "x.node_id", "x.capture")
+    """(file_id, node_id, capture) of every capture of every match.
+
+    ``nodes`` may hold field, derivation (the supertypes that an occurrence went through; without it
+    a supertype stands for its closure of kinds) and text, which ``#eq?`` compares.
+    """
+    out = None
+    for v in _variants(expand(p, c)):
+        found, me, names = _match(v, nodes, c, [0])
+        where = dict(names)
+        for left, right in _equal(v):
+            if left not in where or (right[:1] == "@" and right[1:] not in where):
+                raise BadPattern(f"no capture @{left} or {right}")
+            found = found.where(F.col(where[left] + "t") == (F.col(where[right[1:]] + "t") if right[:1] == "@" else F.lit(right)))
+        caps = [F.struct(F.lit(n).alias("capture"), F.col(col).alias("node_id")) for n, col in names]
+        if caps:
+            rows = found.select("file_id", F.explode(F.array(*caps)).alias("x")).select("file_id", "x.node_id", "x.capture")
+        else:
+            rows = found.select("file_id", F.col(me).alias("node_id"), F.lit("").alias("capture"))
+        out = rows if out is None else out.union(rows)
+    return out
 
 
-def _match(p: Node, nodes: DataFrame, c: Catalogue, used: list[int]) -> tuple[DataFrame, list[tuple[str, str]]]:
+def _match(p: Node, nodes: DataFrame, c: Catalogue, used: list[int]) -> tuple[DataFrame, str, list[tuple[str, str]]]:
+    """(rows, the column of the node itself, (capture, column) pairs)."""
     used[0] += 1
     me = f"_n{used[0]}"
-    kinds = sorted(set().union(*(c.closure(k) for k in p.kinds)))
-    has_field = "field" in nodes.columns
-    out = nodes.where(F.col("kind").isin(kinds)).select("file_id", F.col("node_id").alias(me), F.col("parent_id").alias(me + "p"), *([F.col("field").alias(me + "f")] if has_field else []))
+    found = nodes
+    if ANY not in p.kinds:
+        tiers = [k for k in p.kinds if k in c.subtypes] if "derivation" in nodes.columns else []
+        kinds = sorted(set().union(*(c.closure(k) for k in p.kinds if k not in tiers)))
+        ok = F.col("kind").isin(kinds)
+        found = nodes.where(ok | F.arrays_overlap("derivation", F.array(*map(F.lit, tiers))) if tiers else ok)
+    more = {"field": "f", "text": "t"}
+    out = found.select("file_id", F.col("node_id").alias(me), F.col("parent_id").alias(me + "p"), *(F.col(k).alias(me + x) for k, x in more.items() if k in nodes.columns))
     names = [(p.capture, me)] if p.capture else []
     for name, child in p.children:
-        sub, more = _match(child, nodes, c, used)
-        top = sub.columns[1]
-        if name and has_field:
+        sub, top, inner = _match(child, nodes, c, used)
+        if name and "field" in nodes.columns:
             sub = sub.where(F.col(top + "f") == name)
-        out = out.join(sub, (out["file_id"] == sub["file_id"]) & (out[me] == sub[top + "p"])).drop(sub["file_id"])
-        names += more
-    return out, names
+        sub = sub.withColumnRenamed("file_id", top + "x")
+        out = out.join(sub, (F.col("file_id") == F.col(top + "x")) & (F.col(me) == F.col(top + "p"))).drop(top + "x")
+        names += inner
+    return out, me, names

@@ -58,10 +58,11 @@ def lossy(content: pd.Series) -> pd.Series:
 
 
 def popcon(spark: SparkSession, path: str) -> DataFrame:
-    """rank, name of a popularity contest file."""
+    """rank, name, installs of a popularity contest file; rows without these numbers don't count."""
     part = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where(~F.col("value").rlike(r"^(#|---)")).select(part.alias("f"))
-    return rows.where((F.size("f") >= 3) & F.get("f", F.lit(0)).rlike("^[0-9]+$") & (F.get("f", F.lit(1)) != "Total")).select(F.get("f", F.lit(0)).cast("int").alias("rank"), F.get("f", F.lit(1)).alias("name"))
+    number = lambda i: F.get("f", F.lit(i)).try_cast("long")
+    return rows.where((F.size("f") >= 3) & number(0).isNotNull() & number(2).isNotNull() & (F.get("f", F.lit(1)) != "Total")).select(number(0).cast("int").alias("rank"), F.get("f", F.lit(1)).alias("name"), number(2).alias("installs"))
 
 
 def deb822(spark: SparkSession, path: str) -> DataFrame:
