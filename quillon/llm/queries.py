@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, langid, licences, media, neardup, packing, substrings, trie, urls, warc
+from quillon.llm import decontaminate, langid, licences, media, neardup, packing, sql, substrings, trie, urls, warc
 from quillon.llm.shared import kept, table
 
 
@@ -23,27 +23,30 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged(pages: DataFrame) -> DataFrame:
-    """A second replica of ``pages`` with known damage: every 97th page's content is reversed, and
-    the last records of some files are lost."""
-    html = F.when(F.col("page_id") % 97 == 0, F.reverse("html")).otherwise(F.col("html"))
-    lost = (F.col("page_id") % warc.RECORDS_PER_FILE >= 4090) & (F.floor(F.col("page_id") / warc.RECORDS_PER_FILE) % 5 == 3)
-    return pages.where(~F.coalesce(lost, F.lit(False))).withColumn("html", html)
+    """A second replica of ``pages`` with known damage: contents that grew or were reversed, records that
+    are lost, and records that the first hasn't."""
+    at = lambda n, r: F.coalesce(F.col("page_id") % n == r, F.lit(False))
+    html = F.when(at(97, 0), F.concat("html", F.lit("!"))).when(at(131, 3), F.reverse("html")).otherwise(F.col("html"))
+    added = pages.where(at(89, 5)).withColumn("page_id", F.col("page_id") + 10_000_000)
+    return pages.where(~at(61, 7)).withColumn("html", html).unionByName(added)
 
 
 def op2_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    """A row for each distinct record of the first replica, and for each that only the second has."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     primary, replica = kept(warc.leaves(pages), "primary"), kept(warc.leaves(damaged(pages)), "replica")
     roots, damage = warc.audit(primary, replica)
-    return primary.join(damage, ["file", "seq"], "left").join(roots, "file").select(
-        "page_id", "file", "seq", "offset", "length", "record_sha256", "file_root", F.coalesce("status", F.lit("ok")).alias("status")
-    )
+    damage = kept(damage, "damage")
+    same = primary["file"].eqNullSafe(F.col("d.file")) & primary["page_id"].eqNullSafe(F.col("d.page_id")) & (primary["record_sha256"] == F.col("d.record_sha256"))
+    said = primary.join(damage.where("status <> 'extra'").alias("d"), same, "left").select(*(primary[c] for c in primary.columns), F.coalesce("status", F.lit("ok")).alias("status"))
+    rows = said.union(damage.where("status = 'extra'")).join(roots, "file", "left")
+    return rows.select("page_id", "file", "seq", "offset", "length", "copies", "record_sha256", "file_root", "status")
 
 
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    templates = licences.BASE + licences.ADDED
-    n, seen = licences.frequencies(docs, templates)
-    return licences.summary(licences.scan(docs, templates, n, seen)).drop("text")
+    docs = table(spark, sf_dir, "documents")
+    n, seen = licences.frequencies(docs, licences.ALL)
+    return licences.summary(licences.scan(docs, licences.ALL, n, seen))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +95,23 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def media_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: all but the sound's features."""
+    return op1_media(spark, sf_dir).drop("feature", "fp_time", "fp_hash")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6: counts and the base score, rounded."""
+    return op6_lm_scores(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 6))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: host, path and the rules' verdicts."""
+    rows = table(spark, sf_dir, "pages").select("page_id", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    rule, verdict = urls.rule_for(F.col("host"), F.col("path"), RULES)
+    return rows.select("*", rule.alias("rule"), verdict.alias("said"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_fixity_audit": op2_fixity_audit,
@@ -103,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
     "op10_near_duplicates": op10_near_duplicates,
+    "media_base": media_base,
+    "lm_base": lm_base,
+    "url_rules": url_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = sql.ORACLE
