@@ -51,10 +51,14 @@ def read_state(wanted: DataFrame, found: DataFrame) -> DataFrame:
     return wanted.join(found, "path", "left").withColumn("read_ok", F.col("content").isNotNull())
 
 
-@F.pandas_udf("string")
-def lossy(content: pd.Series) -> pd.Series:
+def lossy(content: Column) -> Column:
     """Text with U+FFFD where bytes aren't UTF-8."""
-    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
+
+    @F.pandas_udf("string")
+    def run(c: pd.Series) -> pd.Series:
+        return c.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
+
+    return run(content)
 
 
 def popcon(spark: SparkSession, path: str) -> DataFrame:
