@@ -86,8 +86,7 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rows = pages.select("page_id", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
-    rule, verdict = urls.rule_for(F.col("host"), F.col("path"), RULES)
-    return urls.judge(rows.select("*", rule.alias("rule"), verdict.alias("verdict")), urls.lexicon(pages))
+    return urls.judge(urls.with_rules(rows, RULES), urls.lexicon(pages))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +107,7 @@ def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op9: host, path and the rules' verdicts."""
     rows = table(spark, sf_dir, "pages").select("page_id", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
-    rule, verdict = urls.rule_for(F.col("host"), F.col("path"), RULES)
-    return rows.select("*", rule.alias("rule"), verdict.alias("said"))
+    return urls.with_rules(rows, RULES).withColumnRenamed("verdict", "said")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

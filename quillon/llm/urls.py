@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from quillon.llm.shared import frugal
 
-#: The longest word tried in the split.
-LONGEST = 24
-BUCKETS = 1 << 16
+#: The longest word tried in the split: no label of a host name is longer.
+LONGEST = 63
+#: Numbers that tokens are hashed to, which bounds the model.
+BUCKETS = 1 << 20
+#: Rules that are kept in an expression; more are joined.
 MOST_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,9 +42,8 @@ def path_of(url: Column) -> Column:
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest fitting rule (verdict, host, path), else nulls."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules are kept in an expression")
+    """(rule, verdict) of the longest fitting rule (verdict, host, path), else nulls; of rules equally
+    long the last in order."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for said, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r)):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -50,6 +51,22 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return rule, verdict
 
 
+def with_rules(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``rows`` (host, path, ...) with rule and verdict as in ``rule_for``, for any number of rules."""
+    if len(rules) <= MOST_RULES:
+        rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
+        return rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
+    table = rows.sparkSession.createDataFrame(rules, "said string, h string, p string")
+    asked = rows.select("host", "path").distinct()
+    parts = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    fits = asked.select("host", "path", F.explode(ends).alias("h")).join(table, "h").where(F.col("path").startswith(F.col("p")))
+    order = F.struct((F.length("h") + F.length("p")).alias("n"), "said", "h", "p")
+    best = fits.groupBy("host", "path").agg(F.max(order).alias("r")).select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.concat("r.h", "r.p").alias("rule"), F.col("r.said").alias("verdict"))
+    same = F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p"))
+    return rows.join(best, same, "left").drop("_h", "_p")
+
+
 def _parts(pages: DataFrame, url: str) -> DataFrame:
     """w: all stretches of 2 to ``LONGEST`` letters within a run of a-z of some URL."""
     runs = pages.select(F.explode(F.split(F.lower(F.concat_ws("/", host_of(F.col(url)), path_of(F.col(url)))), "[^a-z]+")).alias("run")).where(F.length("run") > 1).distinct()
@@ -59,7 +76,10 @@ def _parts(pages: DataFrame, url: str) -> DataFrame:
 
 def lexicon(pages: DataFrame, text: str = "html", url: str = "url") -> dict[str, int]:
     """The words (runs of a-z, two letters or more) of all rows that some URL can hold, with
-    counts; the empty word has the count of all others, so that the sum is that of all words."""
+    counts; the empty word has the count of all others, so that the sum is that of all words.
+
+    Repeated rows count as often as they stand there; nulls have no words; other columns don't matter.
+    """
     words = pages.select(F.explode(F.split(F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "<[^>]*>", " ")), "[^a-z]+")).alias("w"))
     counts = words.where(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.count("*").alias("n"))
     held = counts.join(_parts(pages, url).withColumn("held", F.lit(True)), "w", "left")
@@ -124,7 +144,8 @@ def judge(urls: DataFrame, words: dict[str, int]) -> DataFrame:
     """``urls`` (page_id, host, path, rule, verdict) with every verdict given, and ``p_block``.
 
     A rule's verdict stands.  Otherwise ``block`` if the posterior exceeds one half; with no
-    decided rows to learn from everything else is allowed with ``p_block`` 0.
+    decided rows to learn from everything else is allowed with ``p_block`` 0.  Rows are judged one by
+    one: repeated rows repeat and count in learning as often; other columns are not carried.
     """
     shared = urls.sparkSession.sparkContext.broadcast(words)  # the words that some URL holds
 

@@ -53,6 +53,20 @@ def substrings(rows):
     return out
 
 
+def substrings_left(rows):
+    """The words that ``substrings`` leaves of each text, joined by one space."""
+    first, out = {}, {}
+    split = [(doc, SPACED.findall(t or "")) for doc, t in rows]
+    for doc, w in split:
+        for i in range(len(w) - 49):
+            k = tuple(w[i : i + 50])
+            first[k] = min(first.get(k, doc), doc)
+    for doc, w in split:
+        gone = {j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < doc for j in range(i, i + 50)}
+        out[doc] = " ".join(x for i, x in enumerate(w) if i not in gone)
+    return out
+
+
 def decontaminate(rows, items):
     windows = defaultdict(set)
     for item, text in items:
@@ -154,3 +168,50 @@ def lm(texts, learnt, discount, steps):
         logs = [math.log10(p2("\n", w[0])), *(math.log10(p3(*x)) for x in zip(["\n", *w], w, w[1:]))]
         out.append((len(w), sum(x in one for x in w), sum(math.log10(p1(x)) for x in w), sum(logs)))
     return out
+
+
+def judged_urls(rows):
+    """Verdicts and block probabilities of (url, html) rows: words by the best split, naive Bayes over tokens."""
+    text = " ".join(re.sub("<[^>]*>", " ", h or "").lower() for _, h in rows)
+    seen = Counter(w for w in re.split("[^a-z]+", text) if 2 <= len(w) <= 63)
+    total = math.log(sum(seen.values()) + 1)
+    known = {}
+
+    def split(run):
+        if run not in known:
+            best = [(0.0, 0)]
+            for i in range(1, len(run) + 1):
+                options = []
+                for j in range(max(0, i - 63), i):
+                    w = run[j:i]
+                    options.append((best[j][0] + (total - math.log(seen[w]) if w in seen else total + 2.5 * (i - j)), j))
+                best.append(min(options))
+            out, i = [], len(run)
+            while i:
+                out.append(run[best[i][1] : i])
+                i = best[i][1]
+            known[run] = out[::-1]
+        return known[run]
+
+    def tokens(host, path):
+        out = []
+        for mark, s in (("h:", host.lower()), ("p:", path.lower())):
+            for run in re.findall("[a-z]+|[0-9]+", s):
+                out += [mark + w for w in split(run)] if run[0].isalpha() else [f"{mark}#{len(run)}"]
+        return out
+
+    plain = [url(u) for u, _ in rows]
+    counts, n = {"block": Counter(), "allow": Counter()}, Counter()
+    for host, path, _, said in plain:
+        if said:
+            n[said] += 1
+            counts[said].update(tokens(host, path))
+    size, sums = len({*counts["block"], *counts["allow"]}), {k: sum(c.values()) for k, c in counts.items()}
+    out = []
+    for host, path, rule, said in plain:
+        odds = math.log((n["block"] + 1) / (n["allow"] + 1))
+        for t in tokens(host, path):
+            odds += math.log((counts["block"][t] + 1) / (sums["block"] + size)) - math.log((counts["allow"][t] + 1) / (sums["allow"] + size))
+        p = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+        out.append((host, path, rule, said or ("block" if p > 0.5 else "allow"), p))
+    return out

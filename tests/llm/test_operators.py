@@ -334,6 +334,17 @@ def test_urls(spark):
     assert urls.segmenter({"spam": 5, "farm": 5, "s": 1})("spamfarm") == ["spam", "farm"]
 
 
+def test_url_rules_beyond_an_expression(spark, monkeypatch):
+    """Joined rules say what the expression says; clashing columns and repeated rows stay."""
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate([*URLS, URLS[0], "http://" + "a" * 300_000 + "/es/"])], "h long, url string")
+    rows = rows.select("h", F.lit("x").alias("said"), urls.host_of(rows.url).alias("host"), urls.path_of(rows.url).alias("path"))
+    want = urls.with_rules(rows, RULES).collect()
+    monkeypatch.setattr(urls, "MOST_RULES", 0)
+    got = urls.with_rules(rows, RULES)
+    assert got.columns == [*rows.columns, "rule", "verdict"]
+    same([(r.h, r.rule, r.verdict) for r in got.collect()], [(r.h, r.rule, r.verdict) for r in want])
+
+
 def test_url_lexicon_keeps_rare_words(spark):
     """A word seen once is kept however many words are more frequent, if a URL holds it."""
     common = " ".join("w" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(50_001))
