@@ -209,13 +209,9 @@ class Derivation:
 
     def _alternative(self, node: dict, depth: int) -> int:
         options = node["members"]
-        shortest = min(range(len(options)), key=lambda i: self.g.length(options[i]))
         if depth >= MAX_DEPTH or (self.fresh is None and self.at >= len(self.tape)):
-            if self.fresh is not None:
-                self.at += 1
-                self.record.append(shortest)
-            return shortest
-        if self.fresh is not None:
+            return min(range(len(options)), key=lambda i: self.g.length(options[i]))
+        if self.fresh is not None and len(options) > 1:
             site = self.g.site_of[id(node)]
             new = [i for i in range(len(options)) if (site, i) not in self.fresh]
             new = [i for i, o in enumerate(options) if self.toward and symbols(o) & self.toward] or new

@@ -20,29 +20,52 @@ def clusters(failures: DataFrame, examples: int = 5) -> DataFrame:
     """signature, count, valid, verdict and the first examples of failures (signature, label, valid, ord, path),
     most valid first, then most failures, then by signature.
 
-    Examples are picked by rank before they are gathered, so no long list is built.  The verdict
-    is the first of gap, version, config that the cluster has, else noise.
+    Counts are combined before they are shuffled, and only the first rows of each task are ranked, so a
+    cluster that most failures fall into never meets in one task.  The verdict is the first of gap,
+    version, config that the cluster has, else noise.
     """
     rank = F.row_number().over(Window.partitionBy("signature").orderBy("ord"))
-    few = F.array_sort(F.collect_list(F.when(F.col("_r") <= examples, F.struct("ord", "path"))))
+    first = failures.select("signature", "ord", "path").withColumn("_r", rank).where(F.col("_r") <= examples)
+    few = first.groupBy("signature").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda x: x["path"]), ",").alias("examples"))
     has = lambda x: F.count_if(F.col("label") == x) > 0
-    g = failures.withColumn("_r", rank).groupBy("signature").agg(
-        F.count("*").alias("count"), F.count_if("valid").alias("valid"), F.when(has("gap"), "gap").when(has("version"), "version").when(has("config"), "config").otherwise("noise").alias("verdict"), F.array_join(F.transform(few, lambda x: x["path"]), ",").alias("examples")
-    )
-    return g.orderBy(F.desc("valid"), F.desc("count"), "signature")
+    verdict = F.when(has("gap"), "gap").when(has("version"), "version").when(has("config"), "config").otherwise("noise")
+    g = failures.groupBy("signature").agg(F.count("*").alias("count"), F.count_if("valid").alias("valid"), verdict.alias("verdict"))
+    return g.join(few, "signature").orderBy(F.desc("valid"), F.desc("count"), "signature")
+
+
+#: Values that are ranked together, and keys of a group that are numbered together.
+STRETCH = 1 << 16
 
 
 def nearest_rank(rows: DataFrame, value: str, place: Column) -> DataFrame:
-    """The value at a 0-based place among all, place being given in terms of ``n``.
+    """The value at a 0-based place among all, place being given in terms of ``n``; 0 for no rows.
 
-    The place is found from counts of distinct values, so only those are ordered.
+    Counts of distinct values are summed for stretches of the number line, the stretch that holds the
+    place is found among those, and only its values are ordered.
     """
-    counts = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("v")
-    ranked = counts.select("v", F.sum("c").over(w).alias("upto"), F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    counts = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("w", F.floor(F.col("v") / STRETCH))
+    order = Window.orderBy("w")
+    wide = counts.groupBy("w").agg(F.sum("c").alias("c"))
+    wide = wide.select("w", F.sum("c").over(order).alias("upto"), F.col("c"), F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    hit = wide.where(F.col("upto") > place).orderBy("w").limit(1).select("w", (F.col("upto") - F.col("c")).alias("before"), "n")
+    inner = counts.join(F.broadcast(hit), "w")  # one row
+    ranked = inner.select("v", "n", (F.col("before") + F.sum("c").over(Window.orderBy("v"))).alias("upto"))
     return ranked.where(F.col("upto") > place).agg(F.coalesce(F.min("v"), F.lit(0)).alias("value"))
 
 
+def numbered(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """``rows`` with i, their place from 0 in the order of ``group`` and the number ``key``, and n, how many there are.
+
+    Stretches of a group are counted first, so rows are numbered within stretches.
+    """
+    part = rows.withColumn("_s", F.floor(F.col(key) / STRETCH))
+    counts = part.groupBy(group, "_s").agg(F.count("*").alias("_c"))
+    order = Window.orderBy(group, "_s")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = counts.select(group, "_s", (F.sum("_c").over(order) - F.col("_c")).alias("_b"), F.sum("_c").over(whole).alias("n"))
+    inner = F.row_number().over(Window.partitionBy(group, "_s").orderBy(key)) - 1
+    return part.withColumn("_i", inner).join(base, [group, "_s"]).select(*rows.columns, (F.col("_b") + F.col("_i")).alias("i"), "n")
+
 
 def with_quantiles(one: DataFrame, rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """A one-row table with a column for each share: the value at its nearest rank."""

@@ -77,3 +77,14 @@ def findings(spark: SparkSession, m: Manifest, named: list[str], supertypes: dic
         d = d.select(F.lit(rule).alias("rule"), F.col("x").alias("subject"))
         out = d if out is None else out.union(d)
     return out
+
+
+def dead_roles(declared: list[str], counts: DataFrame) -> DataFrame:
+    """Declared roles that nothing matched, from counts (role, n)."""
+    roles = counts.sparkSession.createDataFrame([(r,) for r in declared], "role string")
+    return roles.join(counts.where("n > 0").select("role"), "role", "left_anti")
+
+
+def ledger_version(stated: str) -> str | None:
+    """What is wrong with a ledger's vocabulary version, if anything."""
+    return None if stated == VERSION else f"the ledger states vocabulary {stated}, not {VERSION}"

@@ -239,18 +239,10 @@ def reformat_invariant(spark, d):
     return _t(spark, d, "documents").select("doc_id", (scalars.squash(F.col("text")) == scalars.squash(after)).alias("same"), (F.col("text") != after).alias("changed"))
 
 
-@query("select role, substr(text, 1, 1) as head, count(*) as n, count(distinct conv_id) as files from conversations group by 1, 2")
-def roundtrip_clusters(spark, d):
-    return _t(spark, d, "conversations").groupBy("role", F.substring("text", 1, 1).alias("head")).agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("files"))
-
-
 @query("""with n as (select count(*) as n from documents), r as (select doc_id, row_number() over (order by source, doc_id) - 1 as i from documents) select doc_id from r, n where i % greatest(1, n // 100) = 0 and i // greatest(1, n // 100) < 100""")
 def even_sample(spark, d):
-    """Every step-th file in manifest order; ranks come from package bases, so packages are dealt apart."""
-    docs = _t(spark, d, "documents").select("doc_id", "source")
-    base = docs.groupBy("source").agg(F.count("*").alias("c"))
-    base = base.select("source", (F.sum("c").over(Window.orderBy("source")) - F.col("c")).alias("base"), F.greatest(F.lit(1), F.floor(F.sum("c").over(Window.partitionBy(F.lit(0))) / 100)).alias("step"))
-    r = docs.join(base, "source").withColumn("i", F.col("base") + F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    """Every step-th file in manifest order."""
+    r = reports.numbered(_t(spark, d, "documents").select("doc_id", "source"), "source", "doc_id").withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n") / 100)))
     return r.where("i % step = 0 and floor(i / step) < 100").select("doc_id")
 
 

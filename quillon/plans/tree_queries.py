@@ -238,34 +238,41 @@ def lex_subset(spark, d):
     return spans.families(spans.token_misses(theirs, own))
 
 
-_RECOVERY_SQL = f"""{NODES_SQL}, o0 as (select file_id, i, depth, is_open, start_byte, lead(is_end) over (partition by file_id, depth order by i) as shut from k6 where is_open or is_end), dirty as (select distinct file_id from o0 where is_open and not coalesce(shut, false)),
+#: Well-formed texts made of documents: pages as they come have tags that are never closed.
+_CLEAN_SQL = "select doc_id as file_id, '<div><h1>' || source || '</h1><ul>' || repeat('<li>' || coalesce(lang, '-') || '</li>', cast(doc_id % 7 as int)) || '</ul><p>' || regexp_replace(coalesce(text, ''), '[<>]', ' ', 'g') || '</p></div>' as html from documents"
+_RECOVERY_SQL = f"""{nodes_sql(_CLEAN_SQL)}, o0 as (select file_id, i, depth, is_open, start_byte, lead(is_end) over (partition by file_id, depth order by i) as shut from k6 where is_open or is_end), dirty as (select distinct file_id from o0 where is_open and not coalesce(shut, false)),
   t0 as (select file_id, i, tok, start_byte, strlen(tok) as w, row_number() over (partition by file_id order by i) - 1 as r, count(*) over (partition by file_id) as n from k6 where (name <> '' or is_text) and file_id not in (select file_id from dirty)),
-  cut as (select * from t0 where r % greatest(1, n // 8) = 0 and r // greatest(1, n // 8) < 8), sz as (select page_id as file_id, strlen(html) as size from pages),
+  cut as (select * from t0 where r % greatest(1, n // 8) = 0 and r // greatest(1, n // 8) < 8), sz as (select file_id, strlen(html) as size from p),
   d0 as (select cut.file_id, cut.i as j, cut.w, k.i, k.is_open, k.is_end, k.start_byte - case when k.i > cut.i then cut.w else 0 end as pos, sum(case when k.is_open then 1 when k.is_end then -1 else 0 end) over (partition by cut.file_id, cut.i order by k.i) - case when k.is_open then 1 else 0 end as depth from cut join k6 k on k.file_id = cut.file_id and k.i <> cut.i where k.is_open or k.is_end),
   d1 as (select *, lead(is_end) over (partition by file_id, j, depth order by i) as shut from d0), bad as (select file_id, j, min(pos) as pos from d1 where is_open and not coalesce(shut, false) group by 1, 2),
   br as (select cut.file_id, cut.start_byte as pos, left(cut.tok, 24) as deleted, size - w as size, size - w - bad.pos as error_bytes, cast(floor((size - w - bad.pos) * 1000 / cast(size - w as double) + 0.5) as bigint) as radius from cut join bad on bad.file_id = cut.file_id and bad.j = cut.i join sz on sz.file_id = cut.file_id)"""
 
 
+_MIN = 256
+
+
 def _broken(spark: SparkSession, d: str) -> DataFrame:
-    return recovery.deletions(_t(spark, d, "pages")).where("error_bytes > 0")
+    inner = F.concat(F.lit("<div><h1>"), "source", F.lit("</h1><ul>"), F.repeat(F.concat(F.lit("<li>"), F.coalesce("lang", F.lit("-")), F.lit("</li>")), (F.col("doc_id") % 7).cast("int")), F.lit("</ul><p>"))
+    html = F.concat(inner, F.regexp_replace(F.coalesce("text", F.lit("")), "[<>]", " "), F.lit("</p></div>"))
+    return recovery.deletions(_t(spark, d, "documents").select("doc_id", html.alias("html")), "doc_id").where("error_bytes > 0")
 
 
 @query(f"""with {_RECOVERY_SQL}, o as (select radius, row_number() over (order by radius) - 1 as i, count(*) over () as n from br)
-  select (select count(*) from br) as breaking, coalesce(max(radius) filter (i = cast(floor((n - 1) * 0.5 + 0.5) as bigint)), 0) as median, coalesce(max(radius) filter (i = cast(floor((n - 1) * 0.9 + 0.5) as bigint)), 0) as p90, coalesce(max(radius) filter (i = cast(floor((n - 1) * 0.99 + 0.5) as bigint)), 0) as p99, (select count(*) from br where error_bytes * 2 > size and size >= 1024) as shredded from o""")
+  select (select count(*) from br) as breaking, coalesce(max(radius) filter (i = cast(floor((n - 1) * 0.5 + 0.5) as bigint)), 0) as median, coalesce(max(radius) filter (i = cast(floor((n - 1) * 0.9 + 0.5) as bigint)), 0) as p90, coalesce(max(radius) filter (i = cast(floor((n - 1) * 0.99 + 0.5) as bigint)), 0) as p99, (select count(*) from br where error_bytes * 2 > size and size >= 256) as shredded from o""")
 def recovery_radius(spark, d):
     broken = _broken(spark, d).withColumn("radius", recovery.radius(F.col("error_bytes"), F.col("size")))
-    counts = broken.agg(F.count("*").alias("breaking"), F.count_if((F.col("error_bytes") * 2 > F.col("size")) & (F.col("size") >= recovery.MIN_BYTES)).alias("shredded"))
+    counts = broken.agg(F.count("*").alias("breaking"), F.count_if((F.col("error_bytes") * 2 > F.col("size")) & (F.col("size") >= _MIN)).alias("shredded"))
     return reports.with_quantiles(counts, broken, "radius", {"median": 0.5, "p90": 0.9, "p99": 0.99})
 
 
-@query(f"with {_RECOVERY_SQL} select deleted, count(*) as n from br where error_bytes * 2 > size and size >= 1024 group by 1 order by n desc, deleted limit 15")
+@query(f"with {_RECOVERY_SQL} select deleted, count(*) as n from br where error_bytes * 2 > size and size >= 256 group by 1 order by n desc, deleted limit 15")
 def recovery_shred_tokens(spark, d):
-    return recovery.by_token(recovery.shredded(_broken(spark, d)))
+    return recovery.by_token(recovery.shredded(_broken(spark, d), _MIN))
 
 
-@query(f"with {_RECOVERY_SQL} select file_id, pos, deleted, radius from br where size >= 1024 order by radius desc, file_id, pos limit 10")
+@query(f"with {_RECOVERY_SQL} select file_id, pos, deleted, radius from br where size >= 256 order by radius desc, file_id, pos limit 10")
 def recovery_worst(spark, d):
-    return recovery.worst(_broken(spark, d)).select("file_id", F.col("at").alias("pos"), "deleted", "radius")
+    return recovery.worst(_broken(spark, d), min_bytes=_MIN).select("file_id", F.col("at").alias("pos"), "deleted", "radius")
 
 
 @query(f"""with a as (select file_id, string_agg(coalesce({_FIELD} || ':', '') || kind, ' ' order by node_id) as shape from (with {NODES_SQL} select * from n) group by 1), b as (select file_id, string_agg(coalesce({_FIELD} || ':', '') || kind, ' ' order by node_id) as shape from (with {nodes_sql("select page_id as file_id, regexp_replace(html, '[ \\t\\n\\f\\r]+', ' ', 'g') as html from pages")} select * from n) group by 1),
