@@ -137,6 +137,19 @@ def test_substrings(docs, rows, empty):
     assert substrings.cleaned(empty).count() == 0
 
 
+def test_substrings_of_hot_buckets(spark, docs, rows, monkeypatch):
+    """Buckets dealt again by another order of minimisers give the same repeats."""
+    rng = random.Random(8)
+    core = [f"c{i}" for i in range(60)]
+    more = [(100 + i, " ".join(rng.choices("abcdefgh", k=60) + core[: rng.randint(12, 60)] + rng.choices("abcdefgh", k=60))) for i in range(60)]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    want = {(doc, n) for doc, _, n, _ in brute.substrings([*rows, *more]) if n}
+    for hot in (substrings.HOT, 5, 0):
+        monkeypatch.setattr(substrings, "HOT", hot)
+        ids = {r.row: r.doc_id for r in substrings.word_digests(d).collect()}
+        assert {(ids[r.row], r.n_removed) for r in substrings.cleaned(d).collect()} == want
+
+
 @pytest.mark.parametrize("in_row", [decontaminate.IN_ROW, 3])
 def test_decontaminate(spark, docs, rows, empty, monkeypatch, in_row):
     monkeypatch.setattr(decontaminate, "IN_ROW", in_row)
