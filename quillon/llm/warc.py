@@ -70,7 +70,8 @@ def tree(leaf: DataFrame) -> DataFrame:
     rows = leaf.select("file", "path", F.col("offset").alias("lo"), (F.col("offset") + F.col("length") * F.col("copies")).alias("hi"), *limbs)
     low = rows.groupBy("file", "path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *(F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(4)), F.count("*").alias("n"))
     low = low.select("file", "path", "lo", "hi", F.sha2(F.concat_ws(":", "x0", "x1", "x2", "x3", "n"), 256).alias("digest"))
-    node, out = low.repartition("file"), None  # a file has 2 ** 20 such nodes at most
+    parts = int(leaf.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    node, out = low.repartition(parts, "file"), None  # a file has 2 ** 20 such nodes at most
     for depth in LEVELS:
         if depth < LEVELS[0]:
             node = node.groupBy("file", F.substring("path", 1, depth).alias("path")).agg(
