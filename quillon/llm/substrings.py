@@ -9,7 +9,8 @@ windows start in a document with a smaller id than its own.
 Minimisers are counted first: a bucket that only one document reaches can't hold a repeat, so
 only strings of shared buckets travel.  Equal strings are aggregated before they are shuffled and
 keep their smallest id, so a passage in very many documents is one string.  A bucket that more than
-``HOT`` different strings reach is dealt again by minimisers of another order, within its strings.
+``HOT`` different strings reach is dealt by its windows' hashes instead: of all its strings' windows
+only equal ones need to meet.
 Windows are told apart by a 128-bit hash of their words.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import frugal, kept, row_key
-from quillon.llm.text import Words, mix, pool_min, rolling, slices
+from quillon.llm.text import Words, pool_min, rolling, slices
 
 WINDOW, CORE = 50, 12
 #: Strings of a bucket that are sorted in one task.
@@ -34,10 +35,9 @@ HOT = 1000
 LAST = (1 << 63) - 1
 
 
-def _runs(w: Words, order: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _runs(w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each document with windows: its index, and start, end and minimiser of its runs of windows."""
     core = rolling(w.key, CORE)
-    core = mix(core ^ np.uint64(order)) if order else core
     for d in np.flatnonzero(w.count >= WINDOW):
         a = w.first[d]
         least = pool_min(core[a : a + w.count[d] - CORE + 1], WINDOW - CORE + 1)
@@ -91,50 +91,23 @@ def super_kmers(texts: DataFrame) -> DataFrame:
     return texts.select("id", "row", "text", "minis").mapInArrow(frugal(run), "mini long, packed binary, pid binary, id long, row binary, start int, windows int")
 
 
-def _dealt(strings: DataFrame) -> DataFrame:
-    """(bucket, part, packed, pid, least, skip) of packed strings (mini, packed, pid, least), those of one bucket and part
-    in one task: part is 0, but in a hot bucket a minimiser of another order, and each string is
-    packed anew for each of its runs; skip: windows of the string before the run."""
-    hot = strings.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("mini")
-    hot = kept(hot, "hot-buckets")
-    cold = strings.join(hot, "mini", "left_anti").select(F.col("mini").alias("bucket"), F.lit(0).cast("long").alias("part"), "packed", "pid", "least", F.lit(0).alias("skip"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            column = b.column(1).cast(pa.string())
-            for lo, hi in slices(column):
-                w = Words(column.slice(lo, hi - lo))
-                joined, at = w.joined()
-                data, out = joined.tobytes(), ([], [], [], [])
-                for d, start, end, part in _runs(w, 0x5DEECE66D):
-                    a = w.first[d]
-                    for s, e, x in zip(start.tolist(), end.tolist(), part.tolist()):
-                        for c, v in zip(out, (lo + int(d), x, data[at[a + s] : at[a + e + WINDOW - 1] - 1], s)):
-                            c.append(v)
-                of = pa.array(out[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), b.column(2).take(of), b.column(3).take(of), pa.array(out[3], pa.int32())], ["bucket", "part", "packed", "pid", "least", "skip"])
-
-    again = strings.join(hot, "mini").select("mini", "packed", "pid", "least").mapInArrow(frugal(run), "bucket long, part long, packed binary, pid binary, least long, skip int")
-    return cold.union(again).repartition("bucket", "part")
-
-
 def _windows(strings: DataFrame) -> DataFrame:
-    """(w, least, pid, at) for each window of packed strings (pid, packed, least, skip)."""
+    """(w, least, pid, at) for each window of packed strings (pid, packed, least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 w, least, pid, at = [], [], [], []
-                for p, packed, n, skip in zip(*(c.to_pylist() for c in b.slice(lo, 1000).columns)):
+                for p, packed, n in zip(*(c.to_pylist() for c in b.slice(lo, 1000).columns)):
                     ends = [-1, *np.flatnonzero(np.frombuffer(packed, np.uint8) == 32).tolist(), len(packed)]
                     k = len(ends) - WINDOW
                     w += [xxhash.xxh3_128_digest(packed[ends[i] + 1 : ends[i + WINDOW]]) for i in range(k)]
                     least += [n] * k
                     pid += [p] * k
-                    at += range(skip, skip + k)
+                    at += range(k)
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(least, pa.int64()), pa.array(pid, pa.binary()), pa.array(at, pa.int32())], ["w", "least", "pid", "at"])
 
-    return strings.select("pid", "packed", "least", "skip").mapInArrow(frugal(run), "w binary, least long, pid binary, at int")
+    return strings.select("pid", "packed", "least").mapInArrow(frugal(run), "w binary, least long, pid binary, at int")
 
 
 def _earlier(ordered: DataFrame) -> DataFrame:
@@ -165,8 +138,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     texts = kept(rows.join(need, "row").select("id", "row", "text", "minis"), "shared-texts")
 
     strings = kept(super_kmers(texts).groupBy("mini", "packed").agg(F.first("pid").alias("pid"), F.min("id").alias("least")), "super-kmers")
-    in_buckets = _windows(_dealt(strings)).sortWithinPartitions("w", "least")
-    earlier = _earlier(in_buckets).groupBy("pid").agg(F.collect_list(F.struct("at", "least")).alias("earlier"))
+    hot = kept(strings.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("mini"), "hot-buckets")
+    in_buckets = _windows(strings.join(hot, "mini", "left_anti").repartition("mini"))
+    by_window = _windows(strings.join(hot, "mini", "left_semi")).repartition("w")
+    found = [_earlier(x.sortWithinPartitions("w", "least")) for x in (in_buckets, by_window)]
+    earlier = found[0].union(found[1]).groupBy("pid").agg(F.collect_list(F.struct("at", "least")).alias("earlier"))
     known = kept(strings.select("pid", "least").join(earlier, "pid", "left"), "known-strings")  # a table, so that a string in very many documents can be split
     places = super_kmers(texts).select("pid", "id", "row", "start", "windows").join(known, "pid")
     span = lambda a, z: F.struct(a.cast("long").alias("start"), z.cast("long").alias("end"))
