@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, langid, licences, media, neardup, packing, sql, substrings, trie, urls, warc
+from quillon.llm import balltree, decontaminate, langid, licences, media, neardup, packing, ranked, sql, substrings, tokens, trie, urls, warc
 from quillon.llm.shared import kept, table
 
 
@@ -94,6 +94,30 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def byte_vocabulary() -> str:
+    """Place of the byte-level vocabulary among the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.stored(table(spark, sf_dir, "documents"), byte_vocabulary())
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 100th vector is an anchor, every 7th has a wrong label; components are floor(256 x)."""
+    rows = table(spark, sf_dir, "embeddings").where(balltree.usable("vec_id", "label", "embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    return balltree.hard_negatives(rows.select("vec_id", label.alias("label"), whole.alias("vector")), F.col("vec_id") % 100 == 0)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.Index(table(spark, sf_dir, "documents")).search(table(spark, sf_dir, "benchmark"))
+
+
 def media_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: all but the sound's features."""
     return op1_media(spark, sf_dir).drop("feature", "fp_time", "fp_hash")
@@ -121,6 +145,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_token_files": op11_token_files,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_ranked_search": op13_ranked_search,
     "media_base": media_base,
     "lm_base": lm_base,
     "url_rules": url_rules,

@@ -97,7 +97,26 @@ NEAR = f"""with recursive d as (select doc_id, {_SPACED.format(_LOWER)} as ws fr
   r(x, y) as (select x, y from e union select r.x, e.y from r join e on e.x = r.y), m as (select x, min(y) as y from r group by 1)
   select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) as component_id, d.doc_id <= coalesce(m.y, d.doc_id) as kept from d left join n using (doc_id) left join m on m.x = d.doc_id"""
 
+HARD_NEGATIVES = """with r as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+    from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+  s as (select distinct on (a.vec_id, b.vec_id) a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score from r a, r b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+  p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+  n as (select p.*, other as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by score desc, other) as rank
+    from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score qualify rank <= 5)
+  select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n"""
+
+RANKED = f"""with d as (select doc_id, {_WORDS.format('text')} as ws from documents), g as (select count(*) as n, cast(sum(len(ws)) as bigint) as l from d where len(ws) > 0),
+  t as (select doc_id, w, count(*) as tf from (select doc_id, unnest(ws) as w from d) group by 1, 2), f as (select w, count(*) as df from t group by 1),
+  v as (select w, cast(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) as bigint) as weight from f, g),
+  q as (select distinct item_id, unnest({_WORDS.format('text')}) as w from benchmark),
+  m as (select doc_id, 50 + (50 * len(ws) * g.n) // g.l as m from d, g where len(ws) > 0),
+  s as (select item_id, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score from q join v using (w) join t using (w) join m using (doc_id) group by 1, 2)
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from s where score > 0 qualify rank <= 50"""
+
 ORACLE = {
+    "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_ranked_search": RANKED,
     "op2_fixity_audit": FIXITY,
     "op3_licence_scan": LICENCES,
     "op4_substring_dedup": SUBSTRINGS,

@@ -25,6 +25,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
+#: Bytes that no word of letters, digits and other alphabets holds, in lower-cased text.
+SIGNS = np.zeros(256, dtype=bool)
+SIGNS[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 
 def _power(mult: np.uint64, n: int) -> np.ndarray:
@@ -86,16 +89,16 @@ def _span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a slice of documents.
+    """Words of a slice of documents: runs without ``blank`` bytes, white space if not said otherwise.
 
     start, end: byte ranges in ``data``; first: index of each document's first word, with one
     entry more for the end; key: 64-bit hash of each word.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, blank: np.ndarray = SPACE):
         data, off = as_bytes(column)
-        self.data, self.off = (LOWER[data] if lower else data), off
-        inside = ~SPACE[data]
+        self.data, self.off, self.blank = (LOWER[data] if lower else data), off, blank
+        inside = ~blank[self.data]
         before = np.empty_like(inside)
         before[1:] = inside[:-1]
         cuts = off[:-1][np.diff(off) > 0]
@@ -123,7 +126,7 @@ class Words:
         keep = np.ones(at[-1], dtype=bool)
         keep[at[1:] - 1] = False
         if len(self.data):
-            out[keep] = self.data[~SPACE[self.data]]
+            out[keep] = self.data[~self.blank[self.data]]
         return out, at
 
 
