@@ -10,20 +10,21 @@ from __future__ import annotations
 
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.packing import MEMORY, TOGETHER
 from quillon.llm.pfor import TokenBlocks
 from quillon.llm.shared import frugal, held, shared_dir
 from quillon.llm.text import slices, span_keys
 
 END = 2
+#: Parts whose ids a worker keeps: twice this many at most, about 80 MB.
+MEMORY = 200_000
 #: Bytes of text that are cut into parts together.
 TEXTS = 1 << 20
 
@@ -35,6 +36,11 @@ _ONE = np.isin(np.arange(256), [ord(c) for c in "stmd"])
 _TWO = np.zeros((256, 256), dtype=bool)
 for _x in ("re", "ve", "ll"):
     _TWO[ord(_x[0]), ord(_x[1])] = True
+#: The signs that byte-level vocabularies write for bytes: printable ones stand for themselves, the others
+#: follow in order from 256 on.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OF_BYTE = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_OWN))}
+_SIGN = str.maketrans({c: "".join(_OF_BYTE[b] for b in chr(c).encode()) for c in range(1, 256)})
 _CONTROLS = bytes([*range(9), *range(14, 32), 127, *range(128, 133), *range(134, 160)])
 
 
@@ -65,25 +71,18 @@ class ByteEncoder:
     """Token ids of texts by a byte-level vocabulary file of the tokenizers library.
 
     Texts of Latin-1 without controls are cut as the vocabulary's pre-tokenizer cuts them, many texts
-    at once as one array of bytes; each distinct part goes to the merges once while it is remembered.
-    Other texts are encoded whole by the library.
+    at once as one array of bytes; each distinct part goes to the library's merges once while it is
+    remembered, in the signs that the vocabulary writes for its bytes.  Other texts are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.path, self.load, self.merges = path, Tokenizer.from_file, Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.merges = self.whole.model
         self.known: dict[bytes, bytes] = {}
         self.former: dict[bytes, bytes] = {}
-        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\0", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.gap = self.merges.encode("\0", add_special_tokens=False).ids
-        if len(self.gap) != 1:
-            raise ValueError("the vocabulary has no id of its own for a zero byte")
-
-    @cached_property
-    def whole(self):
-        return self.load(self.path)
 
     def ids_of(self, parts: list[bytes]) -> list[bytes]:
         """Ids of distinct parts, given in Latin-1."""
@@ -97,13 +96,10 @@ class ByteEncoder:
                     fresh.append(i)
                 else:
                     known[parts[i]] = x
-        for lo in range(0, len(fresh), TOGETHER):
-            some = fresh[lo : lo + TOGETHER]
-            ids = np.array(self.merges.encode_batch_fast([b"\0".join([parts[i] for i in some]).decode("latin-1")], add_special_tokens=False)[0].ids, dtype="<u4")
-            gaps = np.flatnonzero(ids == self.gap[0]).tolist()
-            raw = ids.tobytes()
-            for i, a, z in zip(some, [0, *(g + 1 for g in gaps)], [*gaps, len(ids)], strict=True):
-                out[i] = known[parts[i]] = raw[4 * a : 4 * z]
+        if fresh:
+            merge = self.merges.tokenize
+            for i, x in zip(fresh, b"\0".join([parts[i] for i in fresh]).decode("latin-1").translate(_SIGN).split("\0"), strict=True):
+                out[i] = known[parts[i]] = array("I", [t.id for t in merge(x)]).tobytes()
         if len(known) > MEMORY:
             self.former, self.known = known, {}
         return out
