@@ -1,182 +1,232 @@
-"""Macro expansion for diagnosis: what could be expanded is, the rest stays as written with a reason.
-
-Directives, comments and literals are never touched.  A token that came from a macro's body carries
-the names it came through and none of them expands in it again.
+"""Macro expansion for diagnosis, as rounds of rewriting over tables.
+
+What can be expanded is; the rest stays as written, with a reason.  Directives, comments and
+literals are never touched, and an invocation doesn't reach across one.
+
+A context is a list of tokens that is read as one: at first the code of a file between two literals,
+later what one invocation became.  A round finds the outermost invocations of all contexts by
+windows over (file, context): running counts give brackets their level, the next bracket of a level
+is the one that closes, and a running maximum of ends leaves out what lies within another
+invocation.  Each invocation's body, its parameters replaced, is a context of the next round; only
+those that hold a name of a macro go on, and after ``MAX_DEPTH`` rounds none does.  A token keeps the
+names it came through (none of them expands in it again) and the place in the file that it came
+from.  Contexts are keyed by the path of their invocations, so sorting pieces by path puts the text
+together.
+
+Files without a macro's name, and all but a few rows of the others, take no part in any shuffle:
+only names that the package defines, brackets and commas, line breaks and literals do.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.runtime import ship
+from quillon.runtime import written
 
 MAX_DEPTH = 32
 #: Names that are never expanded, because a package's definition of one is a shim for
 #: other compilers.
-NEVER = frozenset(
-    "auto break case char const continue default do double else enum extern float for goto if inline int long register "
-    "restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Bool _Complex "
-    "_Noreturn __attribute__ __extension__ __inline __inline__ __const __signed __volatile __volatile__ __restrict "
-    "__restrict__ __asm __asm__ __typeof __typeof__".split()
-)
-_SEGMENT = re.compile(r"""(?mx)
-    (?P<directive> ^[ \t]*\#(?:[^\n]*\\\n)*[^\n]*\n? )
-  | (?P<literal> //[^\n]* | /\*(?:.|\n)*?(?:\*/|\Z) | "(?:\\(?:.|\n)|[^"\\])*(?:"|\Z) | '(?:\\(?:.|\n)|[^'\\])*(?:'|\Z) )""")
-_TOKEN = re.compile(r"(?P<name>[^\W\d]\w*)|(?P<blank>\s+)|.", re.S)
-
-
-@dataclass(frozen=True)
-class Macro:
-    params: tuple[str, ...] | None
-    body: str
-
-    def refusal(self, name: str) -> str | None:
-        """Why the macro isn't expanded, if so."""
-        if name in NEVER:
-            return "shadows a keyword the grammar models itself"
-        if "##" in self.body:
-            return "token pasting"
-        if self.params is not None and re.search("#(?!#)", self.body):
-            return "stringify"
-        return "variadic" if "..." in (self.params or ()) else None
-
-
-@dataclass(frozen=True)
-class _Token:
-    text: str
-    kind: str | None
-    line: int
-    through: frozenset[str] = frozenset()
-
-
-@dataclass
-class Expansion:
-    """text; expanded: (name, line as written) in order; refused: (name, reason)."""
-
-    text: str = ""
-    expanded: list[tuple[str, int]] = field(default_factory=list)
-    refused: set[tuple[str, str]] = field(default_factory=set)
-
-    def near(self, line: int) -> list[str]:
-        return sorted({n for n, at in self.expanded if abs(at - line) <= 1})
-
-
-def _tokens(text: str, line: int, through: frozenset[str] = frozenset(), moving: bool = True) -> Iterator[_Token]:
-    for m in _TOKEN.finditer(text):
-        yield _Token(m[0], m.lastgroup, line, through)
-        line += m[0].count("\n") if moving else 0
-
-
-def _arguments(tokens: list[_Token], at: int) -> tuple[list[list[_Token]], int] | None:
-    """Arguments of a call whose bracket comes next, blanks at their edges left out, and where it ends."""
-    while at < len(tokens) and tokens[at].kind == "blank":
-        at += 1
-    if at == len(tokens) or tokens[at].text != "(":
-        return None
-    found: list[list[_Token]] = [[]]
-    depth = 0
-    for i in range(at, len(tokens)):
-        t = tokens[i].text if tokens[i].kind is None else ""
-        depth += (t == "(") - (t == ")")
-        if depth == 0:
-            trimmed = [_trimmed(a) for a in found]
-            return ([] if trimmed == [[]] else trimmed), i + 1
-        if t == "," and depth == 1:
-            found.append([])
-        elif i > at:
-            found[-1].append(tokens[i])
-    return None
-
-
-def _trimmed(tokens: list[_Token]) -> list[_Token]:
-    inside = [i for i, t in enumerate(tokens) if t.kind != "blank"]
-    return tokens[inside[0] : inside[-1] + 1] if inside else []
-
-
-def expand(source: str, macros: dict[str, Macro]) -> Expansion:
-    """All calls that can be expanded, anywhere in code."""
-    out = Expansion()
-    parts: list[str] = []
-    at = line = 0
-
-    def code(text: str, line: int) -> None:
-        parts.extend(t.text for t in walk(list(_tokens(text, line)), 0))
-
-    def walk(tokens: list[_Token], depth: int) -> list[_Token]:
-        done: list[_Token] = []
-        i = 0
-        while i < len(tokens):
-            t = tokens[i]
-            i += 1
-            m = macros.get(t.text) if t.kind == "name" and t.text not in t.through else None
-            if m is None:
-                done.append(t)
-                continue
-            why, call = m.refusal(t.text) or ("expansion too deep" if depth >= MAX_DEPTH else None), None
-            if not why and m.params is not None:
-                call = _arguments(tokens, i)
-                if call is None:  # a mention, not a call
-                    done.append(t)
-                    continue
-                why = "argument count mismatch" if len(call[0]) != len(m.params) else None
-            if why:
-                out.refused.add((t.text, why))
-                done.append(t)
-                continue
-            out.expanded.append((t.text, t.line))
-            through = t.through | {t.text}
-            given = dict(zip(m.params, call[0])) if call else {}
-            body: list[_Token] = []
-            for b in _tokens(m.body, t.line, through, moving=False):
-                body += [_Token(a.text, a.kind, a.line, a.through | through) for a in given[b.text]] if b.kind == "name" and b.text in given else [b]
-            done += walk(body, depth + 1)
-            i = call[1] if call else i
-        return done
-
-    line = 1
-    for m in _SEGMENT.finditer(source):
-        code(source[at : m.start()], line)
-        parts.append(m[0])
-        line += source.count("\n", at, m.end())
-        at = m.end()
-    code(source[at:], line)
-    out.text = "".join(parts)
-    return out
-
+NEVER = (
+    "auto", "break", "case", "char", "const", "continue", "default", "do", "double", "else", "enum", "extern", "float", "for", "goto", "if", "inline", "int", "long", "register",
+    "restrict", "return", "short", "signed", "sizeof", "static", "struct", "switch", "typedef", "union", "unsigned", "void", "volatile", "while", "_Bool", "_Complex", "_Noreturn",
+    "__attribute__", "__extension__", "__inline", "__inline__", "__const", "__signed", "__volatile", "__volatile__", "__restrict", "__restrict__", "__asm", "__asm__", "__typeof", "__typeof__",
+)
+
+NAME = r"[\p{IsAlphabetic}_][\p{IsAlphabetic}\p{N}_]*+"
+_BLANK = r"[\p{IsWhite_Space}&&[^\n]]"
+_SPACE = r"\p{IsWhite_Space}"
+#: A directive with its continuations, a comment, a literal; each also where the text ends within it.
+_OPAQUE = rf"""^{_BLANK}*+#(?:[^\n]*\\\n)*+[^\n]*\n?|//[^\n]*|/\*.*?(?:\*/|\z)|"(?:[^"\\]|\\.?)*+(?:"|\z)|'(?:[^'\\]|\\.?)*+(?:'|\z)"""
+#: Blanks end where a directive begins.
+_PLAIN = rf"{NAME}|{_SPACE}*\n(?={_BLANK}*+#)|{_SPACE}++|."
+SOURCE_TOKENS, BODY_TOKENS = f"((?dms){_OPAQUE}|{_PLAIN})", f"((?dms){NAME}|{_SPACE}++|.)"
+_TOKEN = "struct<t:string,p:int,h:array<string>>"
 
 SCHEMA = "text string, expanded array<struct<name:string,line:int>>, refused array<struct<name:string,why:string>>"
 
 
+def tokens(text: Column, pattern: str = SOURCE_TOKENS) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
+def is_name(t: Column) -> Column:
+    return t.rlike(rf"^[\p{{IsAlphabetic}}_]")
+
+
+def is_blank(t: Column) -> Column:
+    return t.rlike(rf"^{_SPACE}*$")
+
+
+def is_opaque(t: Column) -> Column:
+    """Of a token of a source: whether it is a directive, comment or literal."""
+    return (F.length(t) > 1) & t.rlike(rf"""^({_BLANK}*#|/[/*]|["'])""")
+
+
+def defined(census: DataFrame) -> DataFrame:
+    """census (package, name, params, body) with the body's tokens and why the macro isn't expanded, if so."""
+    calls = F.col("params").isNotNull()
+    why = (
+        F.when(F.col("name").isin(*NEVER), "shadows a keyword the grammar models itself")
+        .when(F.col("body").contains("##"), "token pasting")
+        .when(calls & F.col("body").contains("#"), "stringify")
+        .when(calls & F.array_contains("params", "..."), "variadic")
+    )
+    return census.select("package", "name", F.struct("name", "params", tokens(F.col("body"), BODY_TOKENS).alias("body"), why.alias("why")).alias("m"))
+
+
+def _marked(toks: Column, text_of) -> Column:
+    """The tokens of an array that a round looks at, each with its place and the next one that isn't blank."""
+
+    def one(x: Column, i: Column) -> Column:
+        after = F.get(toks, i + 1)
+        blank = after.isNotNull() & is_blank(text_of(after))
+        return F.struct(i.cast("int").alias("pos"), x.alias("x"), F.when(blank, text_of(F.get(toks, i + 2))).otherwise(text_of(after)).alias("after"))
+
+    return F.transform(toks, one)
+
+
+def _calls(rows: DataFrame, depth: int) -> DataFrame:
+    """Invocations and refusals of a round, neither within another invocation.
+
+    rows (package, file_id, ctx, seg, pos, t, after, h, p, m): names of macros, brackets and commas;
+    ``after`` is the next token that isn't blank.  Adds stop (the last token), open (of the arguments)
+    and commas between them, and why (null for an invocation).
+    """
+    here = ["file_id", "ctx", "seg"]
+    order = Window.partitionBy(*here).orderBy("pos")
+    opens, closes = F.col("t") == "(", F.col("t") == ")"
+    depth_now = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("level", F.when(opens, depth_now).when(closes, depth_now + 1).when(F.col("t") == ",", depth_now))
+    same = Window.partitionBy(*here, "level").orderBy("pos")
+    # an opening bracket's level goes on with commas and then the bracket that closes it
+    stops = Window.partitionBy(*here, "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = F.count(F.when(F.col("t") == ",", 1)).over(same.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_n", so_far).withColumn("_end", F.when(opens, F.last(F.when(F.col("t") != ",", F.struct("pos", "t", "_n")), ignorenulls=True).over(stops)))
+    paired = opens & (F.col("_end.t") == ")")
+    rows = rows.withColumn("_end", F.when(paired, F.struct(F.col("pos").alias("open"), F.col("_end.pos").alias("stop"), (F.col("_end._n") - F.col("_n")).alias("commas"), (F.col("after") == ")").alias("empty"))))
+    rows = rows.withColumn("_call", F.when(F.col("after") == "(", F.lead("_end").over(order)))
+    free = F.col("m").isNotNull() & ~F.array_contains("h", F.col("t"))
+    plain, called = F.col("m.params").isNull(), F.col("_call").isNotNull()
+    n_args = F.when(F.col("_call.empty"), 0).otherwise(F.col("_call.commas") + 1)
+    why = F.when(F.col("m.why").isNotNull(), F.col("m.why")).when(F.lit(depth >= MAX_DEPTH), "expansion too deep").when(~plain & (n_args != F.size("m.params")), "argument count mismatch")
+    rows = rows.withColumn("why", F.when(free, why)).withColumn("_takes", free & F.col("why").isNull() & (plain | called))
+    rows = rows.withColumn("stop", F.when(F.col("_takes"), F.when(plain, F.col("pos")).otherwise(F.col("_call.stop"))))
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    found = rows.withColumn("_within", F.coalesce(F.col("pos") <= before, F.lit(False))).where("not _within and (_takes or why is not null)")
+    return found.select("package", "file_id", "ctx", "pos", "t", "p", "h", "m", "why", "stop", F.when(~plain, F.col("_call.open")).alias("open"), F.coalesce("_call.empty", F.lit(False)).alias("empty"))
+
+
+def _trimmed(a: Column) -> Column:
+    """An array of tokens without blank ones at its ends."""
+    filled = F.filter(F.transform(a, lambda x, i: F.when(~is_blank(x["t"]), i)), lambda i: i.isNotNull())
+    first = F.coalesce(F.array_min(filled), F.lit(0))
+    return F.slice(a, first + 1, F.coalesce(F.array_max(filled), F.lit(-1)) - first + 1)
+
+
+def _arguments(toks: Column, call: Column) -> Column:
+    """Token lists of an invocation's arguments, from the tokens of its context."""
+    inner = F.slice(toks, call["open"] + 2, call["stop"] - call["open"] - 1)
+    step = lambda x: F.when(x["t"] == "(", 1).when(x["t"] == ")", -1).otherwise(0)
+
+    def cut(s: Column, x: Column) -> Column:
+        level = s["level"] + step(x)
+        return F.struct(level.alias("level"), (s["i"] + 1).alias("i"), F.when((x["t"] == ",") & (s["level"] == 0), F.array_append(s["at"], s["i"])).otherwise(s["at"]).alias("at"))
+
+    commas = F.aggregate(inner, F.struct(F.lit(0).alias("level"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("at")), cut)["at"]
+    edges = F.concat(F.array(F.lit(-1)), commas, F.array(F.size(inner)))
+    lists = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda k: _trimmed(F.slice(inner, F.element_at(edges, k) + 2, F.element_at(edges, k + 1) - F.element_at(edges, k) - 1)))
+    return F.when(call["open"].isNull() | call["empty"], F.array().cast(f"array<array<{_TOKEN}>>")).otherwise(lists)
+
+
+def _became(call: Column, args: Column) -> Column:
+    """Tokens that an invocation turns into."""
+    through = F.array_union(call["h"], F.array(call["t"]))
+
+    def one(t: Column) -> Column:
+        own = F.array(F.struct(t.alias("t"), call["p"].alias("p"), through.alias("h")))
+        k = F.coalesce(F.array_position(call["m"]["params"], t).cast("int"), F.lit(0))
+        given = F.transform(F.get(args, k - 1), lambda x: F.struct(x["t"].alias("t"), x["p"].alias("p"), F.array_union(x["h"], through).alias("h")))
+        return F.when(k > 0, given).otherwise(own)
+
+    return F.flatten(F.transform(call["m"]["body"], one)).cast(f"array<{_TOKEN}>")
+
+
+def _round(contexts: DataFrame, rows: DataFrame, depth: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(texts between invocations, invocations, refusals, contexts of the next round).
+
+    contexts (package, file_id, ctx, toks), or text in place of toks: whole files are cut where they are used."""
+    found = written(_calls(rows, depth), "macro-calls")
+    calls = F.array_sort(F.collect_list(F.struct("pos", "t", "p", "h", "m", "stop", "open", "empty")))
+    by = found.where("why is null").groupBy("file_id", "ctx").agg(calls.alias("calls"))
+    both = written(contexts.join(by, ["file_id", "ctx"], "left"), "macro-contexts")
+    if "toks" not in both.columns:
+        both = both.withColumn("toks", F.transform(tokens(F.col("text")), lambda t, i: F.struct(t.alias("t"), i.cast("int").alias("p"), F.array().cast("array<string>").alias("h"))))
+    end = F.col("calls")
+    starts = F.concat(F.array(F.lit(0)), F.transform(end, lambda c: c["stop"] + 1))
+    stops = F.concat(F.transform(end, lambda c: c["pos"]), F.array(F.size("toks")))
+    text = lambda a, z: F.array_join(F.transform(F.slice("toks", a + 1, z - a), lambda x: x["t"]), "")
+    gaps = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("z")), lambda g: F.struct(F.array_append(F.col("ctx"), g["a"]).alias("path"), text(g["a"], g["z"]).alias("text")))
+    whole = F.array(F.struct(F.array_append(F.col("ctx"), F.lit(0)).alias("path"), F.array_join(F.transform("toks", lambda x: x["t"]), "").alias("text")))
+    texts = both.select("file_id", F.inline(F.when(end.isNull(), whole).otherwise(gaps)))
+    made = both.where("calls is not null").select("package", "file_id", F.explode(F.transform("calls", lambda c: F.struct(F.array_append(F.col("ctx"), c["pos"]).alias("ctx"), _became(c, _arguments(F.col("toks"), c)).alias("toks")))).alias("x"))
+    expanded = found.where("why is null").select("file_id", F.array_append("ctx", F.col("pos")).alias("path"), F.col("t").alias("name"), "p")
+    refused = found.where("why is not null").select("file_id", F.col("t").alias("name"), "why")
+    return texts, expanded, refused, made.select("package", "file_id", "x.ctx", "x.toks")
+
+
+def _rows(contexts: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows for ``_calls`` of the contexts that invocations became."""
+    each = contexts.select("package", "file_id", "ctx", F.posexplode("toks").alias("pos", "x")).where(~is_blank(F.col("x.t")))
+    order = Window.partitionBy("file_id", "ctx").orderBy("pos")
+    each = each.withColumn("after", F.lead("x.t").over(order))
+    kinds = each.where(is_name(F.col("x.t")) | F.col("x.t").isin("(", ")", ","))
+    j = kinds.withColumn("name", F.col("x.t")).join(known, ["package", "name"], "left").where("m is not null or x.t in ('(', ')', ',')")
+    return j.select("package", "file_id", "ctx", F.lit(0).alias("seg"), "pos", "x.t", "after", "x.h", "x.p", "m")
+
+
 def expanded(files: DataFrame, census: DataFrame) -> DataFrame:
-    """``files`` (package, file_id, text) with ``SCHEMA`` in a column ``x``: each file expanded by the macros of its package.
+    """``files`` (package, file_id, text, ...) with ``SCHEMA`` in a column ``x``.
 
-    A file meets only the definitions of names it has, gathered by a join, so a package's census is
-    never sent whole.
+    census (package, name, params, body): one row a name of a package.  expanded: in order, with the line
+    in the file that each came from; refused: distinct, sorted.  Null texts count as empty.  A file_id
+    names one file; macros of another package are never used.
     """
-    ship(files.sparkSession)
-    word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*)"), F.lit(1))))
-    uses = files.select("package", "file_id", word.alias("name"))
-    inner = census.select("package", "name", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"([A-Za-z_]\w*)"), F.lit(1)))).alias("uses"))
-    reach = uses
-    for _ in range(3):  # names that bodies bring in, and those of their bodies
-        reach = reach.union(reach.join(inner, ["package", "name"]).select("package", "file_id", F.col("uses").alias("name"))).distinct()
-    own = reach.join(census, ["package", "name"]).groupBy("package", "file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("params", "body")))).alias("macros"))
-
-    @F.pandas_udf(SCHEMA)
-    def run(text: pd.Series, known: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, m in zip(text, known):
-            e = expand(x or "", {k: Macro(None if v["params"] is None else tuple(v["params"]), v["body"]) for k, v in dict(m if m is not None else {}).items()})
-            rows.append((e.text, [{"name": n, "line": i} for n, i in e.expanded], [{"name": n, "why": w} for n, w in sorted(e.refused)]))
-        return pd.DataFrame(rows, columns=["text", "expanded", "refused"])
-
-    return files.join(own, ["package", "file_id"], "left").select(*files.columns, run("text", "macros").alias("x"))
+    known = written(defined(census), "macros")
+    own = files.select("package", "file_id", F.coalesce("text", F.lit("")).alias("text"))
+    uses = own.select("package", "file_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({NAME})"), F.lit(1)))).alias("name"))
+    concerned = uses.join(known, ["package", "name"], "left_semi").select("file_id").distinct()
+    some = own.join(concerned, "file_id", "left_semi")
+    contexts = some.select("package", "file_id", F.array().cast("array<int>").alias("ctx"), "text")
+    cut = some.select("package", "file_id", tokens(F.col("text")).alias("toks"))
+    looked = F.filter(_marked(F.col("toks"), lambda t: t), lambda m: is_name(m["x"]) | m["x"].isin("(", ")", ",") | m["x"].contains("\n") | is_opaque(m["x"]))
+    each = cut.select("package", "file_id", F.inline(looked)).withColumn("name", F.when(is_name(F.col("x")), F.col("x")))
+    each = each.join(known, ["package", "name"], "left").where("name is null or m is not null")
+    order = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    breaks = F.length("x") - F.length(F.replace("x", F.lit("\n"), F.lit("")))
+    each = each.withColumn("seg", F.count(F.when(is_opaque(F.col("x")), 1)).over(order)).withColumn("line", (1 + F.coalesce(F.sum(breaks).over(order), F.lit(0))).cast("int"))
+    each = written(each.where("name is not null or x in ('(', ')', ',')"), "macro-rows")
+    lines = each.where("name is not null").select("file_id", F.col("pos").alias("p"), "line")
+    none = lambda kind: F.array().cast(kind)
+    rows = each.select("package", "file_id", none("array<int>").alias("ctx"), "seg", "pos", F.col("x").alias("t"), "after", none("array<string>").alias("h"), F.col("pos").alias("p"), "m")
+    texts, done, refused = [], [], []
+    for depth in range(MAX_DEPTH + 1):
+        t, e, r, contexts = _round(contexts, rows, depth)
+        texts.append(t)
+        done.append(e)
+        refused.append(r)
+        contexts = written(contexts, "macro-contexts")
+        rows = _rows(contexts, known)
+        if not contexts.take(1):
+            break
+    all_of = lambda parts: parts[0] if len(parts) == 1 else all_of([parts[0].unionByName(parts[1]), *parts[2:]])
+    text = all_of(texts).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("s")).select("file_id", F.array_join("s.text", "").alias("_text"))
+    names = all_of(done).join(lines, ["file_id", "p"]).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("path", "name", "line"))).alias("s"))
+    names = names.select("file_id", F.transform("s", lambda x: F.struct(x["name"].alias("name"), x["line"].alias("line"))).alias("_names"))
+    why = all_of(refused).groupBy("file_id").agg(F.array_sort(F.collect_set(F.struct("name", "why"))).alias("_why"))
+    j = files.join(text, "file_id", "left").join(names, "file_id", "left").join(why, "file_id", "left")
+    empty = [F.coalesce(c, F.array().cast(k)).alias(n) for c, k, n in (("_names", "array<struct<name:string,line:int>>", "expanded"), ("_why", "array<struct<name:string,why:string>>", "refused"))]
+    return j.select(*(files[c] for c in files.columns), F.struct(F.coalesce("_text", files["text"], F.lit("")).alias("text"), *empty).alias("x"))
 
 
 def near(found: Column, line: Column) -> Column:
@@ -186,8 +236,6 @@ def near(found: Column, line: Column) -> Column:
 
 def tally(names: DataFrame, keep: int = 8) -> DataFrame:
     """signature, macros: the most frequent names (signature, name) of each cluster as ``name (n)``."""
-    from pyspark.sql import Window
-
     n = names.groupBy("signature", "name").agg(F.count("*").alias("n"))
     top = n.withColumn("_r", F.row_number().over(Window.partitionBy("signature").orderBy(F.desc("n"), "name"))).where(F.col("_r") <= keep)
     text = F.transform(F.array_sort(F.collect_list(F.struct("_r", F.concat("name", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("t")))), lambda x: x["t"])

@@ -1,6 +1,7 @@
 """Trees as nested-set rows, and the statistics over them.
 
-nodes: file_id, node_id (pre-order), parent_id, depth, kind, start_byte, end_byte, last_desc_id.
+nodes: file_id, node_id (pre-order), parent_id, depth, kind, start_byte, end_byte, last_desc_id, is_missing,
+and how many separators its span begins and ends with and how many blanks come before it.
 A descendant's node_id lies in node_id + 1 .. last_desc_id; a leaf's last_desc_id is its own.
 All windows are within one file.
 """
@@ -10,14 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.intervals import containing
 from quillon.operators.rules import closure
 
+#: Bytes that a boundary may be moved past.
+SEPARATORS = ";, \t\n\r"
 VOID = ("meta", "br", "img", "hr", "input", "link", "area", "base", "col", "embed", "source", "track", "wbr")
 
 
 def markup_tokens(files: DataFrame, file_id: str = "page_id", text: str = "html") -> DataFrame:
-    """Tokens of marked-up texts with byte offsets, what they do to the depth, and running counts."""
-    parts = files.select(F.col(file_id).alias("file_id"), F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("(<[^>]*>|[^<]+|<)"), F.lit(1))).alias("i", "tok"))
+    """Tokens of marked-up texts with byte offsets, what they do to the depth, and running counts.
+
+    seps_before, seps_after: separators at the edges of the token, file_seps at the end of the file;
+    blanks_before: blanks at the end of the token before.
+    """
+    source = F.coalesce(F.col(text), F.lit(""))
+    parts = files.select(F.col(file_id).alias("file_id"), (F.octet_length(source) - F.octet_length(F.rtrim(source, F.lit(SEPARATORS)))).cast("long").alias("file_seps"), F.octet_length(source).cast("long").alias("file_size"), F.posexplode(F.regexp_extract_all(source, F.lit("(<[^>]*>|[^<]+|<)"), F.lit(1))).alias("i", "tok"))
+    width = F.octet_length("tok").cast("long")
+    of = lambda cut: width - F.octet_length(cut)
     name = F.lower(F.regexp_extract("tok", "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
     parts = parts.withColumn("name", name).withColumn("is_end", F.col("tok").startswith("</") & (F.col("name") != ""))
     is_tag = (F.col("name") != "") & ~F.col("is_end")
@@ -30,6 +41,7 @@ def markup_tokens(files: DataFrame, file_id: str = "page_id", text: str = "html"
     return parts.select(
         "file_id", "i", "kind", "is_node", "is_end", (F.sum(step).over(so_far) - F.when(F.col("is_open"), 1).otherwise(0)).alias("depth"), F.sum(F.col("is_node").cast("long")).over(so_far).alias("n_nodes"),
         (F.sum(F.octet_length("tok").cast("long")).over(so_far) - F.octet_length("tok")).alias("start_byte"), F.sum(F.octet_length("tok").cast("long")).over(so_far).alias("end_byte"), "is_open",
+        of(F.ltrim("tok", F.lit(SEPARATORS))).alias("seps_before"), of(F.rtrim("tok", F.lit(SEPARATORS))).alias("seps_after"), "file_seps", "file_size", F.coalesce(F.lag(of(F.rtrim("tok", F.lit(" \t")))).over(order), F.lit(0)).alias("blanks_before"),
     )
 
 
@@ -40,8 +52,8 @@ def nodes(tokens: DataFrame) -> DataFrame:
     level = Window.partitionBy("file_id", "depth").orderBy("i")
     closed = t.where("is_open or is_end").select("file_id", "i", F.when(F.lead("is_end").over(level), F.lead("n_nodes").over(level)).alias("last"), F.when(F.lead("is_end").over(level), F.lead("end_byte").over(level)).alias("closed_at"))
     size = Window.partitionBy("file_id")
-    own = t.withColumn("total", F.max("n_nodes").over(size)).withColumn("size", F.max("end_byte").over(size)).where("is_node").join(closed, ["file_id", "i"], "left")
-    own = own.select("file_id", F.col("n_nodes").alias("node_id"), "depth", "kind", "start_byte", F.when(F.col("is_open"), F.coalesce("closed_at", "size")).otherwise(F.col("end_byte")).alias("end_byte"), F.when(F.col("is_open"), F.coalesce("last", "total")).otherwise(F.col("n_nodes")).alias("last_desc_id"), "is_open", (F.col("is_open") & F.col("last").isNull()).alias("is_missing"))
+    own = t.withColumn("total", F.max("n_nodes").over(size)).withColumnRenamed("file_size", "size").where("is_node").join(closed, ["file_id", "i"], "left")
+    own = own.select("file_id", F.col("n_nodes").alias("node_id"), "depth", "kind", "start_byte", F.when(F.col("is_open"), F.coalesce("closed_at", "size")).otherwise(F.col("end_byte")).alias("end_byte"), F.when(F.col("is_open"), F.coalesce("last", "total")).otherwise(F.col("n_nodes")).alias("last_desc_id"), "is_open", (F.col("is_open") & F.col("last").isNull()).alias("is_missing"), "seps_before", F.when(F.col("is_open"), F.when(F.col("closed_at").isNull(), F.col("file_seps")).otherwise(0)).otherwise(F.col("seps_after")).alias("seps_after"), "blanks_before")
     up = own.where("is_open").select("file_id", F.col("depth").alias("level"), "node_id", F.col("node_id").alias("p"))
     asks = own.select("file_id", (F.col("depth") - 1).alias("level"), "node_id", F.lit(None).cast("long").alias("p"))
     seek = Window.partitionBy("file_id", "level").orderBy("node_id", F.col("p").asc_nulls_first())
@@ -106,5 +118,5 @@ def outermost(n: DataFrame, kind: str) -> DataFrame:
 
 def innermost(n: DataFrame, points: DataFrame) -> DataFrame:
     """points (file_id, at) with the kind of the deepest node whose span covers the byte."""
-    hit = points.join(n, "file_id").where("start_byte <= at and at < end_byte")
+    hit = containing(points.select("file_id", "at").distinct(), n).where("at < end_byte")
     return hit.groupBy("file_id", "at").agg(F.max_by("kind", F.struct("depth", "node_id")).alias("kind"))

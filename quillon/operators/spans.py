@@ -1,9 +1,9 @@
 """Two trees over one text: boundaries, kinds, labelled edges and tokens compared by position.
 
-Ours is a table of ``trees.parsed``; theirs are spans (file_id, s, e, t, kind), edges (file_id, ps,
+Ours is a table of ``trees.boundaries``; theirs are spans (file_id, s, e, t, kind), edges (file_id, ps,
 pe, pt, parent_kind, name, s, e) and tokens (file_id, s, e), ``t`` and ``pt`` being ``e`` and ``pe`` moved back
-before separators.  All joins are equi-joins on the file and a span; only what has no counterpart
-is joined by containment, within its file.
+before separators.  All joins are equi-joins on the file and a span; what has no counterpart is
+joined by containment through the blocks of ``intervals``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import clip
+from quillon.operators.intervals import containing
 
 _SPAN = "struct<s:bigint,e:bigint>"
 
@@ -69,7 +70,7 @@ def matched(theirs: DataFrame, nodes: DataFrame, node_map: DataFrame) -> DataFra
 def straddlers(missed: DataFrame, nodes: DataFrame) -> DataFrame:
     """``missed`` (file_id, s, e, ...) with built: the kind of the deepest node of ours around each span."""
     inner = nodes.select("file_id", "node_id", "depth", F.col("kind").alias("_kind"), "start_byte", "end_byte")
-    around = missed.select("file_id", "s", "e").distinct().join(inner, "file_id").where("start_byte <= s and end_byte >= e")
+    around = containing(missed.select("file_id", "s", "e", F.col("s").alias("at")).distinct(), inner).where("end_byte >= e")
     best = around.groupBy("file_id", "s", "e").agg(F.max_by("_kind", F.struct("depth", -F.col("node_id"))).alias("built"))
     return missed.join(best, ["file_id", "s", "e"], "left").withColumn("built", F.coalesce("built", F.lit("<root>")))
 
@@ -137,9 +138,9 @@ def token_misses(theirs: DataFrame, nodes: DataFrame) -> DataFrame:
     sides = theirs.select("file_id", "s", "e", F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit("start").alias("side"), F.col("s").alias("at")), F.struct(F.lit(1).alias("o"), F.lit("end").alias("side"), F.col("e").alias("at")))).alias("x")).select("file_id", "s", "e", "x.*")
     lost = sides.join(leaf_bounds(nodes), ["file_id", "at"], "left_anti")
     first = lost.groupBy("file_id", "s", "e").agg(F.min(F.struct("o", "side", "at")).alias("m")).select("file_id", "s", "e", "m.side", "m.at")
-    point = first.select("file_id", F.greatest(F.col("at") - 1, F.lit(0)).alias("p"), "at").distinct()
+    point = first.select("file_id", F.greatest(F.col("at") - 1, F.lit(0)).alias("p"), F.col("at").alias("_at")).distinct().withColumnRenamed("p", "at")
     inner = nodes.select("file_id", "node_id", "depth", "kind", "start_byte", "end_byte")
-    inside = point.join(inner, "file_id").where("start_byte <= p and end_byte >= at").groupBy("file_id", "at").agg(F.max_by("kind", F.struct("depth", -F.col("node_id"))).alias("inside"))
+    inside = containing(point, inner).where("end_byte >= _at").groupBy("file_id", F.col("_at").alias("at")).agg(F.max_by("kind", F.struct("depth", -F.col("node_id"))).alias("inside"))
     j = first.join(inside, ["file_id", "at"], "left")
     return j.select("file_id", "s", "e", F.concat(F.lit("token "), "side", F.lit(" inside `"), F.coalesce("inside", F.lit("?")), F.lit("`")).alias("signature"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon import languages
@@ -134,17 +135,37 @@ def macro_census(spark, d):
     return preprocess.macro_census(files).select("package", "name", F.array_join("params", ",").alias("params"), "body")
 
 
-@query(r"""with t as (select doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ' ', 'g') as x from documents) select doc_id, sha256(regexp_replace(regexp_replace(x, '\bthe\b', 'one  two', 'g'), '\band\b', '+', 'g')) as expanded,
-  len(regexp_extract_all(x, '\b(the|and)\b')) as n, regexp_matches(x, '\b(int)\b') as refused from t""")
+_SHIMS = ", ".join(f"'{x}'" for x in macros.NEVER)
+
+
+@query(rf"""with t as (
+    select doc_id, source, regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z, ]', ' ', 'g'), '([A-Za-z]+), ([A-Za-z]+)', '\1(\2)', 'g') as x from documents),
+  w as (select distinct source, unnest(regexp_extract_all(x, '[A-Za-z]+')) as w from t),
+  r as (select source, w, row_number() over (partition by source order by w) - 1 as i from w where regexp_matches(w, '^[a-z]{{5}}$') and w not in ({_SHIMS})),
+  m as (select source, w, i // 7 as b, i % 7 = 6 as is_call, last_value(w) over k as final, count(*) over k - (i % 7 + 1) as steps
+    from r window k as (partition by source, i // 7 order by w rows between unbounded preceding and unbounded following)),
+  k as (select doc_id, source, unnest(l) as t, generate_subscripts(l, 1) as i from (select doc_id, source, regexp_extract_all(x, '[A-Za-z]+\([A-Za-z]+\)|[A-Za-z]+|[^A-Za-z]+') as l from t)),
+  p as (select *, regexp_extract(t, '^[A-Za-z]+') as a, regexp_extract(t, '\(([A-Za-z]+)\)', 1) as g from k),
+  j as (select p.*, coalesce(ma.final, p.a) as fa, coalesce(mg.final, p.g) as fg, coalesce(ma.steps, 0) as sa, coalesce(mg.steps, 0) as sg, coalesce(ma.is_call, false) and p.g <> '' as called, ma.b % 5 = 4 as two
+    from p left join m ma on ma.source = p.source and ma.w = p.a left join m mg on mg.source = p.source and mg.w = p.g),
+  o as (select doc_id, i, case when a = '' then t when g = '' then fa when called and not two then '[' || fg || ' + ' || fg || ']' else fa || '(' || fg || ')' end as o,
+    sa + case when called and not two then 1 + 2 * sg else sg end as n, called and two as refused from j)
+  select t.doc_id, sha256(coalesce(string_agg(o, '' order by i), '')) as expanded, cast(coalesce(sum(n), 0) as bigint) as n, coalesce(bool_or(refused), false) as refused from t left join o using (doc_id) group by t.doc_id""")
 def prep_expand(spark, d):
-    """Words of documents as macros of their package."""
+    """Each package's words of five letters are its macros: in alphabetical order six in seven stand for the
+    next word, the seventh takes one argument, or two in every fifth group.  Texts call the words before commas."""
     docs = _t(spark, d, "documents")
-    census = docs.select(F.col("source").alias("package")).distinct().select("package", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(b).alias("body")) for n, b in (("the", "ONE  two"), ("ONE", "one"), ("and", "+"), ("int", "long"))))).alias("m"))
-    census = census.select("package", "m.name", F.lit(None).cast("array<string>").alias("params"), "m.body")
-    files = docs.select(F.col("source").alias("package"), F.col("doc_id").alias("file_id"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", " ").alias("text"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z, ]", " ")
+    files = docs.select(F.col("source").alias("package"), F.col("doc_id").alias("file_id"), F.regexp_replace(plain, "([A-Za-z]+), ([A-Za-z]+)", "$1($2)").alias("text"))
+    words = files.select("package", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)))).alias("name")).distinct()
+    words = words.where(F.col("name").rlike("^[a-z]{5}$") & ~F.col("name").isin(*macros.NEVER))
+    order = Window.partitionBy("package").orderBy("name")
+    census = words.withColumn("i", F.row_number().over(order) - 1).withColumn("next", F.lead("name").over(order))
+    calls, two = F.col("i") % 7 == 6, F.floor(F.col("i") / 7) % 5 == 4
+    params = F.when(calls & two, F.array(F.lit("a"), F.lit("b"))).when(calls, F.array(F.lit("a")))
+    census = census.where(calls | F.col("next").isNotNull()).select("package", "name", params.alias("params"), F.when(calls, "[a + a]").otherwise(F.col("next")).alias("body"))
     x = macros.expanded(files, census)
-    written = F.filter("x.expanded", lambda e: e["name"].isin("the", "and"))
-    return x.select(F.col("file_id").alias("doc_id"), F.sha2("x.text", 256).alias("expanded"), F.size(written).cast("long").alias("n"), (F.size("x.refused") > 0).alias("refused"))
+    return x.select(F.col("file_id").alias("doc_id"), F.sha2("x.text", 256).alias("expanded"), F.size("x.expanded").cast("long").alias("n"), (F.size("x.refused") > 0).alias("refused"))
 
 
 @query("""with w as (select source as signature, unnest(string_split(lower(coalesce(text, '')), ' ')) as name from documents), n as (select signature, name, count(*) as n from w where regexp_matches(name, '^[a-z]+$') group by 1, 2), r as (select *, row_number() over (partition by signature order by n desc, name) as r from n)

@@ -16,6 +16,7 @@ from quillon.operators import nodes, recovery, reports, spans, trees
 from quillon.plans import pattern
 from quillon.plans.registry import query
 from quillon.plans.registry import table as _t
+from quillon.runtime import written
 
 VOID_SQL = ", ".join(f"'{v}'" for v in nodes.VOID)
 _FIELD = "case kind when '#text' then 'text' when 'title' then 'name' when 'h1' then 'name' when 'h2' then 'name' end"
@@ -44,6 +45,11 @@ def page_nodes(spark: SparkSession, d: str) -> DataFrame:
     return trees.parsed(_t(spark, d, "pages"))
 
 
+def _bounded(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of pages with the offsets that comparing them needs, kept once."""
+    return written(trees.boundaries(written(page_nodes(spark, d), "nodes")), "bounded")
+
+
 @query(f"with {NODES_SQL} select kind, count(*) as n, count(distinct file_id) as files from n group by kind")
 def kind_histogram(spark, d):
     return nodes.kind_histogram(page_nodes(spark, d))
@@ -172,7 +178,7 @@ def _theirs(spark: SparkSession, d: str, own: DataFrame) -> DataFrame:
 
 
 def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    own = page_nodes(spark, d)
+    own = _bounded(spark, d)
     return spans.matched(_theirs(spark, d, own), own, spark.createDataFrame(_NODE_MAP, "kind string, expected array<string>")), own
 
 
@@ -216,7 +222,7 @@ _FIELD_MAP = [("A.value", ["text"]), ("P.value", ["name"]), ("LI.value", ["text>
   sg as (select case when expected is null then 'unmapped' when len(expected) = 0 or holds then 'ok' else 'mismatch' end as state, key || ' => ' || case when len(seen) > 0 then array_to_string(seen, '|') else '(no field)' end as signature from ag)
   select state, signature, count(*) as n from sg group by 1, 2""")
 def field_map_edges(spark, d):
-    own = page_nodes(spark, d)
+    own = _bounded(spark, d)
     up = own.select("file_id", F.col("node_id").alias("parent_id"), F.col("start_byte").alias("ps"), F.col("end_byte").alias("pb"), F.col("content_end").alias("pc"), F.col("end_in").alias("pb_in"), F.col("content_end_in").alias("pc_in"), F.col("kind").alias("parent"))
     even = F.col("node_id") % 2 == 0
     name = F.when(F.col("kind") == "#text", "value").when(F.col("kind") == "title", "head").otherwise("item")
@@ -231,7 +237,7 @@ def field_map_edges(spark, d):
   fr as (select file_id, s, e, arg_min(side, o) as side, arg_min(pos, o) as pos from ms group by 1, 2, 3), ins as (select fr.file_id, fr.s, fr.e, fr.side, arg_max(t.kind, (t.depth, -t.node_id)) as kind from fr left join t on t.file_id = fr.file_id and t.a <= greatest(fr.pos - 1, 0) and t.b >= fr.pos group by 1, 2, 3, 4),
   f as (select file_id, s, e, 'token ' || side || ' inside `' || coalesce(kind, '?') || '`' as signature from ins), {_FAMILIES}""")
 def lex_subset(spark, d):
-    own = page_nodes(spark, d)
+    own = _bounded(spark, d)
     leaves = own.where("last_desc_id = node_id")
     shift = lambda n, x, y: F.when(F.col("node_id") % 4 == n, x).otherwise(y)
     theirs = leaves.select("file_id", shift(0, F.col("start_byte") + 1, F.col("start_byte")).alias("s"), shift(1, F.col("end_byte") - 1, F.col("end_byte")).alias("e")).distinct()
@@ -293,7 +299,7 @@ def incremental_divergence(spark, d):
     pass a file.  A row for each edit; diverged: the first node at which they differ."""
     texts = recovery.edited(_t(spark, d, "pages").select("page_id", "html"))
     texts = texts.withColumn("key", F.concat_ws("/", F.col("file_id").cast("string"), "edit"))
-    fresh, ours = trees.parsed(texts, "key", "text"), nodes.nodes(nodes.markup_tokens(texts, "key", "text"))
+    fresh, ours = trees.read(texts, "key", "text"), nodes.nodes(nodes.markup_tokens(texts, "key", "text"))
     dirty = fresh.groupBy("file_id").agg(F.bool_or("is_missing").alias("has_error"))
     j = texts.select(F.col("key").alias("file_id"), "edit").join(recovery.divergences(ours, fresh, ["file_id"]), "file_id", "left").join(dirty, "file_id", "left")
     return j.select("file_id", "edit", F.col("node").alias("diverged"), F.coalesce("has_error", F.lit(False)).alias("has_error"))

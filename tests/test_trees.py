@@ -1,21 +1,72 @@
 """The markup front end: both renderings agree, spans, deletions and edits."""
 
-from quillon.operators import nodes, recovery, spans, trees
+import random
+
+from pyspark.sql import functions as F
+
+from quillon.operators import intervals, nodes, recovery, spans, trees
 
 TEXTS = ["", "plain", "<ul><li>a;</li>, <li>b</li></ul>", "<p>open <b>x</p>", "</p><a>q</a></b>", "<br/><img> t <br>u", "<p>é<!-- c --> <i>ü</i></p>\n", "< <<p>>", "<ul>\n<br> <br><li>z</li> </ul>"]
 
 
+def siblings(text):
+    """Basic nodes of a text with ord, field, extra and all boundaries, one node at a time."""
+    rows, data = trees.tree(text), (text or "").encode()
+    kids = {}
+    for row in rows:
+        beside = kids.setdefault(row["parent_id"], [])
+        row |= {"ord": len(beside), "field": trees.FIELDS.get(row["kind"]), "extra": row["kind"] in trees.EXTRAS}
+        beside.append(row)
+
+    def back(i, of=nodes.SEPARATORS.encode()):
+        return len(data[:i].rstrip(of))
+
+    def on(i):
+        return len(data) - len(data[i:].lstrip(nodes.SEPARATORS.encode()))
+
+    for row in reversed(rows):
+        own = kids.get(row["node_id"], [])
+        inner = [c for c in own if not c["extra"]] or [{"content_start": row["start_byte"], "content_end": row["end_byte"]}]
+        row["content_start"], row["content_end"] = inner[0]["content_start"], inner[-1]["content_end"]
+        row |= {n + "_in": f(row[n + p]) for n, p, f in (("start", "_byte", on), ("content_start", "", on), ("end", "_byte", back), ("content_end", "", back))}
+        row |= {"heads": [c["start_byte"] for c in own[:4]], "tails": [c["end_byte"] for c in own[-4:]], "tails_in": [c["end_in"] for c in own[-4:]]}
+        before = kids[row["parent_id"]][: row["ord"]]
+        row["before"], row["lead"] = [c["start_byte"] for c in before[-3:]], []
+        while before and before[-1]["extra"]:
+            at = before.pop()["start_byte"]
+            row["lead"] += sorted({at, back(at, b" \t")}, reverse=True)
+    return rows
+
+
+def markup(rng):
+    parts = ["<ul>", "</ul>", "<li>", "</li>", "<br>", "<br/>", "<hr>", " ", "\t", "\n", ";", ", ", "text", "é;", "<p>", "</p>", "<", "<!-- -->", "<h1>", "</h1>"]
+    return "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
+
+
+BASIC = ["node_id", "parent_id", "depth", "kind", "start_byte", "end_byte", "last_desc_id", "is_missing"]
+MORE = ["ord", "field", "extra", "content_start", "content_end", "start_in", "content_start_in", "end_in", "content_end_in", "before", "heads", "tails", "tails_in", "lead"]
+
+
 def test_both_renderings_agree(spark):
     files = spark.createDataFrame(list(enumerate(TEXTS)), "page_id long, html string")
-    ours, fresh = nodes.nodes(nodes.markup_tokens(files)), trees.parsed(files)
-    cols = ["file_id", "node_id", "parent_id", "depth", "kind", "start_byte", "end_byte", "last_desc_id", "is_missing"]
+    ours, fresh = nodes.nodes(nodes.markup_tokens(files)), trees.read(files)
+    cols = ["file_id", *BASIC]
     assert sorted(map(str, ours.select(*cols).collect())) == sorted(map(str, fresh.select(*cols).collect()))
     assert recovery.divergences(ours, fresh, ["file_id"]).count() == 0
     assert recovery.divergences(ours, fresh.where("node_id < 2"), ["file_id"]).count() > 0
 
 
+def test_boundaries(spark):
+    rng = random.Random(7)
+    texts = [*TEXTS, None, "<ul>\n<br> <br><li>z;</li> </ul>", "<div>" * 70 + " a ", "<ul>" + "<br> " * 40 + "<li>x", *(markup(rng) for _ in range(200))]
+    files = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string")
+    got = trees.boundaries(trees.parsed(files)).select("file_id", *BASIC, *MORE).collect()
+    want = [(i, *(r[c] for c in BASIC + MORE)) for i, t in enumerate(texts) for r in siblings(t)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_offsets():
-    rows = trees.tree("<ul>\n<br> <br><li>z;</li> </ul>")
+    rows = siblings("<ul>\n<br> <br><li>z;</li> </ul>")
     ul, br, _, li, text = rows
     assert [r["kind"] for r in rows] == ["ul", "br", "br", "li", "#text"] and [r["ord"] for r in rows] == [0, 0, 1, 2, 0]
     assert li["lead"] == [10, 9, 5] and li["before"] == [5, 10]
@@ -24,13 +75,30 @@ def test_offsets():
     assert trees.tree(None) == [] and trees.tree("<p>")[0]["is_missing"]
 
 
+def test_containing(spark):
+    """Every span that holds a point, once; one file's keys are many."""
+    rng = random.Random(2)
+    found = [(f, a, a + rng.choice([0, 0, 1, 3, 50, 700, 2**20])) for f in (1, 2) for a in (rng.randrange(1000) for _ in range(150))] + [(1, 0, 2**31 - 2)]
+    asked = [(f, rng.randrange(1200)) for f in (1, 2, 3) for _ in range(100)] + [(1, 2**31 - 2)]
+    s = spark.createDataFrame([(*x, i) for i, x in enumerate(found)], "file_id long, start_byte long, end_byte long, i int")
+    p = spark.createDataFrame([(*x, i) for i, x in enumerate(asked)], "file_id long, at long, j int")
+    got = sorted((r.j, r.i) for r in intervals.containing(p, s).collect())
+    assert got == sorted((j, i) for j, (f, at) in enumerate(asked) for i, (g, a, z) in enumerate(found) if f == g and a <= at <= z)
+    blocks = s.where("end_byte > start_byte").select("start_byte", "end_byte", intervals.cover(F.col("start_byte"), F.col("end_byte")).alias("b")).collect()
+    for r in blocks:
+        assert sum(2**x.level for x in r.b) == r.end_byte - r.start_byte and len(r.b) <= 62
+    one = spark.range(20_000).selectExpr("1L as file_id", "id * 3 as start_byte", "id * 3 + 2 as end_byte", "id as i")
+    rows = intervals.containing(spark.range(20_000).selectExpr("1L as file_id", "id * 3 + 1 as at", "id as j"), one)
+    assert rows.where("i = j").count() == rows.count() == 20_000
+
+
 def test_sexp(spark):
     files = spark.createDataFrame([(1, "<ul><li>a</li><li></li></ul><p>"), (2, "x")], "page_id long, html string")
     assert {r.file_id: r.sexp for r in trees.sexp(trees.parsed(files)).collect()} == {1: "(ul (li text: (#text)) (li)) (p)", 2: "text: (#text)"}
 
 
 def test_equal_trees_match_everywhere(spark):
-    own = trees.parsed(spark.createDataFrame(list(enumerate(TEXTS)), "page_id long, html string")).cache()
+    own = trees.boundaries(trees.parsed(spark.createDataFrame(list(enumerate(TEXTS)), "page_id long, html string"))).cache()
     theirs = own.selectExpr("file_id", "kind", "start_byte as s", "end_byte as e", "greatest(start_byte, end_in) as t")
     node_map = own.selectExpr("kind", "array(kind) as expected").distinct()
     assert {r.state for r in spans.matched(theirs, own, node_map).collect()} == {"ok"}
