@@ -159,8 +159,10 @@ def _round(contexts: DataFrame, rows: DataFrame, depth: int) -> tuple[DataFrame,
     found = written(_calls(rows, depth), "macro-calls")
     calls = F.array_sort(F.collect_list(F.struct("pos", "t", "p", "h", "m", "stop", "open", "empty")))
     by = found.where("why is null").groupBy("file_id", "ctx").agg(calls.alias("calls"))
-    both = written(contexts.join(by, ["file_id", "ctx"], "left"), "macro-contexts")
-    if "toks" not in both.columns:
+    if depth:
+        both = written(contexts.join(by, ["file_id", "ctx"], "left"), "macro-contexts")
+    else:
+        both = written(contexts.join(by.drop("ctx"), "file_id", "left"), "macro-contexts")
         both = both.withColumn("toks", F.transform(tokens(F.col("text")), lambda t, i: F.struct(t.alias("t"), i.cast("int").alias("p"), F.array().cast("array<string>").alias("h"))))
     end = F.col("calls")
     starts = F.concat(F.array(F.lit(0)), F.transform(end, lambda c: c["stop"] + 1))
@@ -193,10 +195,12 @@ def expanded(files: DataFrame, census: DataFrame) -> DataFrame:
     names one file; macros of another package are never used.
     """
     known = written(defined(census), "macros")
-    own = files.select("package", "file_id", F.coalesce("text", F.lit("")).alias("text"))
+    # files are dealt once, over all partitions (reading them as tokens is the work), and what follows keeps to that
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = files.select("package", "file_id", F.coalesce("text", F.lit("")).alias("text")).repartition(parts, "file_id")
     uses = own.select("package", "file_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({NAME})"), F.lit(1)))).alias("name"))
     concerned = uses.join(known, ["package", "name"], "left_semi").select("file_id").distinct()
-    some = own.join(concerned, "file_id", "left_semi")
+    some = written(own.join(concerned, "file_id", "left_semi"), "macro-files")
     contexts = some.select("package", "file_id", F.array().cast("array<int>").alias("ctx"), "text")
     cut = some.select("package", "file_id", tokens(F.col("text")).alias("toks"))
     looked = F.filter(_marked(F.col("toks"), lambda t: t), lambda m: is_name(m["x"]) | m["x"].isin("(", ")", ",") | m["x"].contains("\n") | is_opaque(m["x"]))

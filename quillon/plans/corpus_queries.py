@@ -10,6 +10,7 @@ from quillon.functions import headers, scalars
 from quillon.operators import macros, preprocess, reports, status
 from quillon.plans.registry import query
 from quillon.plans.registry import table as _t
+from quillon.runtime import written
 from quillon.sources import feeds
 
 
@@ -156,7 +157,9 @@ def prep_expand(spark, d):
     next word, the seventh takes one argument, or two in every fifth group.  Texts call the words before commas."""
     docs = _t(spark, d, "documents")
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z, ]", " ")
-    files = docs.select(F.col("source").alias("package"), F.col("doc_id").alias("file_id"), F.regexp_replace(plain, "([A-Za-z]+), ([A-Za-z]+)", "$1($2)").alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = docs.select("doc_id", "source", "text").repartition(parts, "doc_id").select(F.col("source").alias("package"), F.col("doc_id").alias("file_id"), F.regexp_replace(plain, "([A-Za-z]++), ([A-Za-z]+)", "$1($2)").alias("text"))
+    files = written(files, "sources")
     words = files.select("package", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)))).alias("name")).distinct()
     words = words.where(F.col("name").rlike("^[a-z]{5}$") & ~F.col("name").isin(*macros.NEVER))
     order = Window.partitionBy("package").orderBy("name")
