@@ -69,29 +69,82 @@ def resolver_urls(spark, d):
     return _t(spark, d, "part").select("p_partkey", feeds.crate_url(n, v).alias("crate"), feeds.sources_jar_url(c, v).alias("jar"), feeds.zig_url(v).alias("zig"), commit["version"].alias("commit"), commit["url"].alias("archive"), feeds.pool_url("https://m", F.concat_ws("/", F.lit("pool"), "p_type"), F.concat(n, F.lit("_"), v, F.lit(".orig.tar.xz"))).alias("pool"))
 
 
-_HEADER = ["namespace x {", "#ifdef __cplusplus\nclass A;\n#endif", "/* x\nclass A */", "template <class T>", 's = "a\nclass b"', "  public:", "#if A\nclass B;\n#endif", "int x;", "// class\nint y;", "#ifdef __cplusplus\n#if X\nclass A;\n#endif\n#endif\n// class C", "subclass x;"]
-_IS_CPP = [0, 3, 5, 6]
+def _coded(lines: dict[str, str]):
+    """Lines made of a document's sentences, as an expression and as SQL: a sentence that begins with one of
+    the letters of ``lines`` becomes that line, others stay without signs that mean something in sources."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z. ]", " ")
 
+    def one(x):
+        first, out = F.lower(F.substring(F.ltrim(x), 1, 1)), x
+        for k, v in lines.items():
+            out = F.when(first == k, v).otherwise(out)
+        return out
 
-@query(f"select doc_id, case when doc_id % 11 in ({', '.join(map(str, _IS_CPP))}) or doc_id % 9 = 4 then 'cpp' else 'c' end as language from documents")
+    case = " ".join(f"when lower(substr(ltrim(x), 1, 1)) = '{k}' then '{v}'" for k, v in lines.items())
+    sql = f"list_transform(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z. ]', ' ', 'g'), '. '), lambda x: case {case} else x end)"
+    return F.transform(F.split(text, r"\. "), one), sql
+
+
+_HEADER_LINES = {"a": "#ifdef __cplusplus", "e": "#endif", "d": "class D;", "i": "/* open", "b": "close */", "s": "#if B", "t": "#else", "o": "class E;", "h": "// class F"}
+
+
+@query(f"""with l as (select doc_id, n_chars, list_transform({_coded(_HEADER_LINES)[1]}, lambda x: {{'k': x, 'stack': '', 'inside': false, 'found': false}}) as l from documents),
+  f as (select doc_id, n_chars, list_reduce(list_prepend({{'k': '', 'stack': '', 'inside': false, 'found': false}}, l), lambda a, x: {{'k': '',
+    'stack': case when a.inside then a.stack when x.k = '#ifdef __cplusplus' then a.stack || 'g' when x.k = '#if B' then a.stack || 'o' when x.k = '#endif' and a.stack <> '' then left(a.stack, length(a.stack) - 1) else a.stack end,
+    'inside': case when a.inside then x.k <> 'close */' else x.k = '/* open' end,
+    'found': a.found or (not a.inside and x.k in ('class D;', 'class E;') and not contains(a.stack, 'g'))}}) as r from l)
+  select doc_id, case when r.found or n_chars % 9 = 4 then 'cpp' else 'c' end as language from f""")
 def header_partition(spark, d):
     """Shared headers: unguarded text that only C++ has, or a folder of its name."""
-    body = F.element_at(F.array(*map(F.lit, _HEADER)), (F.col("doc_id") % 11 + 1).cast("int"))
-    path = F.when(F.col("doc_id") % 9 == 4, "include/C++/a.h").when(F.col("doc_id") % 9 == 5, "c++lib/a.h").otherwise("include/a.h")
-    rows = _t(spark, d, "documents").select("doc_id", path.alias("p"), F.concat(F.lit("int a;\n"), body, F.lit("\n")).alias("t"))
+    path = F.when(F.col("n_chars") % 9 == 4, "include/C++/a.h").when(F.col("n_chars") % 9 == 5, "c++lib/a.h").otherwise("include/a.h")
+    rows = _t(spark, d, "documents").select("doc_id", path.alias("p"), F.array_join(_coded(_HEADER_LINES)[0], "\n").alias("t"))
     return rows.select("doc_id", headers.header_language(F.col("p"), F.col("t")).alias("language"))
 
 
-_LINES = ["x", "#if A", "# ifdef B", "y", "#else", "#endif", "#elif C", "z", "#ifndef D", "#endif", "", "#endif"]
-_LINE_SQL = f"""w as (select doc_id, list_transform(range(0, 40), lambda i: list_extract([{", ".join(f"'{x}'" for x in _LINES)}], cast(1 + (doc_id * 7 + i * (1 + doc_id % 5) + i * i) % 12 as int))) as l from documents), k as (select doc_id, unnest(l) as x, generate_subscripts(l, 1) as n from w)"""
+_BRANCH_LINES = {"a": "#if defined(__cplusplus) || 0", "b": "#ifdef WIDE", "d": "#if !defined(__cplusplus) && 1", "e": "#else", "i": "#endif", "s": "#define WIDE 1", "t": "#if WIDE", "h": "#if A < B"}
+_START = "{'k': '', 'v': '', 'stack': '', 'wide': false, 'seen': '', 'decided': 0, 'undecided': 0}"
+
+
+@query(rf"""with l as (select doc_id, {_coded(_BRANCH_LINES)[1]} as l from documents),
+  f as (select doc_id, l, list_reduce(list_prepend({_START}, list_transform(l, lambda x: {{'k': split_part(x, ' ', 1), 'v': x, 'stack': '', 'wide': false, 'seen': '', 'decided': 0, 'undecided': 0}})), lambda a, x: {{'k': '', 'v': '',
+    'stack': case when x.k in ('#if', '#ifdef') then a.stack || case when regexp_matches(a.stack, '[nz]') then 'u' when contains(x.v, '||') then 'n' when contains(x.v, '&&') or (a.wide and contains(x.v, 'WIDE')) then 'a' else 'u' end
+      when x.k = '#else' and a.stack <> '' then left(a.stack, length(a.stack) - 1) || translate(right(a.stack, 1), 'anz', 'zaz') when x.k = '#endif' and a.stack <> '' then left(a.stack, length(a.stack) - 1) else a.stack end,
+    'wide': a.wide or (x.k = '#define' and not regexp_matches(a.stack, '[nz]')),
+    'seen': a.seen || cast(cast(case when x.k in ('#else', '#endif') and a.stack <> '' then right(a.stack, 1) = 'u' and not regexp_matches(left(a.stack, length(a.stack) - 1), '[nz]')
+      when x.k in ('#if', '#ifdef') then not regexp_matches(a.stack, '[nz]') and not contains(x.v, '||') and not contains(x.v, '&&') and not (a.wide and contains(x.v, 'WIDE')) else not regexp_matches(a.stack, '[nz]') end as int) as varchar),
+    'decided': a.decided + case when x.k in ('#if', '#ifdef') and not regexp_matches(a.stack, '[nz]') and (contains(x.v, '||') or contains(x.v, '&&') or (a.wide and contains(x.v, 'WIDE'))) then 1 else 0 end,
+    'undecided': a.undecided + case when x.k in ('#if', '#ifdef') and not regexp_matches(a.stack, '[nz]') and not (contains(x.v, '||') or contains(x.v, '&&') or (a.wide and contains(x.v, 'WIDE'))) then 1 else 0 end}}) as r from l)
+  select doc_id, sha256(array_to_string(list_transform(l, lambda x, i: case when substr(r.seen, i, 1) = '1' then x else '' end), chr(10))) as reduced, cast(r.decided as int) as decided, cast(r.undecided as int) as undecided from f""")
+def branch_reduction(spark, d):
+    """Documents as C sources without the branches that cannot be."""
+    rows = _t(spark, d, "documents").select("doc_id", F.array_join(_coded(_BRANCH_LINES)[0], "\n").alias("text"))
+    r = rows.select("doc_id", preprocess.reduced(F.col("text"), "c").alias("r"))
+    return r.select("doc_id", F.sha2("r.text", 256).alias("reduced"), "r.decided", "r.undecided")
+
+
+_LINES = {"a": "#if A", "b": "# ifdef B", "e": "#else", "i": "#endif", "s": "#elif C", "d": "#ifndef D", "t": "  #endif", "o": ""}
+_LINE_SQL = f"w as (select doc_id, {_coded(_LINES)[1]} as l from documents), k as (select doc_id, unnest(l) as x, generate_subscripts(l, 1) as n from w)"
+
+
+def _sources(spark, d, lines=None):
+    """Documents as sources, many lines directives, not always well nested."""
+    return _t(spark, d, "documents").select("doc_id", F.array_join(_coded(lines or _LINES)[0], "\n").alias("text"))
+
+
+def unbalanced(texts):
+    """(key, line) of the first line of each text (key, text) at which a brace is open twice or closed once too
+    often: stands for a parser's first error."""
+    each = texts.select("key", F.posexplode(F.split("text", "\n")).alias("i", "x")).where(F.col("x").rlike("[{}]"))
+    level = F.sum(F.length(F.regexp_replace("x", "[^{]", "")) - F.length(F.regexp_replace("x", "[^}]", ""))).over(Window.partitionBy("key").orderBy("i"))
+    return each.withColumn("n", level).where("n > 1 or n < 0").groupBy("key").agg((F.min("i") + 1).alias("line"))
 
 
-def _sources(spark, d):
-    """Documents as sources of forty lines, a third of them directives, not always well nested."""
-    i = F.col("i")
-    lines = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.element_at(F.array(*map(F.lit, _LINES)), (1 + (F.col("doc_id") * 7 + i * (1 + F.col("doc_id") % 5) + i * i) % 12).cast("int")))
-    del i
-    return _t(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+@query()
+def split_resolution(spark, d):
+    """How far forcing branches explains each document's first error, in rounds over all documents."""
+    lines = {"a": "#if A", "e": "#else", "i": "#endif", "d": "{", "s": "}"}
+    files = _sources(spark, d, lines).select(F.col("doc_id").alias("file_id"), "text")
+    return preprocess.resolve_splits(files, unbalanced).withColumnRenamed("file_id", "doc_id")
 
 
 _REGION_SQL = f"""{_LINE_SQL}, st as (select doc_id, n, regexp_extract(x, '^\\s*#\\s*(\\w*)', 1) as w from k where regexp_matches(x, '^\\s*#\\s*(if|ifdef|ifndef|else|elif|endif)\\b')),

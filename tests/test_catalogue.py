@@ -16,11 +16,11 @@ def duck():
     return c
 
 
-#: Queries without a counterpart: their rows are seeded programs and edits.
-UNSEEN = {"fuzz_campaign", "incremental_divergence"}
+#: Queries without a counterpart: seeded programs and edits, and rounds that tests compare with written results.
+UNSEEN = {"fuzz_campaign", "incremental_divergence", "split_resolution"}
 
 
-def test_all_but_two_have_sql():
+def test_all_but_three_have_sql():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE) == UNSEEN
 
 

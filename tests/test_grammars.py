@@ -1,13 +1,8 @@
-"""Derivations, shrinking and findings; macros and headers by their stated rules."""
+"""Derivations, shrinking and findings."""
 
 import json
 
-from pyspark.sql import functions as F
-
-from quillon.functions import headers
 from quillon.operators import grammars as g
-from quillon.operators import macros as m
-from quillon.operators import preprocess as pp
 from quillon.plans.grammar_queries import PLAIN, TOY
 
 
@@ -57,68 +52,3 @@ def test_tapes_change_and_shrink():
 def test_metrics_of_no_grammar(spark):
     assert g.metrics(spark.createDataFrame([], "grammar string, json string")).count() == 0
     assert g.metrics(spark.createDataFrame([("p", PLAIN)], "grammar string, json string").where("grammar = 'p'")).where("value > 0").count() == 1
-
-
-def one(text, **names):
-    return m.expand(text, {k: v if isinstance(v, m.Macro) else m.Macro(None, v) for k, v in names.items()})
-
-
-def test_expansion():
-    call = m.Macro(("p", "head"), "for (p = (head)->next; p; )")
-    assert one("T int a;\n", T="__thread").text == "__thread int a;\n"
-    assert one("list(li, &q->x) {}", list=call).text == "for (li = (&q->x)->next; li; ) {}"
-    assert one("x = OUT;", OUT="IN + IN", IN="1").text == "x = 1 + 1;"
-    assert one("foo; bar;", foo="foo", bar="baz", baz="bar").text == "foo; bar;"
-    assert one("f(a, (b, c))", f=m.Macro(("x", "y"), "y x")).text == "(b, c) a"
-    assert one("p = f;", f=m.Macro(("x",), "x")).text == "p = f;"
-    assert one("f( ) f", f=m.Macro((), "1")).text == "1 f"
-    untouched = '#include <FOO.h>\n/* FOO */ "FOO" \'FOO\' // FOO\n#define X \\\n FOO\n'
-    assert one(untouched + "FOO", FOO="bar").text == untouched + "bar"
-    e = one("int w;\nint x;\nint y = A;\n", A="1")
-    assert e.expanded == [("A", 3)] and e.near(3) == e.near(4) == ["A"] and e.near(9) == []
-
-
-def test_refusals():
-    def why(text, **names):
-        return {w for _, w in one(text, **names).refused}
-
-    assert why("const x", const="") == {"shadows a keyword the grammar models itself"}
-    assert why("G(x)", G=m.Macro(("a",), "a ## b")) == {"token pasting"}
-    assert why("S(x)", S=m.Macro(("a",), "#a")) == {"stringify"} and why("H", H="#a") == set()
-    assert why("V(x)", V=m.Macro(("...",), "x")) == {"variadic"}
-    assert why("P(1)", P=m.Macro(("a", "b"), "a")) == {"argument count mismatch"}
-    deep = {f"M{i}": f"M{i + 1}" for i in range(40)}
-    assert why("M0", **deep) == {"expansion too deep"}
-
-
-SPLIT = "#ifdef F\nint f(int a)\n#else\nint f(int a, int b)\n#endif\n{ return a; }\n"
-
-
-def test_regions():
-    assert pp.regions(SPLIT) == [(1, 3, 5)]
-    assert pp.regions("#ifndef H\n#ifdef A\nint a;\n#endif\n#endif\n") == [(2, None, 4), (1, None, 5)]
-    assert pp.regions("#if A\n#elif B\n#else\n#endif\n") == [] == pp.regions("#if A\n#else\n#else\n#endif") == pp.regions("#if A\n#endif"[:5])
-    assert pp.regions("#endif\n#else\n#if A\n#endif") == [(3, None, 4)]
-
-
-def test_forced(spark):
-    lines = F.split(F.lit(SPLIT), "\n")
-    for keep, kept, gone in ((True, 2, 4), (False, 4, 2)):
-        made = pp.forced(lines, F.lit(1), F.lit(3), F.lit(5), F.lit(keep))
-        r = spark.range(1).select(made.alias("l"), pp.line_survives(made, F.lit(kept)).alias("a"), pp.line_survives(made, F.lit(gone)).alias("b")).first()
-        assert len(r.l) == 7 and (r.a, r.b) == (True, False) and r.l[5] == "{ return a; }"
-
-
-def test_resolve_splits():
-    first = lambda t: next((i for i, x in enumerate(t.split("\n"), 1) if "BAD" in x and "int" in t.split("\n")[i - 2]), None)
-    assert pp.resolve_splits("#ifdef A\nint x\n#else\nint y\n#endif\nz", 2, lambda t: 2 if "int x" in t and "int y" in t else None) == (None, 1)
-    guard = "#ifndef H\n#define H\nint x = ;\n#endif\n"
-    assert pp.resolve_splits(guard, 3, lambda t: 3 if "int x" in t else None) == (3, 0)
-    assert first("int\nBAD") == 2
-
-
-def test_headers():
-    cpp = headers.is_cpp_header
-    assert cpp("include/c++/x.h", b"int a;") and cpp("x.h", b"  namespace a {") and cpp("a.h", "template <class T>\n")
-    assert not cpp("x.h", b"/* class a */\n// class b\nint class_;") and not cpp("x.h", '#if defined(__cplusplus)\nclass A;\n#else\nclass B;\n#endif\n')
-    assert cpp("x.h", "#ifdef __cplusplus\n#endif\nclass A;") and cpp("x.h", b"\xff\nclass A;") and not cpp("", "")
