@@ -2,30 +2,27 @@
 
 Host names run words together, so a unigram Viterbi split cuts them into words of a lexicon
 counted over all pages.  Multinomial naive Bayes then scores the segmented host and path tokens.
-It learns from the URLs that a rule decides: all of them, as counts of hashed tokens, so the
-model is bounded by ``BUCKETS`` and not by the data.
+It learns from the URLs that a rule decides, all of them.
+
+Lexicon, splits, token counts and model are tables: what one run of letters can hold is joined to
+it, so no task and no driver holds the lexicon or the model, and tokens are told apart as they are.
+Hosts and paths are made distinct first, so a host that very many pages share is split and scored once.
 """
 
 from __future__ import annotations
 
 import math
-import unicodedata
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import frugal
+from quillon.llm.shared import frugal, kept
 
-#: The longest word tried in the split: no label of a host name is longer.
-LONGEST = 63
-#: Numbers that tokens are hashed to, which bounds the model.
-BUCKETS = 1 << 20
+#: Stretches up to this length are joined to the lexicon as they are; longer words are found by their
+#: first letters and then compared whole.
+STRETCH = 63
 #: Rules that are kept in an expression; more are joined.
 MOST_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,114 +64,93 @@ def with_rules(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return rows.join(best, same, "left").drop("_h", "_p")
 
 
-def _parts(pages: DataFrame, url: str) -> DataFrame:
-    """w: all stretches of 2 to ``LONGEST`` letters within a run of a-z of some URL."""
-    runs = pages.select(F.explode(F.split(F.lower(F.concat_ws("/", host_of(F.col(url)), path_of(F.col(url)))), "[^a-z]+")).alias("run")).where(F.length("run") > 1).distinct()
-    starts = runs.select("run", F.explode(F.expr("sequence(1, length(run) - 1)")).alias("i"))
-    return starts.select(F.explode(F.expr(f"transform(sequence(2, least({LONGEST}, length(run) - i + 1)), n -> substring(run, i, n))")).alias("w")).distinct()
-
-
-def lexicon(pages: DataFrame, text: str = "html", url: str = "url") -> dict[str, int]:
-    """The words (runs of a-z, two letters or more) of all rows that some URL can hold, with
-    counts; the empty word has the count of all others, so that the sum is that of all words.
+def lexicon(pages: DataFrame, text: str = "html") -> DataFrame:
+    """(w, n): the words (runs of a-z, two letters or more) of all rows with their counts.
 
     Repeated rows count as often as they stand there; nulls have no words; other columns don't matter.
     """
     words = pages.select(F.explode(F.split(F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "<[^>]*>", " ")), "[^a-z]+")).alias("w"))
-    counts = words.where(F.length("w").between(2, LONGEST)).groupBy("w").agg(F.count("*").alias("n"))
-    held = counts.join(_parts(pages, url).withColumn("held", F.lit(True)), "w", "left")
-    return {r.w: r.n for r in held.groupBy(F.when(F.col("held"), F.col("w")).otherwise("").alias("w")).agg(F.sum("n").alias("n")).collect()}
+    return words.where(F.length("w") > 1).groupBy("w").agg(F.count("*").alias("n"))
 
 
-def segmenter(counts: dict[str, int]):
-    """A function that splits a run of letters into its most probable words.
+def best_split(run: str, held: list[tuple[int, int, int]], total: float) -> list[str]:
+    """The most probable words of a run of letters; held: (start, length, count) of the known words in it, total:
+    the logarithm of all words' number.
 
-    Stretches of unknown letters cost more the longer they are.
+    An unknown stretch costs ``total`` and 2.5 more a letter; of equal costs the longer last word wins.
     """
-    total = math.log(sum(counts.values()) + 1)
-    cost = {w: total - math.log(n) for w, n in counts.items()}
-
-    def split(name: str) -> list[str]:
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for i in range(1, len(name) + 1):
-            best.append(min((best[j][0] + cost.get(name[j:i], total + 2.5 * (i - j)), j) for j in range(max(0, i - LONGEST), i)))
-        out, i = [], len(name)
-        while i:
-            j = best[i][1]
-            out.append(name[j:i])
-            i = j
-        return out[::-1]
-
-    return split
-
-
-def _kind(c: str) -> str:
-    """``a``: letter or a mark on one, ``0``: digit, empty: other."""
-    return "a" if c.isalpha() or unicodedata.category(c)[0] == "M" else "0" if c.isdecimal() else ""
-
-
-def tokens(host: str, path: str, split) -> list[str]:
-    """Host tokens (``h:``) and path tokens (``p:``) in lower case: runs of a-z segmented, runs with
-    other letters whole; runs of digits become their length."""
-    out = []
-    for mark, s in (("h:", host.lower()), ("p:", path.lower())):
-        for kind, run in groupby(s, _kind):
-            run = "".join(run)
-            if kind == "a":
-                out += [mark + w for w in (split(run) if run.isascii() else [run])]
-            elif kind:
-                out.append(f"{mark}#{len(run)}")
-    return out
-
+    ending: dict[int, list[tuple[int, float]]] = {}
+    for i, n, count in held:
+        ending.setdefault(i + n, []).append((i, total - math.log(count)))
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    cheapest = (0.0, 0)  # start of an unknown stretch: cost there less 2.5 for each letter before
+    for i in range(1, len(run) + 1):
+        options = [(best[j][0] + cost, j) for j, cost in ending.get(i, ())]
+        best.append(min([(cheapest[0] + total + 2.5 * i, cheapest[1]), *options]))
+        cheapest = min(cheapest, (best[i][0] - 2.5 * i, i))
+    out, i = [], len(run)
+    while i:
+        j = best[i][1]
+        out.append(run[j:i])
+        i = j
+    return out[::-1]
+
+
+def split_runs(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """(run, words) of distinct ``runs`` (run) of letters by the lexicon ``words`` (w, n)."""
+    size = words.agg(F.sum("n").alias("n")).first()["n"] or 0
+    at = runs.where(F.length("run") > 1).select("run", F.explode(F.sequence(F.lit(1), F.length("run") - 1)).alias("i"))
+    ends = F.sequence(F.lit(2), F.least(F.lit(STRETCH), F.length("run") - F.col("i") + 1))
+    short = at.select("run", "i", F.explode(F.transform(ends, lambda n: F.substring(F.col("run"), F.col("i"), n))).alias("w")).join(words, "w")
+    long = words.where(F.length("w") > STRETCH).select("n", F.col("w").alias("whole"), F.substring("w", 1, STRETCH).alias("w"))
+    first = at.where(F.length("run") - F.col("i") + 1 > STRETCH).select("run", "i", F.substring(F.col("run"), F.col("i"), F.lit(STRETCH)).alias("w"))
+    both = first.join(long, "w").where(F.substring(F.col("run"), F.col("i"), F.length("whole")) == F.col("whole"))
+    found = short.select("run", "i", F.length("w").alias("size"), "n").union(both.select("run", "i", F.length("whole").alias("size"), "n"))
+    held = found.groupBy("run").agg(F.collect_list(F.struct((F.col("i") - 1).alias("i"), "size", "n")).alias("held"))
+    total = math.log(size + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [best_split(x, [(y["i"], y["size"], y["n"]) for y in known or ()], total) for x, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["run", "words"])
 
-def _tokeniser(words):
-    split, known = segmenter(words.value), {}
+    return runs.join(held, "run", "left").select("run", "held").mapInArrow(frugal(run), "run string, words array<string>")
 
-    def hashed(host: str, path: str) -> list[int]:
-        if len(known) > 100_000:
-            known.clear()
-        if host not in known:
-            known[host] = [zlib.crc32(t.encode()) % BUCKETS for t in tokens(host, "", split)]
-        return known[host] + [zlib.crc32(t.encode()) % BUCKETS for t in tokens("", path, split)]
 
-    return hashed
+def string_tokens(strings: DataFrame, words: DataFrame) -> DataFrame:
+    """(mark, s, token) of distinct strings (mark, s): in lower case runs of a-z segmented, runs with other
+    letters (marks on them included) whole; runs of digits become their length.  A token begins with its mark."""
+    parts = strings.select("mark", "s", F.explode(F.regexp_extract_all(F.lower("s"), F.lit(r"([\p{L}\p{M}]+|\p{Nd}+)"), F.lit(1))).alias("run"))
+    parts = kept(parts.withColumn("plain", F.col("run").rlike("^[a-z]+$")), "url-runs")
+    split = kept(split_runs(parts.where("plain").select("run").distinct(), words), "url-splits")
+    other = F.when(F.col("run").rlike(r"^\p{Nd}"), F.concat(F.lit("#"), F.length("run").cast("string"))).otherwise(F.col("run"))
+    found = parts.where("plain").join(split, "run").select("mark", "s", F.explode("words").alias("t")).union(parts.where("not plain").select("mark", "s", other))
+    return found.select("mark", "s", F.concat("mark", "t").alias("token"))
 
 
-def judge(urls: DataFrame, words: dict[str, int]) -> DataFrame:
+def judge(urls: DataFrame, words: DataFrame) -> DataFrame:
     """``urls`` (page_id, host, path, rule, verdict) with every verdict given, and ``p_block``.
 
-    A rule's verdict stands.  Otherwise ``block`` if the posterior exceeds one half; with no
-    decided rows to learn from everything else is allowed with ``p_block`` 0.  Rows are judged one by
-    one: repeated rows repeat and count in learning as often; other columns are not carried.
+    words: a ``lexicon``.  A rule's verdict stands.  Otherwise ``block`` if the posterior exceeds one half;
+    with no decided rows to learn from everything else is allowed with ``p_block`` 0.  Rows are judged one
+    by one: repeated rows repeat and count in learning as often; other columns are not carried.
     """
-    shared = urls.sparkSession.sparkContext.broadcast(words)  # the words that some URL holds
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = _tokeniser(shared)
-        for b in batches:
-            seen: Counter = Counter()
-            for host, path, said in zip(*(c.to_pylist() for c in b.columns)):
-                seen[said, -1] += 1
-                seen.update((said, t) for t in hashed(host, path))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["verdict", "token", "n"])
-
-    decided = urls.where(F.col("verdict").isNotNull()).select("host", "path", "verdict")
-    sums = decided.mapInArrow(frugal(count), "verdict string, token long, n long").groupBy("verdict", "token").agg(F.sum("n").alias("n"))
-    n = np.zeros((2, BUCKETS + 1))
-    for r in sums.collect():  # at most two classes of BUCKETS counts
-        n[int(r.verdict == "block"), r.token] = r.n
-    rows, n = n[:, -1], n[:, :-1]
-    seen = max(1, int((n.sum(axis=0) > 0).sum()))
-    log = np.log((n + 1) / (n.sum(axis=1, keepdims=True) + seen))
-    lift, prior = log[1] - log[0], math.log((rows[1] + 1) / (rows[0] + 1))
-    learned = bool(rows.sum())
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = _tokeniser(shared)
-        for b in batches:
-            odds = [prior + float(lift[hashed(h, p)].sum()) if learned else -1e3 for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            block = [1 / (1 + math.exp(-max(-700.0, min(700.0, x)))) if learned else 0.0 for x in odds]
-            said = [v or ("block" if p > 0.5 else "allow") for v, p in zip(b.column(4).to_pylist(), block)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(said, pa.string()), pa.array(block, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "p_block"])
-
-    return urls.select("page_id", "host", "path", "rule", "verdict").mapInArrow(frugal(score), "page_id long, host string, path string, rule string, verdict string, p_block double")
+    rows = urls.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", "verdict")
+    sides = F.explode(F.array(F.struct(F.lit("h:").alias("mark"), F.col("host").alias("s")), F.struct(F.lit("p:").alias("mark"), F.col("path").alias("s")))).alias("x")
+    said = lambda v: F.count_if(F.col("verdict") == v)
+    strings = kept(rows.select("verdict", sides).groupBy("x.mark", "x.s").agg(said("allow").alias("allow"), said("block").alias("block")), "url-strings")
+    tokens = kept(string_tokens(strings.select("mark", "s"), words), "url-tokens")
+    model = kept(tokens.join(strings, ["mark", "s"]).groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-model")
+    known = model.where("allow + block > 0").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"), F.count("*").alias("n")).first()
+    n = rows.agg(said("allow").alias("allow"), said("block").alias("block")).first()
+    size = max(1, known["n"])
+    each = lambda v: F.log((F.col(v) + 1) / F.lit(float((known[v] or 0) + size)))
+    lifts = tokens.join(model.select("token", (each("block") - each("allow")).alias("lift")), "token").groupBy("mark", "s").agg(F.sum("lift").alias("lift"))
+    side = lambda mark, name: lifts.where(F.col("mark") == mark).select(F.col("s").alias(name), F.col("lift").alias("_" + name))
+    j = rows.join(side("h:", "host"), "host", "left").join(side("p:", "path"), "path", "left")
+    prior = math.log(((n["block"] or 0) + 1) / ((n["allow"] or 0) + 1))
+    odds = F.round(F.lit(prior) + F.coalesce("_host", F.lit(0.0)) + F.coalesce("_path", F.lit(0.0)), 9)  # sums come in any order
+    learned = (n["block"] or 0) + (n["allow"] or 0) > 0
+    p = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), odds)))) if learned else F.lit(0.0)
+    verdict = F.coalesce("verdict", F.when(p > 0.5, "block").otherwise("allow"))
+    return j.select("page_id", "host", "path", "rule", verdict.alias("verdict"), p.alias("p_block"))

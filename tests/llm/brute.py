@@ -173,7 +173,7 @@ def lm(texts, learnt, discount, steps):
 def judged_urls(rows):
     """Verdicts and block probabilities of (url, html) rows: words by the best split, naive Bayes over tokens."""
     text = " ".join(re.sub("<[^>]*>", " ", h or "").lower() for _, h in rows)
-    seen = Counter(w for w in re.split("[^a-z]+", text) if 2 <= len(w) <= 63)
+    seen = Counter(w for w in re.split("[^a-z]+", text) if 2 <= len(w))
     total = math.log(sum(seen.values()) + 1)
     known = {}
 
@@ -182,7 +182,7 @@ def judged_urls(rows):
             best = [(0.0, 0)]
             for i in range(1, len(run) + 1):
                 options = []
-                for j in range(max(0, i - 63), i):
+                for j in range(i):
                     w = run[j:i]
                     options.append((best[j][0] + (total - math.log(seen[w]) if w in seen else total + 2.5 * (i - j)), j))
                 best.append(min(options))

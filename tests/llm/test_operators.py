@@ -344,7 +344,26 @@ def test_urls(spark):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, r) and got[i].verdict in ((v,) if v else ("allow", "block"))
     none = urls.judge(rows.limit(0).select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict")), words)
     assert none.count() == 0
-    assert urls.segmenter({"spam": 5, "farm": 5, "s": 1})("spamfarm") == ["spam", "farm"]
+    assert split_names(spark, {"spam": 5, "farm": 5}, "spamfarm") == {"spamfarm": ["spam", "farm"]}
+
+
+def split_names(spark, counts, *names):
+    words = spark.createDataFrame(list(counts.items()), "w string, n long")
+    return {r.run: list(r.words) for r in urls.split_runs(spark.createDataFrame([(n,) for n in names], "run string"), words).collect()}
+
+
+def test_urls_with_long_words_and_runs(spark):
+    """Words and runs over 63 letters, clashing columns, repeated rows; every row as the plain version says."""
+    long, other = "abcdefghij" * 7, "qrstuvwxyz" * 30
+    rows = [(f"http://{long}farm.example.org/es/x", f"<b>{long}</b> farm {long}"), (f"http://a.fr/{other}{long}shop", f"shop {long[:64]}"), ("http://a.com/de/" + "z" * 400, "shop farm"), ("http://a.fr/" + "z" * 399 + "farm", None), (None, None), ("nothing", "")]
+    rows = rows + rows[:2]
+    pages = spark.createDataFrame([(i, u, h, 1, "x") for i, (u, h) in enumerate(rows)], "page_id long, url string, html string, w int, token string")
+    found = pages.select("page_id", urls.host_of(pages.url).alias("host"), urls.path_of(pages.url).alias("path"), "token")
+    got = {r.page_id: r for r in urls.judge(urls.with_rules(found, RULES), urls.lexicon(pages)).collect()}
+    for i, (host, path, rule, verdict, p) in enumerate(brute.judged_urls(rows)):
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict) and abs(got[i].p_block - p) < 1e-6
+    assert split_names(spark, {long: 2, "farm": 1}, long + "farm", other)[long + "farm"] == [long, "farm"]
+    assert urls.judge(urls.with_rules(found.limit(0), RULES), urls.lexicon(pages.limit(0))).count() == 0
 
 
 def test_url_rules_beyond_an_expression(spark, monkeypatch):
@@ -359,18 +378,18 @@ def test_url_rules_beyond_an_expression(spark, monkeypatch):
 
 
 def test_url_lexicon_keeps_rare_words(spark):
-    """A word seen once is kept however many words are more frequent, if a URL holds it."""
+    """A word seen once counts however many words are more frequent."""
     common = " ".join("w" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(50_001))
     pages = spark.createDataFrame([(1, "http://zebrafarm.org/a", f"<p>{common} {common} farm</p>"), (2, None, "zebra zoo"), (3, "http://b.org/", None)], "page_id long, url string, html string")
     words = urls.lexicon(pages)
-    assert (words["zebra"], words["farm"], "zoo" in words) == (1, 1, False)
-    assert sum(words.values()) == 2 * 50_001 + 3
-    assert urls.segmenter(words)("zebrafarm") == ["zebra", "farm"]
+    assert words.where("w in ('zebra', 'farm', 'zoo') and n = 1").count() == 3 and words.agg(F.sum("n")).first()[0] == 2 * 50_001 + 3
+    assert urls.split_runs(spark.createDataFrame([("zebrafarm",)], "run string"), words).first().words == ["zebra", "farm"]
 
 
-def test_url_tokens_of_all_alphabets():
-    split = urls.segmenter({"free": 5, "books": 5})
-    assert urls.tokens("münchen.freebooks.de", "/Café/日本語/cafe\u0301/12_٣٤٥", split) == ["h:münchen", "h:free", "h:books", "h:de", "p:café", "p:日本語", "p:cafe\u0301", "p:#2", "p:#3"]
+def test_url_tokens_of_all_alphabets(spark):
+    words = spark.createDataFrame([("free", 5), ("books", 5)], "w string, n long")
+    strings = spark.createDataFrame([("h:", "münchen.freebooks.de"), ("p:", "/Café/日本語/cafe\u0301/12_٣٤٥")], "mark string, s string")
+    assert sorted(r.token for r in urls.string_tokens(strings, words).collect()) == sorted(["h:münchen", "h:free", "h:books", "h:de", "p:café", "p:日本語", "p:cafe\u0301", "p:#2", "p:#3"])
 
 
 PAGE = "page_id long, url string, html string"
