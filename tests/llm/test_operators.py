@@ -465,3 +465,16 @@ def test_packing_encoder_equals_whole_tokenizer():
         some = texts[lo : lo + 250]
         assert encode(some) == [np.array([*e.ids, packing.END], "<u4").tobytes() for e in whole.encode_batch(some, add_special_tokens=False)]
     assert encode([None, ""]) == [b"\0\0\0\0"] * 2
+
+
+def test_language_stage(spark):
+    """Predictions decide: texts in none of the labelled languages go, short and noisy ones of theirs stay."""
+    import corpus_pipeline as c
+
+    prose = {"en": "the cat and the other cat sat there with that hat", "de": "der hund und die andere hündin lagen unter der decke"}
+    rows = [(i, t, lang, "s", i) for i, (lang, t) in enumerate(prose.items())] + [(2, "The cat!", None, "s", 1), (3, "DIE %% hündin 123", None, "s", 1), (4, "коты и собаки", None, "s", 1), (5, "12 !", "en", "s", 1), (6, None, "de", "s", 1), (7, "猫と犬", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept_ids = lambda d: sorted(r.doc_id for r in c.language(spark, d, "").collect())
+    assert kept_ids(docs) == [0, 1, 2, 3]
+    assert kept_ids(docs.withColumn("lang", F.lit(None).cast("string"))) == [0, 1, 2, 3, 4, 7]
+    assert c.language(spark, docs.limit(0), "").columns == docs.columns and kept_ids(docs.limit(0)) == []
