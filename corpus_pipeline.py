@@ -16,6 +16,9 @@ from quillon.llm.shared import kept, row_key, ship, table
 
 #: Near duplicates share this percentage of their five-word shingles.
 NEAR = 80
+#: A text whose score lies below is in none of the languages learned: prose of theirs, however short or noisy,
+#: scores some 0.4 and more, other alphabets 0.
+IN_NONE = 0.1
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
@@ -24,11 +27,16 @@ def _wrapped(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: null texts and texts without a letter."""
+    """Rejects documents in none of the languages that the labels name: null texts, texts without a letter, and
+    texts that hardly share an n-gram's rank with the nearest profile (a score below ``IN_NONE``).
+
+    Without any labelled text there is nothing to compare with, and only the first two go.
+    """
     ship(spark)
-    profiles = langid.train(docs) or {"any": [0]}  # without labels all texts with letters are in the one language
+    profiles = langid.train(docs)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
-    return langid.predict_whole(whole, profiles).where(F.col("lang_pred") != langid.UNKNOWN).select("_doc.*")
+    found = langid.predict_whole(whole, profiles or {"any": [0]}).where(F.col("lang_pred") != langid.UNKNOWN)
+    return (found.where(F.col("score") >= IN_NONE) if profiles else found).select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
