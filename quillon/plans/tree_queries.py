@@ -125,10 +125,7 @@ _CASES = [("lists", "(ul (li) @x)"), ("links", "[(a (#text) @t) (nav (_ (a) @u))
 def rosetta_matrix(spark, d):
     """Each program in three languages, each query in each: the counts of captures must agree."""
     pages = _t(spark, d, "pages").where("page_id < 60")
-    found, own = None, trees.parsed(pages)
-    for name, text in _CASES:
-        rows = pattern.plan(pattern.parse(text), own, MARKUP).select("file_id", F.lit(name).alias("query"))
-        found = rows if found is None else found.union(rows)
+    found = pattern.plan_all({name: pattern.parse(text) for name, text in _CASES}, trees.parsed(pages), MARKUP).select("file_id", "query")
     program, language = (F.col("page_id") / 3).cast("long").alias("program"), (F.col("page_id") % 3).alias("language")
     programs = pages.select("page_id", program, language)
     return reports.count_matrix(programs, [n for n, _ in _CASES], found.withColumnRenamed("file_id", "page_id"))

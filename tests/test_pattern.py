@@ -41,6 +41,42 @@ def test_plan(nodes, text, want):
     assert found(text, nodes) == want
 
 
+def embeddings(p, row, rows, catalogue):
+    """All matches of an expanded pattern at a node, as lists of (capture, node_id)."""
+    if p.alternatives:
+        named = [type(p)(x.kinds, x.children, p.capture or x.capture, x.alternatives) for x in p.alternatives]
+        return [m for x in named for m in embeddings(x, row, rows, catalogue)]
+    kinds = set().union(*(catalogue.closure(k) for k in p.kinds))
+    if "_" not in kinds and row["kind"] not in kinds:
+        return []
+    out = [[(p.capture, row["node_id"])] if p.capture else []]
+    for name, child in p.children:
+        inner = [m for r in rows if r["parent_id"] == row["node_id"] and r["file_id"] == row["file_id"] and name in (None, r["field"]) for m in embeddings(child, r, rows, catalogue)]
+        out = [a + b for a in out for b in inner]
+    return out
+
+
+def test_many_patterns_are_one_plan(spark, nodes):
+    """Ten alternatives at two places and other patterns together, against all matches one by one."""
+    ten = "[(ul) (li (a) @deep) (a) (#text) (h1) (title) (div) (call) (_named) (li (#text) (#text) @twice)]"
+    texts = {"ten": f"(_ {ten} @one {ten} @two)", "plain": "(ul (li (#text)))", "named": "(_ text: (#text) @t)", "deep": "(ul (li (a (#text) @x) @y) @z)", "none": "(call)"}
+    parsed = {k: p.parse(v) for k, v in texts.items()}
+    rows = [r.asDict() for r in nodes.collect()]
+    want = []
+    for k, x in parsed.items():
+        full = p.expand(x, CATALOGUE)
+        for r in rows:
+            for m in embeddings(full, r, rows, CATALOGUE):
+                if p._captures(full):
+                    want += [(k, r["file_id"], n, c) for c, n in m]
+                else:
+                    want.append((k, r["file_id"], r["node_id"], ""))
+    found = p.plan_all(parsed, nodes, CATALOGUE)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 1  # one level, the rest is kept in tables
+    assert sorted((r.query, r.file_id, r.node_id, r.capture) for r in found.collect()) == sorted(want)
+
+
 def test_equal_text_and_derivation(spark):
     rows = [(1, 1, None, "call", ["_word"], "f"), (1, 2, 1, "#text", [], "f"), (1, 3, 1, "#text", ["_word"], "g")]
     n = spark.createDataFrame(rows, "file_id long, node_id long, parent_id long, kind string, derivation array<string>, text string")
