@@ -208,11 +208,14 @@ def negative_accepted(spark, d):
     return _t(spark, d, "benchmark").where(~F.col("text").rlike("[0-9#@%*|=<>{}]")).select("item_id")
 
 
-@query("""with recursive s(a, b) as (values ('_expression', '_literal'), ('_expression', 'call'), ('_literal', 'string'), ('_literal', 'number'), ('_control_flow', '_loop'), ('_loop', 'while')), r(start, reached, k) as (
-  select x, x, 0 from (select a as x from s union select b from s) union all select r.start, s.b, k + 1 from r join s on r.reached = s.a where k < 6) select distinct start, reached from r""")
+@query("""with recursive s as (select distinct n_name as a, c_mktsegment as b from customer join nation on c_nationkey = n_nationkey where c_custkey % 7 = 0 union select distinct c_mktsegment, o_orderpriority from orders join customer on o_custkey = c_custkey where c_nationkey < 3),
+  r(start, reached) as (select distinct x, x from (select a as x from s union all select b from s) union select r.start, s.b from r join s on r.reached = s.a) select * from r""")
 def supertype_closure(spark, d):
-    rows = [("_expression", "_literal"), ("_expression", "call"), ("_literal", "string"), ("_literal", "number"), ("_control_flow", "_loop"), ("_loop", "while")]
-    return rules.closure(spark.createDataFrame(rows, "supertype string, subtype string"))
+    """Which names stand for which: nations over segments over priorities, as far as customers link them."""
+    c = _t(spark, d, "customer")
+    first = c.where("c_custkey % 7 = 0").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("supertype"), F.col("c_mktsegment").alias("subtype"))
+    second = _t(spark, d, "orders").join(c.where("c_nationkey < 3"), F.col("o_custkey") == F.col("c_custkey")).select("c_mktsegment", "o_orderpriority")
+    return rules.closure(first.union(second).distinct())
 
 
 @query("select * from (values ('1', '_thing'), ('1b-i', '_scope'), ('1b-ii', '_scope'), ('1b-iv', '_scope'), ('5a', '_odd'), ('5b', '_string'), ('3', 'ghost'), ('2a', 'lost'), ('2b', 'call'), ('2c', 'nowhere'), ('0', '9')) t(rule, subject)")
@@ -246,10 +249,13 @@ def even_sample(spark, d):
     return r.where("i % step = 0 and floor(i / step) < 100").select("doc_id")
 
 
-@query("""select * from (values ('a', 5, 4, 'fail'), ('b', 3, 4, 'remind'), ('c', 4, 4, 'ok'), ('d', 1, cast(null as int), 'advisory')) t(metric, value, baseline, state)""")
+@query("""with m as (select source as metric, count(*) as value from documents where n_chars >= 2000 group by 1), b as (select source as metric, count(*) as baseline from documents where n_chars between 1000 and 1999 group by 1)
+  select metric, value, baseline, case when baseline is null then 'advisory' when value > baseline then 'fail' when value < baseline then 'remind' else 'ok' end as state from m left join b using (metric)""")
 def ratchet_eval(spark, d):
-    m = spark.createDataFrame([("a", 5), ("b", 3), ("c", 4), ("d", 1)], "metric string, value int")
-    return reports.ratchet(m, spark.createDataFrame([("a", 4), ("b", 4), ("c", 4)], "metric string, baseline int"))
+    """Long documents of each source against its medium ones: the count must not be above."""
+    docs = _t(spark, d, "documents")
+    m = docs.where("n_chars >= 2000").groupBy(F.col("source").alias("metric")).agg(F.count("*").alias("value"))
+    return reports.ratchet(m, docs.where("n_chars between 1000 and 1999").groupBy(F.col("source").alias("metric")).agg(F.count("*").alias("baseline")))
 
 
 @query("""with a as (select conv_id, turn, role from conversations), b as (select conv_id - 1 as conv_id, turn, role from conversations where conv_id > 0), j as (select coalesce(a.conv_id, b.conv_id) as conv_id, coalesce(a.turn, b.turn) as turn, a.role as ours, b.role as theirs

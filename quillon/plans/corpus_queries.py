@@ -69,7 +69,7 @@ def resolver_urls(spark, d):
     return _t(spark, d, "part").select("p_partkey", feeds.crate_url(n, v).alias("crate"), feeds.sources_jar_url(c, v).alias("jar"), feeds.zig_url(v).alias("zig"), commit["version"].alias("commit"), commit["url"].alias("archive"), feeds.pool_url("https://m", F.concat_ws("/", F.lit("pool"), "p_type"), F.concat(n, F.lit("_"), v, F.lit(".orig.tar.xz"))).alias("pool"))
 
 
-def _coded(lines: dict[str, str]):
+def coded(lines: dict[str, str]):
     """Lines made of a document's sentences, as an expression and as SQL: a sentence that begins with one of
     the letters of ``lines`` becomes that line, others stay without signs that mean something in sources."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z. ]", " ")
@@ -88,7 +88,7 @@ def _coded(lines: dict[str, str]):
 _HEADER_LINES = {"a": "#ifdef __cplusplus", "e": "#endif", "d": "class D;", "i": "/* open", "b": "close */", "s": "#if B", "t": "#else", "o": "class E;", "h": "// class F"}
 
 
-@query(f"""with l as (select doc_id, n_chars, list_transform({_coded(_HEADER_LINES)[1]}, lambda x: {{'k': x, 'stack': '', 'inside': false, 'found': false}}) as l from documents),
+@query(f"""with l as (select doc_id, n_chars, list_transform({coded(_HEADER_LINES)[1]}, lambda x: {{'k': x, 'stack': '', 'inside': false, 'found': false}}) as l from documents),
   f as (select doc_id, n_chars, list_reduce(list_prepend({{'k': '', 'stack': '', 'inside': false, 'found': false}}, l), lambda a, x: {{'k': '',
     'stack': case when a.inside then a.stack when x.k = '#ifdef __cplusplus' then a.stack || 'g' when x.k = '#if B' then a.stack || 'o' when x.k = '#endif' and a.stack <> '' then left(a.stack, length(a.stack) - 1) else a.stack end,
     'inside': case when a.inside then x.k <> 'close */' else x.k = '/* open' end,
@@ -97,7 +97,7 @@ _HEADER_LINES = {"a": "#ifdef __cplusplus", "e": "#endif", "d": "class D;", "i":
 def header_partition(spark, d):
     """Shared headers: unguarded text that only C++ has, or a folder of its name."""
     path = F.when(F.col("n_chars") % 9 == 4, "include/C++/a.h").when(F.col("n_chars") % 9 == 5, "c++lib/a.h").otherwise("include/a.h")
-    rows = _t(spark, d, "documents").select("doc_id", path.alias("p"), F.array_join(_coded(_HEADER_LINES)[0], "\n").alias("t"))
+    rows = _t(spark, d, "documents").select("doc_id", path.alias("p"), F.array_join(coded(_HEADER_LINES)[0], "\n").alias("t"))
     return rows.select("doc_id", headers.header_language(F.col("p"), F.col("t")).alias("language"))
 
 
@@ -105,7 +105,7 @@ _BRANCH_LINES = {"a": "#if defined(__cplusplus) || 0", "b": "#ifdef WIDE", "d":
 _START = "{'k': '', 'v': '', 'stack': '', 'wide': false, 'seen': '', 'decided': 0, 'undecided': 0}"
 
 
-@query(rf"""with l as (select doc_id, {_coded(_BRANCH_LINES)[1]} as l from documents),
+@query(rf"""with l as (select doc_id, {coded(_BRANCH_LINES)[1]} as l from documents),
   f as (select doc_id, l, list_reduce(list_prepend({_START}, list_transform(l, lambda x: {{'k': split_part(x, ' ', 1), 'v': x, 'stack': '', 'wide': false, 'seen': '', 'decided': 0, 'undecided': 0}})), lambda a, x: {{'k': '', 'v': '',
     'stack': case when x.k in ('#if', '#ifdef') then a.stack || case when regexp_matches(a.stack, '[nz]') then 'u' when contains(x.v, '||') then 'n' when contains(x.v, '&&') or (a.wide and contains(x.v, 'WIDE')) then 'a' else 'u' end
       when x.k = '#else' and a.stack <> '' then left(a.stack, length(a.stack) - 1) || translate(right(a.stack, 1), 'anz', 'zaz') when x.k = '#endif' and a.stack <> '' then left(a.stack, length(a.stack) - 1) else a.stack end,
@@ -117,18 +117,18 @@ _START = "{'k': '', 'v': '', 'stack': '', 'wide': false, 'seen': '', 'decided':
   select doc_id, sha256(array_to_string(list_transform(l, lambda x, i: case when substr(r.seen, i, 1) = '1' then x else '' end), chr(10))) as reduced, cast(r.decided as int) as decided, cast(r.undecided as int) as undecided from f""")
 def branch_reduction(spark, d):
     """Documents as C sources without the branches that cannot be."""
-    rows = _t(spark, d, "documents").select("doc_id", F.array_join(_coded(_BRANCH_LINES)[0], "\n").alias("text"))
+    rows = _t(spark, d, "documents").select("doc_id", F.array_join(coded(_BRANCH_LINES)[0], "\n").alias("text"))
     r = rows.select("doc_id", preprocess.reduced(F.col("text"), "c").alias("r"))
     return r.select("doc_id", F.sha2("r.text", 256).alias("reduced"), "r.decided", "r.undecided")
 
 
 _LINES = {"a": "#if A", "b": "# ifdef B", "e": "#else", "i": "#endif", "s": "#elif C", "d": "#ifndef D", "t": "  #endif", "o": ""}
-_LINE_SQL = f"w as (select doc_id, {_coded(_LINES)[1]} as l from documents), k as (select doc_id, unnest(l) as x, generate_subscripts(l, 1) as n from w)"
+_LINE_SQL = f"w as (select doc_id, {coded(_LINES)[1]} as l from documents), k as (select doc_id, unnest(l) as x, generate_subscripts(l, 1) as n from w)"
 
 
 def _sources(spark, d, lines=None):
     """Documents as sources, many lines directives, not always well nested."""
-    return _t(spark, d, "documents").select("doc_id", F.array_join(_coded(lines or _LINES)[0], "\n").alias("text"))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(coded(lines or _LINES)[0], "\n").alias("text"))
 
 
 def unbalanced(texts):
@@ -234,9 +234,15 @@ def macro_tally(spark, d):
 _REG_SQL = "rg(name, ord, extensions, grammar, rosetta) as (values " + ", ".join(f"('{n}', {i}, {e}, '{g}', {str(r).lower()})" for i, (n, e, g, r, _) in enumerate(languages.LANGUAGES)) + ")"
 
 
-@query(f"with {_REG_SQL}, x as (select grammar, ord, unnest(extensions) as e, generate_subscripts(extensions, 1) as i from rg) select name, (select string_agg(e, ',' order by x.ord, i) from x where x.grammar = rg.grammar) as extensions from rg")
+@query(f"""with {_REG_SQL}, x as (select grammar, ord, unnest(extensions) as e, generate_subscripts(extensions, 1) as i from rg), w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as e from documents),
+  c as (select rg.name, count(distinct doc_id) as files from rg join x using (grammar) join w on w.e = x.e group by 1)
+  select name, (select string_agg(e, ',' order by x.ord, i) from x where x.grammar = rg.grammar) as extensions, coalesce(files, 0) as files from rg left join c using (name)""")
 def extension_routing(spark, d):
-    return languages.grammar_extensions(languages.registry(spark)).select("name", F.array_join("all_extensions", ",").alias("extensions"))
+    """Each language's extensions, its grammar's dialects included, and the documents with a word that is one."""
+    known = languages.grammar_extensions(languages.registry(spark))
+    words = _t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("e"))
+    files = words.join(known.select("name", F.explode("all_extensions").alias("e")), "e").groupBy("name").agg(F.countDistinct("doc_id").alias("files"))
+    return known.join(files, "name", "left").select("name", F.array_join("all_extensions", ",").alias("extensions"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
 @query(f"""with {_REG_SQL}, c as (select distinct source as scope, 'g' || doc_id % 3 as grammar from documents where doc_id % 20 < 4), x as (select grammar, unnest(extensions) as extension from rg), cl as (select distinct regexp_extract(url, '([a-z]+)[^a-z]*$', 1) as extension from pages)

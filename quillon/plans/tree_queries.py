@@ -7,13 +7,15 @@ move some of them, so that every outcome occurs.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars
-from quillon.operators import nodes, recovery, reports, spans, trees
+from quillon.operators import mutants, nodes, recovery, reports, spans, trees
 from quillon.plans import pattern
+from quillon.plans.corpus_queries import coded
 from quillon.plans.registry import query
 from quillon.plans.registry import table as _t
 from quillon.runtime import written
@@ -302,14 +304,89 @@ def incremental_divergence(spark, d):
     return j.select("file_id", "edit", F.col("node").alias("diverged"), F.coalesce("has_error", F.lit(False)).alias("has_error"))
 
 
-_LABELS = ["delete", "duplicate", "swap", "replace"]
+#: The other reading of markup: as many end tags as tags of every name that can be closed.
+_BALANCED_SQL = f"select file_id from (select file_id, name, count(*) filter (is_open) as a, count(*) filter (is_end) as z from k6 where name not in ({VOID_SQL}) and (is_open or is_end) group by 1, 2) group by 1 having bool_and(a = z)"
+_DIRTY_SQL = "select distinct file_id from (select file_id, is_open, lead(is_end) over (partition by file_id, depth order by i) as shut from k6 where is_open or is_end) where is_open and not coalesce(shut, false)"
 
 
-@query("""with m as (select doc_id as origin, list_extract(['delete', 'duplicate', 'swap', 'replace'], cast(1 + doc_id % 4 as int)) || ' ' || substr(text, 1, 30) as label, doc_id % 3 <> 0 as accepted, quality = 1 as valid from documents join labels using (doc_id) where length(text) > 0),
-  w as (select origin, substr(label, 1, instr(label, ' ') - 1) || ' ' || substr(substr(label, instr(label, ' ') + 1), 1, 24) as signature from m where accepted and not valid), r as (select *, row_number() over (partition by signature order by origin) as r from (select distinct signature, origin from w))
+def balanced(files: DataFrame, file_id: str, text: str) -> DataFrame:
+    """(file_id, valid): what the other reading says; it has no answer for a file without tags."""
+    each = files.select(F.col(file_id).alias("file_id"), F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(<[^>]*>)"), F.lit(1))).alias("tok"))
+    each = each.withColumn("name", F.lower(F.regexp_extract("tok", "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))).where((F.col("name") != "") & ~F.col("name").isin(*nodes.VOID))
+    ends = F.col("tok").startswith("</")
+    counted = each.where(ends | ~F.col("tok").endswith("/>")).groupBy("file_id", "name").agg(F.count_if(ends).alias("z"), F.count_if(~ends).alias("a"))
+    return counted.groupBy("file_id").agg(F.bool_and(F.col("a") == F.col("z")).alias("valid"))
+
+
+#: Sentences of documents as lines of markup, tags that are left open or closed twice among them.
+_SOUP, _SOUP_LINES = coded({"a": "<li>", "b": "</li>", "d": "<p>", "e": "</p>", "i": "<b>x</b>", "s": "<br>", "t": "<i>y</i>", "o": "<p>z</p>"})
+_SOUP_SQL = f"select doc_id as file_id, array_to_string({_SOUP_LINES}, chr(10)) as html from documents"
+
+
+def soup(spark: SparkSession, d: str) -> DataFrame:
+    return written(_t(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.array_join(_SOUP, "\n").alias("html")), "soup")
+
+
+_DRAW_SQL = "(cast('0x' || substr(md5(path || '/' || mutant || '/0/WHAT'), 1, 8) as bigint) % (N))"
+_MUTANT_SQL = f"""{nodes_sql(_SOUP_SQL)}, clean as (select file_id as path, regexp_extract_all(html, '(<[^>]*>|[^<]+|<)', 1) as t from ({_SOUP_SQL}) where file_id not in ({_DIRTY_SQL})),
+  m0 as (select path, t, unnest(range(4)) as mutant from clean where len(t) >= 3),
+  m1 as (select *, list_extract(['delete', 'duplicate', 'swap', 'replace'], {_DRAW_SQL.replace('WHAT', 'kind').replace('N', '4')} + 1) as kind from m0),
+  m2 as (select *, {_DRAW_SQL.replace('WHAT', 'place').replace('(N)', "case when kind = 'swap' then len(t) - 1 else len(t) end")} + 1 as i, {_DRAW_SQL.replace('WHAT', 'other').replace('(N)', 'len(t)')} + 1 as j from m1),
+  m3 as (select path * 4 + mutant as file_id, path, kind, t, list_extract(t, i) as token, list_concat(list_concat(list_slice(t, 1, i - 1), case kind when 'delete' then [] when 'duplicate' then [t[i], t[i]] when 'swap' then [t[i + 1], t[i]] else [t[j]] end), list_slice(t, i + case when kind = 'swap' then 2 else 1 end, len(t))) as edited from m2)"""
+
+
+def _inner(sql: str) -> str:
+    """Tokens and nodes of mutants, under other names than those of pages."""
+    made = nodes_sql("select file_id, array_to_string(edited, '') as html from m3 where edited <> t")
+    for name in ("p", "k0", "k1", "k2", "k3", "k4", "k5", "k6", "n", "u", "v", "e"):
+        made = re.sub(rf"(?<![\w.'*]){name} as \(", f"x{name} as (", made)
+        made = re.sub(rf"(from|join) {name}(?!\w)", rf"\1 x{name}", made)
+    return made.replace("n.*", "xn.*").replace("v.", "xv.") + sql
+
+
+@query(f"""with {_MUTANT_SQL}, {_inner('')}, w as (select m3.path as origin, kind || ' ' || substr(token, 1, 24) as signature from m3 where edited <> t and file_id not in ({_DIRTY_SQL.replace('k6', 'xk6')}) and file_id in (select file_id from ({_BALANCED_SQL.replace('k6', 'xk6').replace('having bool_and(a = z)', 'having not bool_and(a = z)')}))),
+  r as (select *, row_number() over (partition by signature order by origin) as r from (select distinct signature, origin from w))
   select w.signature, count(*) as count, count(distinct w.origin) as files, (select string_agg(cast(r.origin as varchar), ',' order by r.origin) from r where r.signature = w.signature and r.r <= 3) as origins from w group by w.signature""")
 def mutation_widenings(spark, d):
-    """Mutants that we accept and the oracle doesn't; labels and verdicts are stand-ins from documents."""
-    label = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("doc_id") % 4 + 1).cast("int")), F.substring("text", 1, 30))
-    rows = _t(spark, d, "documents").where(F.length("text") > 0).join(_t(spark, d, "labels"), "doc_id")
-    return recovery.widenings(rows.select(F.col("doc_id").alias("origin"), label.alias("label"), (F.col("doc_id") % 3 != 0).alias("accepted"), (F.col("quality") == 1).alias("valid")))
+    """Mutants of clean texts that our reading accepts and the other one doesn't."""
+    texts = soup(spark, d)
+    dirty = nodes.nodes(nodes.markup_tokens(texts, "file_id")).where("is_missing").select(F.col("file_id").alias("path")).distinct()
+    cut = texts.select(F.col("file_id").alias("path"), F.regexp_extract_all("html", F.lit("(<[^>]*>|[^<]+|<)"), F.lit(1)).alias("tokens"))
+    made = mutants.mutants(cut.join(dirty, "path", "left_anti"), 4).select((F.col("path") * 4 + F.col("mutant")).alias("file_id"), F.col("path").alias("origin"), F.concat_ws(" ", "kind", "token").alias("label"), F.array_join("tokens", "").alias("html"))
+    made = written(made, "mutants")
+    bad = nodes.nodes(nodes.markup_tokens(made, "file_id")).where("is_missing").select("file_id").distinct().withColumn("bad", F.lit(True))
+    # a mutant without tags has nothing that could be open
+    judged = made.join(bad, "file_id", "left").join(balanced(made, "file_id", "html"), "file_id", "left")
+    return recovery.widenings(judged.select("origin", "label", F.col("bad").isNull().alias("accepted"), F.coalesce("valid", F.lit(True)).alias("valid")))
+
+
+@query(f"""with {nodes_sql(_SOUP_SQL)}, o as (select file_id, kind, start_byte, node_id, is_open, i, depth from n), miss as (
+    select o.* from o where is_open and not coalesce((select k.is_end from k6 k where k.file_id = o.file_id and k.depth = o.depth and k.i > o.i and (k.is_open or k.is_end) order by k.i limit 1), false)),
+  h as (select *, sha256(html) as sha from ({_SOUP_SQL})), dirty as ({_DIRTY_SQL}),
+  done as (select distinct sha from h where file_id % 4 = 1 and file_id not in (select file_id from dirty)), work as (select * from h where sha not in (select sha from done)),
+  valid as (select file_id, bool_and(a = z) as valid from (select file_id, name, count(*) filter (is_open) as a, count(*) filter (is_end) as z from k6 where name not in ({VOID_SQL}) and (is_open or is_end) group by 1, 2) group by 1),
+  first as (select miss.file_id, arg_min(miss.kind, node_id) as kind, min(start_byte) as pos from miss join work using (file_id) group by 1),
+  f as (select first.file_id, 'MISSING </' || kind || '>' as signature, 1 + len(regexp_extract_all(decode(unhex(substr(hex(encode(html)), 1, cast(2 * pos as int)))), '\n')) as line, valid.valid, case when valid.valid is null then 'unanswered' when valid.valid then 'gap' else 'noise' end as label from first join work using (file_id) left join valid using (file_id)),
+  hid as (select 'hidden' as signature, file_id, 0 as line, false as valid, 'hidden' as label from work join valid using (file_id) where not valid.valid and file_id not in (select file_id from dirty)),
+  x as (select signature, file_id, line, valid, label from f union all select * from hid), r as (select *, row_number() over (partition by signature order by file_id) as r from x)
+  select signature, count(*) as count, count(*) filter (label = 'gap') as gaps, count(*) filter (label = 'unanswered') as unanswered, string_agg(file_id || ':' || line, ',' order by file_id) filter (r <= 5) as examples from r group by signature""")
+def tree_sweep(spark, d):
+    """A sweep from cached passes to hidden gaps: texts whose content passed before are left out, the others are
+    read, first errors are clustered by what is missing with their lines and the other reading's verdicts, and
+    texts that only the other reading rejects are hidden."""
+    files = soup(spark, d).withColumn("sha256", F.sha2("html", 256))
+    own = written(nodes.nodes(nodes.markup_tokens(files, "file_id")).where("is_missing").select("file_id", "node_id", "kind", "start_byte"), "errors")
+    dirty = own.select("file_id").distinct()
+    passed = files.where("file_id % 4 = 1").join(dirty, "file_id", "left_anti").select("sha256").distinct()
+    _, work = reports.cached_split(files, passed)
+    first = own.groupBy("file_id").agg(F.min(F.struct("node_id", "kind", "start_byte")).alias("x")).select("file_id", "x.kind", "x.start_byte")
+    before = F.decode(F.substring(F.encode("html", "UTF-8"), F.lit(1), F.col("start_byte").cast("int")), "UTF-8")
+    failed = work.join(first, "file_id").select("file_id", F.concat(F.lit("MISSING </"), "kind", F.lit(">")).alias("signature"), (1 + F.length(F.regexp_replace(before, "[^\n]", ""))).alias("line"))
+    verdicts = balanced(work, "file_id", "html")
+    judged = reports.with_verdicts(failed, verdicts, "file_id")
+    label = F.when(F.col("unanswered"), "unanswered").when(F.col("valid"), "gap").otherwise("noise")
+    hidden = work.join(dirty, "file_id", "left_anti").join(verdicts.where("not valid"), "file_id", "left_semi").select("file_id", F.lit("hidden").alias("signature"), F.lit(0).alias("line"), F.lit("hidden").alias("label"))
+    rows = judged.select("file_id", "signature", "line", label.alias("label")).unionByName(hidden)
+    place = rows.select("signature", "label", F.coalesce(F.col("label") == "gap", F.lit(False)).alias("valid"), F.col("file_id").alias("ord"), F.concat_ws(":", F.col("file_id").cast("string"), F.col("line").cast("string")).alias("path"))
+    unanswered = rows.groupBy("signature").agg(F.count_if(F.col("label") == "unanswered").alias("unanswered"))
+    return reports.clusters(place).join(unanswered, "signature").select("signature", "count", F.col("valid").alias("gaps"), "unanswered", "examples")
