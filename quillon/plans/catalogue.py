@@ -14,6 +14,7 @@ from quillon.functions import paths, scalars
 from quillon.operators import reports, rules
 from quillon.plans.registry import ORACLE, QUERIES, query
 from quillon.plans.registry import table as _t
+from quillon.runtime import written
 from quillon.sources import sinks
 
 BAD = "[^0-9#@%*|=<>{}]"
@@ -218,10 +219,60 @@ def supertype_closure(spark, d):
     return rules.closure(first.union(second).distinct())
 
 
-@query("select * from (values ('1', '_thing'), ('1b-i', '_scope'), ('1b-ii', '_scope'), ('1b-iv', '_scope'), ('5a', '_odd'), ('5b', '_string'), ('3', 'ghost'), ('2a', 'lost'), ('2b', 'call'), ('2c', 'nowhere'), ('0', '9')) t(rule, subject)")
+_TIERS = (*rules.TABLE_TERMS, "_thing", "_other")
+_FACETS = (*rules.FACET_TERMS, *rules.EITHER_TIER, "_strange")
+_DEMOTED = (*rules.EITHER_TIER, "_scope", "_literal")
+
+
+def _pick(names: tuple[str, ...], number: str) -> str:
+    """The name at ``number`` (SQL that both engines read), counted around."""
+    return f"case ({number}) % {len(names)} " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(names)) + " end"
+
+
+_KIND = "concat(lower(c_mktsegment), '_', c_nationkey % 10)"
+#: What customers, suppliers and nations say as a grammar's kinds, tiers and roles.
+_ROLES = {
+    "named": f"select distinct {_KIND} as x from customer where c_custkey % 3 <> 1 union select {_pick(_TIERS, 'n_nationkey')} from nation",
+    "subtypes": f"select distinct {_pick(_TIERS, 'c_nationkey')} as supertype, case when c_custkey % 10 = 0 then {_pick(_TIERS, 'c_nationkey * 7 + 6')} else {_KIND} end as subtype from customer where c_custkey % 5 = 0 and c_nationkey < 20",
+    "facets": f"select distinct {_pick(_FACETS, 's_nationkey')} as facet, case when s_nationkey % 11 <> 3 then concat('building_', s_suppkey % 12) end as x from supplier",
+    "demoted": f"select {_pick(_DEMOTED, 'n_nationkey')} as x, case when n_regionkey = 2 then ' ' else n_name end as why from nation where n_nationkey < 5",
+    "uncategorised": "select concat('household_', n_nationkey % 12) as x, case when n_regionkey <> 1 then n_name end as why from nation where n_nationkey < 14",
+}
+_NOT_IN = lambda what, other: f"not exists (select 1 from {other} o where o.x = {what}.x)"
+_NAMES = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+@query(f"""with recursive {", ".join(f"{k} as ({v})" for k, v in _ROLES.items())}, sup as (select distinct supertype as x from subtypes),
+  reach(start, reached) as (select distinct n, n from (select supertype as n from subtypes union select subtype from subtypes) union select r.start, s.subtype from reach r join subtypes s on r.reached = s.supertype),
+  covered as (select reached as x from reach where start in (select x from sup) union select x from facets where x is not null),
+  keys as (select distinct facet as x from facets), pairs(i, o) as (values {", ".join(f"('{i}', '{o}')" for i, o in rules.CONTAINMENTS)}),
+  bad as (select i, o from pairs where i in (select x from sup) and o in (select x from sup) and not exists (select 1 from reach where start = o and reached = i)
+    and (not exists (select 1 from reach where start = i and reached <> i) or exists (select 1 from reach a where a.start = i and a.reached <> i and not exists (select 1 from reach b where b.start = o and b.reached = a.reached))))
+  select '0' as rule, 'older' as subject
+  union all select '1', x from sup where x not in {_NAMES(rules.TABLE_TERMS)}
+  union all select '1b-i', x from demoted where x not in {_NAMES(rules.EITHER_TIER)}
+  union all select '1b-ii', x from demoted where trim(coalesce(why, '')) = ''
+  union all select '1b-iii', x from demoted where x in (select x from sup)
+  union all select '1b-iv', x from demoted where {_NOT_IN("demoted", "keys")}
+  union all select '5a', x from keys where x not in {_NAMES(rules.FACET_TERMS)} and {_NOT_IN("keys", "demoted")}
+  union all select '5b', x from keys where not exists (select 1 from facets f where f.facet = keys.x and f.x is not null)
+  union all select '3', x from facets where x is not null and {_NOT_IN("facets", "named")}
+  union all select '4', i || '/' || o from bad
+  union all select '2a', x from named where {_NOT_IN("named", "sup")} and {_NOT_IN("named", "covered")} and {_NOT_IN("named", "uncategorised")}
+  union all select '2b', x from uncategorised where x in (select x from covered)
+  union all select '2c', x from uncategorised where {_NOT_IN("uncategorised", "named")}
+  union all select '2c', x from uncategorised where trim(coalesce(why, '')) = ''""")
 def roles_findings(spark, d):
-    m = rules.Manifest("9", {"_callable": ["call", "ghost"], "_odd": ["call"], "_string": []}, {"_scope": " "}, [("call", "why"), ("nowhere", "why")])
-    return rules.findings(spark, m, ["_expression", "_thing", "call", "number", "lost"], {"_expression": ["call", "number"], "_thing": []})
+    """The roles rules over a catalogue of kinds, tiers and roles that the tables make up."""
+    tables = {t: _t(spark, d, t) for t in ("customer", "supplier", "nation")}
+    said = {}
+    for k, v in _ROLES.items():
+        own = {t: x for t, x in tables.items() if f"from {t}" in v}
+        for t in own:
+            v = v.replace(f"from {t}", f"from {{{t}}}")
+        said[k] = written(spark.sql(v, **own), k)
+    supertypes = said["subtypes"].select(F.col("supertype").alias("x")).distinct()
+    return rules.broken("older", said["named"], supertypes, said["subtypes"], said["facets"], said["demoted"], said["uncategorised"])
 
 
 @query(f"""with {FAIL_SQL}, x as (select cast(strlen(prefix) as bigint) as a, cast(strlen(regexp_extract(text, '^([^0-9|]*)[0-9|]', 1)) as bigint) as b, regexp_matches(text, '[0-9|]') as ok from f), y as (select a - b as delta from x where ok),
