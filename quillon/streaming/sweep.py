@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.streaming import StreamingQuery
 
+from quillon.runtime import ship
+
 RESULTS = "path string, sha256 string, signature string, valid boolean, at timestamp"
 
 
@@ -42,3 +48,53 @@ def write(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append",
     if mode == "complete":
         return out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(folder)).start()
     return out.format("parquet").option("path", folder).start()
+
+
+#: Files to be judged, and what became of them; skipped: the content passed before under the same fingerprint.
+WORK = "path string, sha256 string, text string, fingerprint string"
+JUDGED = "path string, sha256 string, fingerprint string, signature string, skipped boolean"
+
+
+class _Passed(StatefulProcessor):
+    """State of a content: the fingerprint of the grammar under which it passed last."""
+
+    def __init__(self, judge: Callable[[str], str | None]):
+        self.judge = judge
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.passed = handle.getValueState("passed", "fingerprint string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known = self.passed.get()[0] if self.passed.exists() else None
+        failed: dict[str, str] = {}
+        for part in rows:
+            out = []
+            for path, sha, text, fingerprint in zip(part["path"], part["sha256"], part["text"], part["fingerprint"]):
+                skipped = known is not None and known == fingerprint
+                if not skipped and fingerprint not in failed:
+                    found = self.judge(text or "")
+                    if found is None:
+                        known = fingerprint
+                        self.passed.update((fingerprint,))
+                    else:
+                        failed[fingerprint] = found
+                        if known is not None:  # what passed under another grammar is no pass any more
+                            known = None
+                            self.passed.clear()
+                out.append((path, sha, fingerprint, failed.get(fingerprint), skipped))
+            yield pd.DataFrame(out, columns=["path", "sha256", "fingerprint", "signature", "skipped"])
+
+    def close(self) -> None:
+        pass
+
+
+def judged(work: DataFrame, judge: Callable[[str], str | None]) -> DataFrame:
+    """``JUDGED`` rows of a stream of ``WORK``: content that passed under the same fingerprint is skipped, failures
+    are judged again when they come again, and a new fingerprint starts anew.
+
+    ``judge`` gives a text's failure signature, or None for a pass; it is asked once for each content and
+    fingerprint of a batch, however many files share them.  The state is one row a content that passed; it
+    is kept by RocksDB and comes back from the checkpoint.
+    """
+    ship(work.sparkSession)
+    return work.groupBy("sha256").transformWithStateInPandas(_Passed(judge), JUDGED, "Append", "None")
