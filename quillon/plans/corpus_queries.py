@@ -70,8 +70,8 @@ def resolver_urls(spark, d):
 
 
 def coded(lines: dict[str, str]):
-    """Lines made of a document's sentences, as an expression and as SQL: a sentence that begins with one of
-    the letters of ``lines`` becomes that line, others stay without signs that mean something in sources."""
+    """Lines made of a document's sentences: one that begins with one of the letters of ``lines`` becomes that
+    line, others stay without signs that mean something in sources."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z. ]", " ")
 
     def one(x):
@@ -80,15 +80,19 @@ def coded(lines: dict[str, str]):
             out = F.when(first == k, v).otherwise(out)
         return out
 
+    return F.transform(F.split(text, r"\. "), one)
+
+
+def coded_sql(lines: dict[str, str]) -> str:
+    """The same in SQL."""
     case = " ".join(f"when lower(substr(ltrim(x), 1, 1)) = '{k}' then '{v}'" for k, v in lines.items())
-    sql = f"list_transform(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z. ]', ' ', 'g'), '. '), lambda x: case {case} else x end)"
-    return F.transform(F.split(text, r"\. "), one), sql
+    return f"list_transform(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z. ]', ' ', 'g'), '. '), lambda x: case {case} else x end)"
 
 
 _HEADER_LINES = {"a": "#ifdef __cplusplus", "e": "#endif", "d": "class D;", "i": "/* open", "b": "close */", "s": "#if B", "t": "#else", "o": "class E;", "h": "// class F"}
 
 
-@query(f"""with l as (select doc_id, n_chars, list_transform({coded(_HEADER_LINES)[1]}, lambda x: {{'k': x, 'stack': '', 'inside': false, 'found': false}}) as l from documents),
+@query(f"""with l as (select doc_id, n_chars, list_transform({coded_sql(_HEADER_LINES)}, lambda x: {{'k': x, 'stack': '', 'inside': false, 'found': false}}) as l from documents),
   f as (select doc_id, n_chars, list_reduce(list_prepend({{'k': '', 'stack': '', 'inside': false, 'found': false}}, l), lambda a, x: {{'k': '',
     'stack': case when a.inside then a.stack when x.k = '#ifdef __cplusplus' then a.stack || 'g' when x.k = '#if B' then a.stack || 'o' when x.k = '#endif' and a.stack <> '' then left(a.stack, length(a.stack) - 1) else a.stack end,
     'inside': case when a.inside then x.k <> 'close */' else x.k = '/* open' end,
@@ -97,7 +101,7 @@ _HEADER_LINES = {"a": "#ifdef __cplusplus", "e": "#endif", "d": "class D;", "i":
 def header_partition(spark, d):
     """Shared headers: unguarded text that only C++ has, or a folder of its name."""
     path = F.when(F.col("n_chars") % 9 == 4, "include/C++/a.h").when(F.col("n_chars") % 9 == 5, "c++lib/a.h").otherwise("include/a.h")
-    rows = _t(spark, d, "documents").select("doc_id", path.alias("p"), F.array_join(coded(_HEADER_LINES)[0], "\n").alias("t"))
+    rows = _t(spark, d, "documents").select("doc_id", path.alias("p"), F.array_join(coded(_HEADER_LINES), "\n").alias("t"))
     return rows.select("doc_id", headers.header_language(F.col("p"), F.col("t")).alias("language"))
 
 
@@ -105,7 +109,7 @@ _BRANCH_LINES = {"a": "#if defined(__cplusplus) || 0", "b": "#ifdef WIDE", "d":
 _START = "{'k': '', 'v': '', 'stack': '', 'wide': false, 'seen': '', 'decided': 0, 'undecided': 0}"
 
 
-@query(rf"""with l as (select doc_id, {coded(_BRANCH_LINES)[1]} as l from documents),
+@query(rf"""with l as (select doc_id, {coded_sql(_BRANCH_LINES)} as l from documents),
   f as (select doc_id, l, list_reduce(list_prepend({_START}, list_transform(l, lambda x: {{'k': split_part(x, ' ', 1), 'v': x, 'stack': '', 'wide': false, 'seen': '', 'decided': 0, 'undecided': 0}})), lambda a, x: {{'k': '', 'v': '',
     'stack': case when x.k in ('#if', '#ifdef') then a.stack || case when regexp_matches(a.stack, '[nz]') then 'u' when contains(x.v, '||') then 'n' when contains(x.v, '&&') or (a.wide and contains(x.v, 'WIDE')) then 'a' else 'u' end
       when x.k = '#else' and a.stack <> '' then left(a.stack, length(a.stack) - 1) || translate(right(a.stack, 1), 'anz', 'zaz') when x.k = '#endif' and a.stack <> '' then left(a.stack, length(a.stack) - 1) else a.stack end,
@@ -117,18 +121,18 @@ _START = "{'k': '', 'v': '', 'stack': '', 'wide': false, 'seen': '', 'decided':
   select doc_id, sha256(array_to_string(list_transform(l, lambda x, i: case when substr(r.seen, i, 1) = '1' then x else '' end), chr(10))) as reduced, cast(r.decided as int) as decided, cast(r.undecided as int) as undecided from f""")
 def branch_reduction(spark, d):
     """Documents as C sources without the branches that cannot be."""
-    rows = _t(spark, d, "documents").select("doc_id", F.array_join(coded(_BRANCH_LINES)[0], "\n").alias("text"))
+    rows = _t(spark, d, "documents").select("doc_id", F.array_join(coded(_BRANCH_LINES), "\n").alias("text"))
     r = rows.select("doc_id", preprocess.reduced(F.col("text"), "c").alias("r"))
     return r.select("doc_id", F.sha2("r.text", 256).alias("reduced"), "r.decided", "r.undecided")
 
 
 _LINES = {"a": "#if A", "b": "# ifdef B", "e": "#else", "i": "#endif", "s": "#elif C", "d": "#ifndef D", "t": "  #endif", "o": ""}
-_LINE_SQL = f"w as (select doc_id, {coded(_LINES)[1]} as l from documents), k as (select doc_id, unnest(l) as x, generate_subscripts(l, 1) as n from w)"
+_LINE_SQL = f"w as (select doc_id, {coded_sql(_LINES)} as l from documents), k as (select doc_id, unnest(l) as x, generate_subscripts(l, 1) as n from w)"
 
 
 def _sources(spark, d, lines=None):
     """Documents as sources, many lines directives, not always well nested."""
-    return _t(spark, d, "documents").select("doc_id", F.array_join(coded(lines or _LINES)[0], "\n").alias("text"))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(coded(lines or _LINES), "\n").alias("text"))
 
 
 def unbalanced(texts):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.functions import scalars
 from quillon.operators import mutants, nodes, recovery, reports, spans, trees
 from quillon.plans import pattern
-from quillon.plans.corpus_queries import coded
+from quillon.plans.corpus_queries import coded, coded_sql
 from quillon.plans.registry import query
 from quillon.plans.registry import table as _t
 from quillon.runtime import written
@@ -319,12 +319,12 @@ def balanced(files: DataFrame, file_id: str, text: str) -> DataFrame:
 
 
 #: Sentences of documents as lines of markup, tags that are left open or closed twice among them.
-_SOUP, _SOUP_LINES = coded({"a": "<li>", "b": "</li>", "d": "<p>", "e": "</p>", "i": "<b>x</b>", "s": "<br>", "t": "<i>y</i>", "o": "<p>z</p>"})
-_SOUP_SQL = f"select doc_id as file_id, array_to_string({_SOUP_LINES}, chr(10)) as html from documents"
+_SOUP = {"a": "<li>", "b": "</li>", "d": "<p>", "e": "</p>", "i": "<b>x</b>", "s": "<br>", "t": "<i>y</i>", "o": "<p>z</p>"}
+_SOUP_SQL = f"select doc_id as file_id, array_to_string({coded_sql(_SOUP)}, chr(10)) as html from documents"
 
 
 def soup(spark: SparkSession, d: str) -> DataFrame:
-    return written(_t(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.array_join(_SOUP, "\n").alias("html")), "soup")
+    return written(_t(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.array_join(coded(_SOUP), "\n").alias("html")), "soup")
 
 
 _DRAW_SQL = "(cast('0x' || substr(md5(path || '/' || mutant || '/0/WHAT'), 1, 8) as bigint) % (N))"

@@ -45,3 +45,15 @@ def test_thin_kinds_beyond_twenty(spark, tmp_path):
     spark.createDataFrame([(i, f"http://h/{i}", f"<x{i}>t</x{i}>") for i in range(30)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.kind for r in catalogue.QUERIES["thin_kinds"](spark, str(tmp_path)).collect()}
     assert {f"x{i}" for i in range(30)} <= got
+
+
+def test_registers_without_a_session():
+    """Importing the queries asks for no Spark session."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True)
+    n, m = map(int, done.stdout.split())
+    assert n >= m >= len(catalogue.ORACLE)
