@@ -43,6 +43,8 @@ BLOCK, MEMBERS = 200_000, 2000
 PARTNERS = 2
 #: Pairs whose registers are judged at once.
 PAIRS = 200_000
+#: Pairs that are Python numbers at once.
+STRETCH = 1 << 16
 #: Documents without an id are nodes from here on.
 NO_ID = 1 << 62
 
@@ -251,12 +253,13 @@ def _across(members: DataFrame, docs: DataFrame, percent: int, least: float, key
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         x, y = map(np.concatenate, zip(*likely))
         mark, now, common = np.zeros(len(code) and code.max() + 1, dtype=bool), -1, np.zeros(len(x), np.int64)
-        for k, (s, t) in enumerate(zip(x.tolist(), y.tolist())):
-            if s != now:
-                mark[:] = False
-                mark[code[first[s] : first[s + 1]]] = True
-                now = s
-            common[k] = mark[code[first[t] : first[t + 1]]].sum()
+        for lo in range(0, len(x), STRETCH):  # a stretch of pairs at a time as Python numbers
+            for k, (s, t) in enumerate(zip(x[lo : lo + STRETCH].tolist(), y[lo : lo + STRETCH].tolist()), lo):
+                if s != now:
+                    mark[:] = False
+                    mark[code[first[s] : first[s + 1]]] = True
+                    now = s
+                common[k] = mark[code[first[t] : first[t + 1]]].sum()
         linked = 100 * common >= percent * (n[x] + n[y] - common)
         return pd.DataFrame({"a": node[x[linked]], "b": node[y[linked]]})
 
