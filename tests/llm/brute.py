@@ -139,6 +139,22 @@ def grams(text):
     return out
 
 
+def language_scores(texts, labelled, k=300):
+    """Closeness of each text to the nearest profile of the labelled (text, lang) rows; None without a letter."""
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:k]]
+    seen = defaultdict(Counter)
+    for t, lang in labelled:
+        if t is not None and lang is not None:
+            seen[lang].update(grams(t))
+    ranks = [{g: r for r, g in enumerate(top(c))} for c in seen.values()]
+    out = []
+    for t in texts:
+        own = top(grams(t or ""))
+        far = [sum(min(k, abs(p[g] - r)) if g in p else k for r, g in enumerate(own)) for p in ranks]
+        out.append(1 - min(far) / (k * len(own)) if own else None)
+    return out
+
+
 def lm(texts, learnt, discount, steps):
     """(tokens, known, base score, score) of each text by counts of all triples of ``learnt``."""
     tok = lambda t: [*SPACED.findall((t or "").translate(A_Z)), "\n"]

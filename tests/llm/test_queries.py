@@ -18,7 +18,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 
@@ -102,7 +102,8 @@ def test_pipeline(spark, duck, documents):
     """All stages over the whole table, each by its plain version."""
     import corpus_pipeline as c
 
-    rows = [(i, t) for i, t, _ in documents if any(ch.isalpha() for ch in t or "")]
+    scores = brute.language_scores([t for _, t, _ in documents], [(t, lang) for _, t, lang in documents])
+    rows = [(i, t) for (i, t, _), s in zip(documents, scores) if s is not None and s >= c.IN_NONE]
     rows = [r for r, (i, _, component) in zip(rows, brute.components(rows, c.NEAR)) if i == component]
     kept = []
     for (i, t), (_, n, gone, _) in zip(rows, brute.substrings(rows)):
