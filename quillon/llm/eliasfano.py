@@ -1,8 +1,11 @@
 """Elias-Fano sequences over numpy arrays that may be memory-mapped.
 
 A non-decreasing sequence of 64-bit numbers is split into low bits, kept as whole bytes, and high
-parts, kept in unary: number i is the one at place high + i of a bit vector.  One directory entry
-for each 256 bits makes both kinds of places (of the k-th one, of the k-th zero) quick to find.
+parts, kept in unary: number i is the one at place high + i of a bit vector.  Two directories with an
+entry for each 256 bits make both kinds of places (of the k-th one, of the k-th zero) quick to find.
+
+Sequences with equal numbers of low bits that stand behind each other are one sequence, too: each
+one's high parts begin at the zeros before it.
 """
 
 from __future__ import annotations
@@ -18,17 +21,23 @@ _01, _33, _55, _0F, _80 = (U(int(x * 8, 16)) for x in ("01", "33", "55", "0f", "
 _IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], dtype=np.int64)
 
 
-def arrays(v: np.ndarray) -> dict[str, np.ndarray]:
-    """The parts of a sequence: bits (unary), ones (directory), low8/low16 (low bits), meta."""
+def low_bits(n: int, top: int) -> int:
+    """Low bits that take least room for ``n`` numbers up to ``top``."""
+    return min(range(0, 64, 8), key=lambda b: n * b + (top >> b))
+
+
+def arrays(v: np.ndarray, bits: int | None = None) -> dict[str, np.ndarray]:
+    """The parts of a sequence: bits (unary), ones and zeros (directories), low8/low16 (low bits), meta."""
     n, top = len(v), int(v[-1]) if len(v) else 0
-    bits = min(range(0, 64, 8), key=lambda b: n * b + (top >> b))
+    bits = low_bits(n, top) if bits is None else bits
     high = (v >> U(bits)).astype(np.int64)
     places = n + (top >> bits) + 1
     unary = np.zeros((places + BLOCK - 1) // BLOCK * BLOCK + BLOCK, dtype=np.uint8)
     unary[high + np.arange(n)] = 1
     words = np.packbits(unary, bitorder="little").view(np.uint64)
     each = np.bitwise_count(words).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
-    out = {"bits": words, "ones": np.concatenate([[0], np.cumsum(each)[:-1]]).astype(np.int64), "meta": np.array([n, bits, top >> bits], dtype=np.int64)}
+    ones = np.concatenate([[0], np.cumsum(each)[:-1]]).astype(np.int64)
+    out = {"bits": words, "ones": ones, "zeros": np.arange(len(ones), dtype=np.int64) * BLOCK - ones, "meta": np.array([n, bits, top >> bits], dtype=np.int64)}
     for k in range(0, bits, 16):
         part = v >> U(k)
         out[f"low{k}"] = part.astype(np.uint16) if bits - k >= 16 else part.astype(np.uint8)
@@ -48,7 +57,7 @@ def _in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 class EliasFano:
     def __init__(self, parts: dict[str, np.ndarray]):
-        self.unary, self.ones = parts["bits"], parts["ones"]
+        self.unary, self.ones, self.zeros = parts["bits"], parts["ones"], parts["zeros"]
         self.n, self.bits, self.top = (int(x) for x in parts["meta"])
         self.low = [(U(k), parts[f"low{k}"]) for k in range(0, self.bits, 16)]
 
@@ -60,7 +69,7 @@ class EliasFano:
 
     def _place(self, k: np.ndarray, zeros: bool) -> np.ndarray:
         """Place of one (or zero) number k."""
-        before = np.arange(len(self.ones), dtype=np.int64) * BLOCK - self.ones if zeros else self.ones
+        before = self.zeros if zeros else self.ones
         block = np.searchsorted(before, k, "right") - 1
         left = k - before[block]
         words = self.unary.reshape(-1, 4)[block]

@@ -18,15 +18,20 @@ so independent of frequency; a word with more than a quarter of that has segment
 by the second word's id.  Tasks send counts as packed sorted arrays, one for each segment they met;
 a segment's builder merges them as they come, so copies of a passage meet as one entry.
 
-Segments are files under ``spark.checkpoint.dir``, which must be mounted (a ``file:`` path) on all
+Segments are built one by one, but stand behind each other in at most ``FILES`` volumes whose
+sequences go on from segment to segment: what a group of texts costs to score doesn't grow with the
+number of segments.
+
+Levels are files under ``spark.checkpoint.dir``, which must be mounted (a ``file:`` path) on all
 machines; each is written aside and renamed, so a repeated task leaves the same one.  Workers map
-the segments instead of reading them.
+the files instead of reading them.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.eliasfano import EliasFano, arrays
+from quillon.llm.eliasfano import EliasFano, arrays, low_bits
 from quillon.llm.shared import frugal, gathered, shared_dir
 from quillon.llm.text import Words, mix, slices
 
@@ -52,8 +57,10 @@ SEGMENT = 1 << 20
 GROUP, CHUNK = 4 << 20, 1 << 19
 #: Distinct words whose counts a task holds before it sends them on.
 HOLD = 1 << 19
-#: Segments that a worker keeps mapped.
-OPEN = 4096
+#: Counted triples, copies of a passage included, that a task holds before it sends them on.
+HOLD3 = 3 << 19
+#: Files of level 1, and volumes of levels 2 and 3.
+FILES = 64
 NONE = (1 << 32) - 1
 _P = 10.0 ** (-np.arange(256) / STEPS)
 
@@ -98,16 +105,95 @@ class Segment:
         return self.known[name]
 
 
+class Chain:
+    """Writes a volume: each array is a file of its folder, and segments are appended to all of them.
+
+    ``index`` says of each segment where its rows of a plain array, or its numbers of a coded sequence, start,
+    and of the latter what is added to them (``shift``).
+    """
+
+    def __init__(self, path: str, bits: dict[str, int]):
+        self.path, self.aside, self.bits = path, f"{os.path.dirname(path)}/.{uuid.uuid4().hex}", bits
+        os.makedirs(self.aside)
+        self.rows: dict[str, int] = {}
+        self.index: dict[str, list[int]] = {"part": []}
+        self.meta: dict[str, np.ndarray] = {}
+
+    def _append(self, name: str, v: np.ndarray) -> int:
+        at = self.rows.get(name, 0)
+        with open(f"{self.aside}/{name}{v.dtype.str[1:]}", "ab") as f:
+            f.write(np.ascontiguousarray(v).data)
+        self.rows[name] = at + len(v)
+        return at
+
+    def add(self, part: int, coded: dict[str, np.ndarray], plain: dict[str, np.ndarray]) -> None:
+        self.index["part"].append(part)
+        for k, v in plain.items():
+            self.index.setdefault(k, []).append(self._append(k, v))
+        for k, v in coded.items():
+            found = arrays(v.astype(np.uint64), self.bits[k])
+            n, bits, top = (int(x) for x in found.pop("meta"))
+            ones, places = int(self.meta[k][0]) if k in self.meta else 0, self.rows.get(f"{k}.bits", 0) * 64
+            zeros = places - ones
+            found["ones"] += ones
+            found["zeros"] += zeros
+            for x, y in found.items():
+                self._append(f"{k}.{x}", y)
+            self.meta[k] = np.array([ones + n, bits, zeros + top], dtype=np.int64)
+            self.index.setdefault(k, []).append(ones)
+            self.index.setdefault(f"{k}.shift", []).append(zeros << bits)
+
+    def close(self) -> None:
+        for k, v in self.meta.items():
+            self._append(f"{k}.meta", v)
+        for k, v in self.index.items():
+            self._append(f"of.{k}", np.array(v, dtype=np.int64))
+        try:
+            os.rename(self.aside, self.path)
+        except OSError:  # a task before this one has left the same
+            if not os.path.isdir(self.path):
+                raise
+            shutil.rmtree(self.aside)
+
+
+class Volume:
+    """What a ``Chain`` has written, mapped."""
+
+    def __init__(self, path: str):
+        self.known: dict[str, EliasFano] = {}
+        self.parts: dict[str, np.ndarray] = {}
+        for e in os.scandir(path):
+            kind = np.dtype("<" + e.name[-2:])
+            v = np.memmap(e.path, dtype=kind, mode="r").view(np.ndarray) if e.stat().st_size else np.zeros(0, kind)
+            self.parts[e.name[:-2]] = v
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.parts[name]
+
+    def coded(self, name: str) -> EliasFano:
+        if name not in self.known:
+            self.known[name] = EliasFano({k.split(".")[1]: v for k, v in self.parts.items() if k.startswith(name + ".")})
+        return self.known[name]
+
+    def of(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of ``part`` that have a segment here, its number)."""
+        have = self["of.part"]
+        j = np.minimum(np.searchsorted(have, part), len(have) - 1)
+        there = np.flatnonzero(have[j] == part)
+        return there, j[there]
+
+
 def _coded(name: str, v: np.ndarray) -> dict[str, np.ndarray]:
     return {f"{name}.{k}": x for k, x in arrays(v.astype(np.uint64)).items()}
 
 
 @dataclass
 class Model:
-    """folder: the segments; total: training tokens; size: distinct ones.
+    """folder: the levels; total: training tokens; size: distinct ones.
 
-    word_base: ids before each segment of level 1; cold: segments of words that are not hot; hot:
-    ids of split words, with the first and the number of their segments and their back-off weight.
+    word_base: ids before each file of level 1; cold: segments of words that are not hot; hot:
+    ids of split words, with the first and the number of their segments and their back-off weight;
+    volumes: their number; built: those that hold any segment.
     """
 
     folder: str
@@ -120,21 +206,29 @@ class Model:
     hot_parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     hot_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     hot_rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    volumes: int = 1
     built: set[int] = field(default_factory=set)
 
     def __post_init__(self):
-        self._mapped: dict[str, Segment] = {}
+        self._mapped: dict[str, Segment | Volume] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_mapped": {}}
 
-    def segment(self, name: str) -> Segment:
+    def segment(self, name: str) -> Segment | Volume:
         if name not in self._mapped:
-            if len(self._mapped) >= OPEN:
-                self._mapped.clear()
-            self._mapped[name] = Segment(f"{self.folder}/{name}")
+            self._mapped[name] = (Segment if name.startswith("1-") else Volume)(f"{self.folder}/{name}")
         return self._mapped[name]
 
+    @property
+    def parts(self) -> int:
+        """Segments of levels 2 and 3."""
+        return self.cold + int(self.hot_parts.sum())
+
+    def volume(self, part: np.ndarray | int) -> np.ndarray | int:
+        """The volume that holds a segment: adjoining ones share it."""
+        return part * self.volumes // self.parts
+
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of sorted word keys; -1 and 0 where unknown."""
         ids, counts = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
@@ -164,36 +258,41 @@ class Model:
             part[at] = self.hot_first[j] + b[at] * self.hot_parts[j] // self.size
         return part
 
-    def contexts(self, part: int) -> tuple[int, int]:
-        """The words (first, number) whose successors segment ``part`` holds."""
-        if part < self.cold:
-            lo, hi = (-(-i * self.size // self.cold) for i in (part, part + 1))
-            return lo, hi - lo
-        return int(self.hot[np.searchsorted(self.hot_first, part, "right") - 1]), 1
+    def contexts(self, part: np.ndarray) -> np.ndarray:
+        """The first word whose successors each segment holds."""
+        lo = -(-part * self.size // self.cold)
+        at = np.flatnonzero(part >= self.cold)
+        lo[at] = self.hot[np.searchsorted(self.hot_first, part[at], "right") - 1] if len(at) else 0
+        return lo
 
-    def by_part(self, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each segment that was built, with the places of its rows in ``part``."""
+    def by_volume(self, part: np.ndarray) -> Iterator[tuple[Volume, np.ndarray, np.ndarray]]:
+        """Each volume met, with the places of its rows in ``part``, by segment, and their segments' numbers there;
+        rows without a segment that was built don't occur."""
         order = np.argsort(part, kind="stable")
-        edge = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+        file = self.volume(part[order])
+        edge = np.flatnonzero(np.diff(file, prepend=-1, append=-1))
         for lo, hi in zip(edge, edge[1:]):
-            if (p := int(part[order[lo]])) in self.built:
-                yield p, order[lo:hi]
+            if (i := int(file[lo])) in self.built:
+                volume = self.segment(f"2-{i}")
+                there, j = volume.of(part[order[lo:hi]])
+                if len(there):
+                    yield volume, order[lo:hi][there], j
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(part, place, probability, rest) of sorted pairs of ids: where the pair stands (-1: nowhere), its
-        discounted probability (0: none) and the weight of the lower order after ``a``."""
+        """(part, place, probability, rest) of sorted pairs of ids: where the pair stands in its volume (-1:
+        nowhere), its discounted probability (0: none) and the weight of the lower order after ``a``."""
         part, place = self.part_of(a, b), np.full(len(a), -1, dtype=np.int64)
         p, rest = np.zeros(len(a)), np.ones(len(a))
-        for i, rows in self.by_part(part):
-            seg, (lo, _) = self.segment(f"2-{i}"), self.contexts(i)
-            rel = a[rows] - lo
-            asked, which = np.unique(rel, return_inverse=True)
-            first, end = seg.coded("ptr2").two(asked)
-            at = seg.coded("key2").find((rel * self.size + b[rows]).astype(np.uint64), first[which], end[which])
+        for seg, rows, j in self.by_volume(part):
+            rel = a[rows] - self.contexts(part[rows])
+            asked, which = np.unique(seg["of.ptr2"][j] + rel, return_inverse=True)
+            move = seg["of.key2"][j] - seg["of.ptr2.shift"][j]
+            first, end = (x[which] + move for x in seg.coded("ptr2").two(asked))
+            at = seg.coded("key2").find((rel * self.size + b[rows] + seg["of.key2.shift"][j]).astype(np.uint64), first, end)
             place[rows] = at
             found = at >= 0
             p[rows[found]] = _P[seg["prob2"][at[found]]]
-            rest[rows] = _P[seg["rest1"][rel]]
+            rest[rows] = _P[seg["rest1"][seg["of.rest1"][j] + rel]]
         if len(self.hot):
             j = np.minimum(np.searchsorted(self.hot, a), len(self.hot) - 1)
             rest = np.where(self.hot[j] == a, self.hot_rest[j], rest)
@@ -203,11 +302,13 @@ class Model:
         """(probability, rest) of words ``c`` after pairs at the given places: discounted (0: none), and
         the weight of the lower order."""
         p, rest = np.zeros(len(c)), np.ones(len(c))
-        for i, rows in self.by_part(part):
-            seg, at = self.segment(f"2-{i}"), place[rows]
-            first, end = seg.coded("ptr3").two(at)
+        for seg, rows, j in self.by_volume(part):
+            at = place[rows]
+            rel = at - seg["of.key2"][j]
+            move = seg["of.key3"][j] - seg["of.ptr3.shift"][j]
+            first, end = (x + move for x in seg.coded("ptr3").two(seg["of.ptr3"][j] + rel))
             known = c[rows] >= 0
-            found = seg.coded("key3").find((at * self.size + c[rows])[known].astype(np.uint64), first[known], end[known])
+            found = seg.coded("key3").find((rel * self.size + c[rows] + seg["of.key3.shift"][j])[known].astype(np.uint64), first[known], end[known])
             there = found >= 0
             p[rows[known][there]] = _P[seg["prob3"][found[there]]]
             rest[rows] = _P[seg["rest2"][at]]
@@ -283,9 +384,9 @@ def _merged_triples(found: list[list[np.ndarray]]) -> list[np.ndarray]:
 
 
 def _dealt(rows: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, blob) with those of a part together, in order, in one task of few parts."""
-    tasks = max(1, min(parts, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return rows.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
+    """Rows (part, blob) with those of a part together, in order, in one task of adjoining parts."""
+    tasks = min(parts, FILES)
+    return rows.repartitionById(tasks, F.floor(F.col("part").cast("long") * tasks / parts).cast("int")).sortWithinPartitions("part")
 
 
 def train(docs: DataFrame, text: str = "text", segment: int | None = None) -> Model:
@@ -298,7 +399,7 @@ def train(docs: DataFrame, text: str = "text", segment: int | None = None) -> Mo
     folder = f"{place.path}/trie-{uuid.uuid4().hex}"
     os.makedirs(folder)
     texts = docs.select(F.col(text))
-    word_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    word_parts = min(FILES, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def blobs(part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
         edge = np.append(_runs(part), len(part))
@@ -333,10 +434,20 @@ def train(docs: DataFrame, text: str = "text", segment: int | None = None) -> Mo
     total = sum(r.total for r in said)
     cold, split = -(-total // segment), np.array([-(-4 * n // segment) for _, n in hot], dtype=np.int64)
     model = Model(folder, base, total, int(base[-1]), cold, np.array([i for i, _ in hot], np.int64), cold + np.cumsum(split) - split, split, np.array([n for _, n in hot], np.int64))
+    model.volumes = min(model.parts, FILES)
     if model.size >= 1 << 31:
         raise ValueError("more than 2 ** 31 distinct words")
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def sent() -> pa.RecordBatch:
+            pair, c, n = _merged_triples(held)
+            held.clear()
+            part = model.part_of((pair >> U(32)).astype(np.int64), (pair & U(NONE)).astype(np.int64))
+            order = np.argsort(part, kind="stable")  # segments of split words come last
+            return blobs(part[order], pair[order], c[order], n[order])
+
         for b in gathered(batches, 0, GROUP):
             keys, first = _tokens(b)
             start, last = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
@@ -355,12 +466,22 @@ def train(docs: DataFrame, text: str = "text", segment: int | None = None) -> Mo
                 ids, _ = model.look_up(distinct)
                 a, m, c = (((triples >> U(k)) & U((1 << 21) - 1)).astype(np.int64) for k in (42, 21, 0))
                 a, m, c = ids[a], ids[m], np.where(c == (1 << 21) - 1, NONE, np.append(ids, 0)[np.minimum(c, len(ids))])
-                part = model.part_of(a, m)
-                yield blobs(part, (a << 32) | m, c, n)
+                held.append([((a << 32) | m).astype(np.uint64), c.astype(np.uint32), n.astype(np.uint32)])
+                if sum(len(x[0]) for x in held) > HOLD3:
+                    yield sent()
+        if held:
+            yield sent()
+
+    # one number of low bits for all segments, as for one half full: their sequences go on from one to the next
+    heads, some = -(-model.size // cold), max(1, segment // 2)
+    bits = {k: low_bits(n, top) for k, n, top in (("ptr2", heads, some), ("key2", some, heads * model.size), ("ptr3", some, some), ("key3", some, some * model.size))}
 
     def write_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = None
         for part, (pair, c, n) in _parts(batches, 3, _merged_triples, segment):
-            lo, heads = model.contexts(part)
+            chain = chain or Chain(f"{folder}/2-{model.volume(part)}", bits)
+            lo = int(model.contexts(np.array([part]))[0])
+            heads = 1 if part >= cold else -(-(part + 1) * model.size // cold) - lo
             edge = _runs(pair)
             pair, n2 = pair[edge], np.add.reduceat(n, edge)
             rel, b = (pair >> U(32)).astype(np.int64) - lo, (pair & U(NONE)).astype(np.int64)
@@ -370,15 +491,16 @@ def train(docs: DataFrame, text: str = "text", segment: int | None = None) -> Mo
             of_pair = np.repeat(np.arange(len(pair)), np.diff(np.append(edge, len(c))))[whole]
             c3, n3 = c[whole].astype(np.int64), n[whole]
             bounds3 = np.searchsorted(of_pair, np.arange(len(pair) + 1))
-            columns = _coded("ptr2", bounds2) | _coded("key2", rel * model.size + b) | _coded("ptr3", bounds3) | _coded("key3", of_pair * model.size + c3)
-            columns |= {"prob2": quantised((n2 - DISCOUNT) / of[rel]), "rest1": quantised(DISCOUNT * np.diff(bounds2) / np.maximum(of, 1))}
+            columns = {"prob2": quantised((n2 - DISCOUNT) / of[rel]), "rest1": quantised(DISCOUNT * np.diff(bounds2) / np.maximum(of, 1))}
             columns |= {"prob3": quantised((n3 - DISCOUNT) / n2[of_pair]), "rest2": quantised(DISCOUNT * np.diff(bounds3) / n2)}
-            _store(f"{folder}/2-{part}", columns)
+            chain.add(part, {"ptr2": bounds2, "key2": rel * model.size + b, "ptr3": bounds3, "key3": of_pair * model.size + c3}, columns)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(pair)], pa.int64()), pa.array([len(c3)], pa.int64())], ["part", "pairs", "triples"])
+        if chain:
+            chain.close()
 
-    triples = _dealt(texts.mapInArrow(frugal(count_triples), "part int, blob binary"), int(cold + split.sum()))
+    triples = _dealt(texts.mapInArrow(frugal(count_triples), "part int, blob binary"), model.parts)
     said = triples.mapInArrow(frugal(write_triples), "part int, pairs long, triples long").collect()  # a row a segment
-    model.built = {r.part for r in said}
+    model.built = {model.volume(r.part) for r in said}
     followers = np.zeros(len(hot))
     for r in said:
         if r.part >= cold:

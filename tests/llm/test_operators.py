@@ -271,6 +271,16 @@ def test_trie(spark, docs, rows, empty, segment, monkeypatch):
     assert [(r.n_known, r.base_score) for r in trie.score(docs.limit(1), nothing).collect()] == [(0, 0.0)]
 
 
+def test_trie_volumes_hold_many_segments(spark, docs, rows, monkeypatch):
+    """Texts meet few files however many segments there are, and find the same in them."""
+    monkeypatch.setattr(trie, "FILES", 3)
+    model = trie.train(docs, segment=300)
+    assert model.parts > 30 and len(model.word_base) <= 4 and model.built == {0, 1, 2}
+    assert sum(len(model.segment(f"2-{i}")["of.part"]) for i in model.built) > 30
+    want = brute.lm([t for _, t in rows], [t for _, t in rows], trie.DISCOUNT, trie.STEPS)
+    same([(r.doc_id, r.n_known, round(r.score, 6)) for r in trie.score(docs, model).collect()], [(i, w[1], round(w[3], 6)) for (i, _), w in zip(rows, want)])
+
+
 def test_trie_held_out(spark, docs, rows):
     """Unknown words, unknown pairs of known words, and texts scored by a model of others."""
     model = trie.train(docs.where("doc_id % 2 = 0"))
