@@ -133,3 +133,25 @@ def test_theirs_reads_one_byte_beyond_a_node(spark, tmp_path):
     assert len(rows) > 600 and {r.file_id for r in rows} == {1, 2, 4}
     assert [r.t for r in rows] == [r.s + len(data[r.file_id][r.s : r.e].rstrip(b";, \t\n\r")) for r in rows]
     assert "decode(" not in theirs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_losses_are_those_of_reading_again():
+    """Each deletion's bytes in errors, from one reading of the text, are those of reading what is left."""
+    rng, some = random.Random(3), 0
+    for _ in range(4000):
+        text = "".join(rng.choice(["<p>", "</p>", "<p>", "</p>", "<b>é", "</b>", "<br>", "<i/>", " ", "x", "<", "</ul>", "<!-- -->"]) for _ in range(rng.randint(0, 24)))
+        data, want = text.encode(), []
+        if not any(r["is_missing"] for r in trees.tree(text)):
+            found = trees.tokens(text)
+            for token, _, _, a, z in found[:: max(1, len(found) // 8)][:8]:
+                left = data[:a] + data[z:]
+                want.append((a, token[:24], len(left), recovery.error_bytes(trees.tree(left.decode()))))
+        assert list(recovery.losses(text)) == want, text
+        some += sum(w[3] > 0 for w in want)
+    assert some > 300
+
+
+def test_a_text_is_read_once_for_its_deletions(monkeypatch):
+    calls, tokens = [], trees.tokens
+    monkeypatch.setattr(trees, "tokens", lambda text: calls.append(text) or tokens(text))
+    assert [x[3] for x in recovery.losses("<ul>" + "<li>a</li>" * 9 + "</ul>") if x[3]] and len(calls) == 1
