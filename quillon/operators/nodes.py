@@ -48,17 +48,26 @@ def markup_tokens(files: DataFrame, file_id: str = "page_id", text: str = "html"
 def nodes(tokens: DataFrame) -> DataFrame:
     """Nodes of ``markup_tokens``: the parent is the nearest earlier open node one level up, the
     subtree ends at the first end tag back on the node's level, else with the file."""
-    t = tokens.where("is_node or is_end")
-    level = Window.partitionBy("file_id", "depth").orderBy("i")
-    closed = t.where("is_open or is_end").select("file_id", "i", F.when(F.lead("is_end").over(level), F.lead("n_nodes").over(level)).alias("last"), F.when(F.lead("is_end").over(level), F.lead("end_byte").over(level)).alias("closed_at"))
-    size = Window.partitionBy("file_id")
-    own = t.withColumn("total", F.max("n_nodes").over(size)).withColumnRenamed("file_size", "size").where("is_node").join(closed, ["file_id", "i"], "left")
+    t = tokens.where("is_node or is_end").withColumn("_tag", F.col("is_open") | F.col("is_end"))
+    level = Window.partitionBy("file_id", "depth", "_tag").orderBy("i")
+    shut = F.col("is_open") & F.lead("is_end").over(level)
+    t = t.withColumn("last", F.when(shut, F.lead("n_nodes").over(level))).withColumn("closed_at", F.when(shut, F.lead("end_byte").over(level)))
+    own = t.withColumn("total", F.max("n_nodes").over(Window.partitionBy("file_id"))).withColumnRenamed("file_size", "size").where("is_node")
     own = own.select("file_id", F.col("n_nodes").alias("node_id"), "depth", "kind", "start_byte", F.when(F.col("is_open"), F.coalesce("closed_at", "size")).otherwise(F.col("end_byte")).alias("end_byte"), F.when(F.col("is_open"), F.coalesce("last", "total")).otherwise(F.col("n_nodes")).alias("last_desc_id"), "is_open", (F.col("is_open") & F.col("last").isNull()).alias("is_missing"), "seps_before", F.when(F.col("is_open"), F.when(F.col("closed_at").isNull(), F.col("file_seps")).otherwise(0)).otherwise(F.col("seps_after")).alias("seps_after"), "blanks_before")
-    up = own.where("is_open").select("file_id", F.col("depth").alias("level"), "node_id", F.col("node_id").alias("p"))
-    asks = own.select("file_id", (F.col("depth") - 1).alias("level"), "node_id", F.lit(None).cast("long").alias("p"))
+    # each node asks on the level above it, and an open one answers on its own: windows only, so a file is dealt once
+    place = lambda level, p: F.struct(level.alias("level"), p.cast("long").alias("p"))
+    asks, answers = place(F.col("depth") - 1, F.lit(None)), place(F.col("depth"), F.col("node_id"))
+    both = own.select("*", F.inline(F.when(F.col("is_open"), F.array(asks, answers)).otherwise(F.array(asks))))
     seek = Window.partitionBy("file_id", "level").orderBy("node_id", F.col("p").asc_nulls_first())
-    both = up.union(asks).withColumn("parent_id", F.last("p", ignorenulls=True).over(seek)).where("p is null").select("file_id", "node_id", "parent_id")
-    return own.join(both, ["file_id", "node_id"]).drop("is_open")
+    found = both.withColumn("parent_id", F.last("p", ignorenulls=True).over(seek)).where("p is null")
+    return found.drop("is_open", "level", "p")
+
+
+def unclosed(tokens: DataFrame) -> DataFrame:
+    """(file_id, node_id, kind, start_byte) of the nodes of ``markup_tokens`` that no end tag closes."""
+    level = Window.partitionBy("file_id", "depth").orderBy("i")
+    tags = tokens.where("is_open or is_end").withColumn("_shut", F.coalesce(F.lead("is_end").over(level), F.lit(False)))
+    return tags.where("is_open and not _shut").select("file_id", F.col("n_nodes").alias("node_id"), "kind", "start_byte")
 
 
 def kind_histogram(n: DataFrame) -> DataFrame:

@@ -155,3 +155,13 @@ def test_a_text_is_read_once_for_its_deletions(monkeypatch):
     calls, tokens = [], trees.tokens
     monkeypatch.setattr(trees, "tokens", lambda text: calls.append(text) or tokens(text))
     assert [x[3] for x in recovery.losses("<ul>" + "<li>a</li>" * 9 + "</ul>") if x[3]] and len(calls) == 1
+
+
+def test_nodes_are_dealt_once(spark):
+    """A file's nodes, parents included, need no join and one shuffle; what is never closed needs no parents."""
+    files = spark.createDataFrame([(i, x) for i, x in enumerate(TEXTS * 3)], "page_id long, html string")
+    tokens = nodes.markup_tokens(files)
+    plan = nodes.nodes(tokens)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    want = sorted((r.file_id, r.node_id, r.kind, r.start_byte) for r in trees.read(files).where("is_missing").collect())
+    assert sorted(map(tuple, nodes.unclosed(tokens).collect())) == want and len(want) == 3
